@@ -13,15 +13,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.plans.session import ship
+
 #: A word is a run of bytes outside these; ``bytes.split()`` cuts at exactly this set.
 WHITE = " \t\n\x0b\x0c\r"
 #: Text bytes that a Python worker handles at one time.
 BATCH_BYTES = 8 << 20
 
-_made: list = []
+_made: list[str] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

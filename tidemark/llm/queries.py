@@ -7,23 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, tokens
-from .common import documents
+from . import decontamination, language_id, packing, sharding, simhash, tokens
+from .common import doc_crc, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(documents(spark, sf_dir), radius=4, words=4)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_equal")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = doc_crc() % 5 == 0
+    return language_id.identify(docs, language_id.fit(docs.filter(~held_out)), held_out)
+
+
 def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.byte_shards(documents(spark, sf_dir), n_shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), similarity=0.8, recall=0.99)
+
+
 def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(documents(spark, sf_dir), tokens.default_path(), capacity=4096, end_id=1), capacity=4096)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_byte_shards, op10_sum_of_squares_packing)}
+    return {f.__name__: f for f in (op3_simhash_dedup, op4_language_id, op6_byte_shards, op8_cgk_decontamination, op10_sum_of_squares_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
