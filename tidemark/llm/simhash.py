@@ -82,7 +82,7 @@ def planes_of(fps: np.ndarray) -> np.ndarray:
     pad = -len(fps) % 64
     lanes = np.concatenate([fps, np.repeat(fps[-1:], pad)])
     bits = np.unpackbits(lanes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(bits.T, axis=1, bitorder="little").view("<u8").copy()
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
 
 
 def within(queries: np.ndarray, planes: np.ndarray, radius: int, check_every: int = 8) -> np.ndarray:
@@ -181,7 +181,7 @@ def small_links(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius:
         start, size = starts[at : at + 4096], sizes[at : at + 4096]
         index = start[:, None] + np.minimum(np.arange(64)[None, :], size[:, None] - 1)
         bits = np.unpackbits(fps[index].astype("<u8").view(np.uint8).reshape(len(start), 64, 8), axis=2, bitorder="little")
-        planes = np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").view("<u8")
+        planes = np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view("<u8")
         group = np.repeat(np.arange(len(start)), size)
         member = np.concatenate([np.arange(n) for n in size.tolist()])
         row, lane = _lanes(within(fps[start[group] + member], planes[:, group, :], radius))
