@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, packing, sharding, simhash, tokens
+from . import decontamination, language_id, packing, quality_fm, quality_rules, sharding, simhash, tokens
 from .common import doc_crc, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.judge(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(documents(spark, sf_dir), radius=4, words=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_equal")
@@ -29,6 +34,13 @@ def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = doc_crc() % 4 == 2
+    machine = quality_fm.fit(quality_fm.labelled_sample(docs, labels, ~held_out))
+    return quality_fm.score(docs, machine, held_out).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op8_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), similarity=0.8, recall=0.99)
 
@@ -38,7 +50,7 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_simhash_dedup, op4_language_id, op6_byte_shards, op8_cgk_decontamination, op10_sum_of_squares_packing)}
+    return {f.__name__: f for f in (op2_quality_cascade, op3_simhash_dedup, op4_language_id, op6_byte_shards, op7_quality_fm, op8_cgk_decontamination, op10_sum_of_squares_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
