@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, packing, quality_fm, quality_rules, sharding, simhash, tokens
+from . import decontamination, language_id, language_model, packing, quality_fm, quality_rules, sharding, simhash, tokens
 from .common import doc_crc, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,12 +45,18 @@ def op8_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), similarity=0.8, recall=0.99)
 
 
+def op9_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = doc_crc() % 10 == 0
+    return language_model.score(docs, language_model.fit(docs.filter(~held_out)), held_out)
+
+
 def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(documents(spark, sf_dir), tokens.default_path(), capacity=4096, end_id=1), capacity=4096)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_quality_cascade, op3_simhash_dedup, op4_language_id, op6_byte_shards, op7_quality_fm, op8_cgk_decontamination, op10_sum_of_squares_packing)}
+    return {f.__name__: f for f in (op2_quality_cascade, op3_simhash_dedup, op4_language_id, op6_byte_shards, op7_quality_fm, op8_cgk_decontamination, op9_backoff_lm, op10_sum_of_squares_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
