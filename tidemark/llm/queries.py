@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, language_model, packing, quality_fm, quality_rules, sharding, simhash, tokens
+from . import decontamination, language_id, language_model, packing, quality_fm, quality_rules, sharding, simhash, token_counts, tokens
 from .common import doc_crc, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_separator_scan_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_counts.document_token_counts(documents(spark, sf_dir), tokens.default_path(), end_id=49407)
+    return out.select("doc_id", "n_tokens")
+
+
 def op2_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
@@ -56,7 +61,7 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_quality_cascade, op3_simhash_dedup, op4_language_id, op6_byte_shards, op7_quality_fm, op8_cgk_decontamination, op9_backoff_lm, op10_sum_of_squares_packing)}
+    return {f.__name__: f for f in (op1_separator_scan_tokens, op2_quality_cascade, op3_simhash_dedup, op4_language_id, op6_byte_shards, op7_quality_fm, op8_cgk_decontamination, op9_backoff_lm, op10_sum_of_squares_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
