@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, language_model, packing, quality_fm, quality_rules, sharding, simhash, token_counts, tokens
+from . import decontamination, language_id, language_model, packing, quality_fm, quality_rules, sharding, simhash, substring_dedup, token_counts, tokens
 from .common import doc_crc, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs.filter(~held_out)), held_out)
 
 
+def op5_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_report(documents(spark, sf_dir))
+
+
 def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.byte_shards(documents(spark, sf_dir), n_shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -61,7 +65,7 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_separator_scan_tokens, op2_quality_cascade, op3_simhash_dedup, op4_language_id, op6_byte_shards, op7_quality_fm, op8_cgk_decontamination, op9_backoff_lm, op10_sum_of_squares_packing)}
+    return {f.__name__: f for f in (op1_separator_scan_tokens, op2_quality_cascade, op3_simhash_dedup, op4_language_id, op5_debruijn_dedup, op6_byte_shards, op7_quality_fm, op8_cgk_decontamination, op9_backoff_lm, op10_sum_of_squares_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
