@@ -64,8 +64,14 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(documents(spark, sf_dir), tokens.default_path(), capacity=4096, end_id=1), capacity=4096)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_separator_scan_tokens, op2_quality_cascade, op3_simhash_dedup, op4_language_id, op5_debruijn_dedup, op6_byte_shards, op7_quality_fm, op8_cgk_decontamination, op9_backoff_lm, op10_sum_of_squares_packing)}
+    return {f.__name__: f for f in (op1_separator_scan_tokens, op2_quality_cascade, op3_simhash_dedup, op4_language_id, op5_debruijn_dedup, op6_byte_shards, op7_quality_fm, op8_cgk_decontamination, op9_backoff_lm, op10_sum_of_squares_packing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -32,7 +32,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, materialize, text_bytes
@@ -66,15 +66,20 @@ def fingerprint(text: bytes, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id and fp (signed 64-bit) of every row."""
+    """doc_id, fp (signed 64-bit) and row_key, a hash of doc_id and text, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
             fps = [fingerprint(t, words) for t in text_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64()), batch.column("row_key")], ["doc_id", "fp", "row_key"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, fp long")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("row_key"))
+    return source.mapInArrow(run, "doc_id long, fp long, row_key long")
+
+
+def row_key() -> Column:
+    """Tells rows apart by doc_id and text; wholly equal rows share it."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col("text").isNull(), F.col("text").cast("string"))
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
@@ -260,7 +265,7 @@ def _links_of(rows: np.ndarray, radius: int) -> pa.RecordBatch:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
-    """doc_id, fp, component_id and class size of every row."""
+    """doc_id, row_key, fp, component_id and n_equal, the rows of the same fingerprint, of every row."""
     if not 0 <= radius < 8:
         raise ValueError("the counters hold radii below 8")
     rows = materialize(fingerprints(docs, words), "fingerprints")
@@ -269,4 +274,14 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFra
     named = distinct.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = named.join(ids, "root").select("fp", "component_id", "n_equal")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id", "n_equal")
+    return rows.join(classes, "fp").select("doc_id", "row_key", "fp", "component_id", "n_equal")
+
+
+def keep_one(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
+    """docs with one row of each component: that of the least doc_id, and of its rows the one with the least key."""
+    found = near_duplicates(docs, radius, words)
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("row_key").alias("k")))
+    # a component without any doc_id has a null component_id; its rows are told apart by fingerprint
+    group = ["component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("g")]
+    kept = found.groupBy(*group).agg(first.alias("p")).select(F.col("p.k").alias("_key"))
+    return docs.withColumn("_key", row_key()).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)

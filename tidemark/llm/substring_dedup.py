@@ -231,12 +231,15 @@ def dedup_report(docs: DataFrame) -> DataFrame:
 
 
 def dedup_rows(docs: DataFrame) -> DataFrame:
-    """docs with the repeated words taken out of text; a text that loses nothing stays as it is."""
+    """docs with the repeated words taken out of text and n_chars; a text that loses nothing stays as it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
             texts = [None if t is None else b" ".join(kept_words(t.encode().split(), c)).decode() if c else t for t, c in zip(batch.column("text").to_pylist(), batch.column("_cuts").to_pylist())]
-            columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
+            new = {"text": pa.array(texts, pa.string())}
+            if "n_chars" in names:
+                new["n_chars"] = pa.array([n if c is None or t is None else len(t) for n, c, t in zip(batch.column("n_chars").to_pylist(), batch.column("_cuts").to_pylist(), texts)], batch.schema.field("n_chars").type)
+            columns = [new.get(n, batch.column(n)) for n in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     names = docs.columns
