@@ -76,13 +76,13 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, WHITE, "")) > 0)
     # one pass over the words: a lambda variable is evaluated once, a column may be inlined many times
     words = let(words_of(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_window_words(w).alias("r")))
-    return docs.withColumn("_words", words).withColumns(
+    return docs.withColumn("__words", words).withColumns(
         {
-            "n_words": F.col("_words.n"),
+            "n_words": F.col("__words.n"),
             "word_chars": F.length(F.translate(t, WHITE, "")).cast("long"),
             "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
             "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            "n_repeat_words": F.col("_words.r"),
+            "n_repeat_words": F.col("__words.r"),
         }
     )
 
@@ -146,4 +146,4 @@ def judge(docs: DataFrame, base: list[Rule] | None = None, rules: list[Rule] | N
     for rule in base:
         failed = failed | F.coalesce(rule.reject, F.lit(False))
     judged = measured.withColumn("rejected_by", cascade(ordered)).withColumn("base_failed", failed)
-    return judged.withColumn("kept", F.col("rejected_by").isNull()).drop("_words")
+    return judged.withColumn("kept", F.col("rejected_by").isNull()).drop("__words")

@@ -283,5 +283,5 @@ def keep_one(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
     first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("row_key").alias("k")))
     # a component without any doc_id has a null component_id; its rows are told apart by fingerprint
     group = ["component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("g")]
-    kept = found.groupBy(*group).agg(first.alias("p")).select(F.col("p.k").alias("_key"))
-    return docs.withColumn("_key", row_key()).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    kept = found.groupBy(*group).agg(first.alias("p")).select(F.col("p.k").alias("__near_key"))
+    return docs.withColumn("__near_key", row_key()).join(kept, "__near_key", "left_semi").dropDuplicates(["__near_key"]).select(docs.columns)

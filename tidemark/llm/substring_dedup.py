@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, materialize, mix64, text_bytes
@@ -42,7 +42,7 @@ from .common import bounded, materialize, mix64, text_bytes
 WINDOW = 50
 ANCHOR = 16
 _BASE = 0x9E3779B97F4A7C15 | 1
-OCCURRENCES = "doc_id long, nth int, pos int, node long, first int, last int, edge long, stop int, head long"
+OCCURRENCES = "doc_id long, rid long, nth int, pos int, node long, first int, last int, edge long, stop int, head long"
 
 
 def word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
@@ -96,7 +96,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
         known: dict[bytes, int] = {}
         for batch in bounded(batches):
             parts = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text"))):
+            for doc_id, rid, text in zip(batch.column("doc_id").to_pylist(), batch.column("rid").to_pylist(), text_bytes(batch.column("text"))):
                 words = text.split()
                 if len(words) < WINDOW:
                     continue
@@ -106,59 +106,60 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 edge[-1] = ~edge[-1]  # an edge to the document's end is another than the same words elsewhere
                 head = np.zeros(len(pos), np.uint64)
                 head[:1] = runs.hash(np.zeros(1, np.int64), pos[:1] + ANCHOR)
-                parts.append((np.full(len(pos), doc_id), np.arange(len(pos)), pos, node, first, last, edge, stop, head))
+                parts.append((np.full(len(pos), doc_id), np.full(len(pos), rid), np.arange(len(pos)), pos, node, first, last, edge, stop, head))
             if parts:
-                doc, nth, pos, node, first, last, edge, stop, head = (np.concatenate(c) for c in zip(*parts))
+                doc, rid, nth, pos, node, first, last, edge, stop, head = (np.concatenate(c) for c in zip(*parts))
                 ints = [pa.array(x.astype(np.int32)) for x in (nth, pos, first, last, stop)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), ints[0], ints[1], _signed(node), ints[2], ints[3], _signed(edge), ints[4], _signed(head)], [f.split()[0] for f in OCCURRENCES.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(rid, pa.int64()), ints[0], ints[1], _signed(node), ints[2], ints[3], _signed(edge), ints[4], _signed(head)], [f.split()[0] for f in OCCURRENCES.split(", ")])
 
     return docs.filter("doc_id is not null and text is not null").mapInArrow(run, OCCURRENCES)
 
 
 def edges_of(cand: DataFrame) -> DataFrame:
-    """(doc_id, nth, u, edge, s, t): each edge occurrence; u is the node it begins at, 0 for a document's beginning."""
-    inner = cand.select("doc_id", "nth", F.col("node").alias("u"), "edge", F.col("pos").alias("s"), F.col("stop").alias("t"))
-    heads = cand.filter("nth = 0").select("doc_id", F.lit(-1).alias("nth"), F.lit(0).cast("long").alias("u"), F.col("head").alias("edge"), F.lit(0).alias("s"), (F.col("pos") + ANCHOR).alias("t"))
+    """(doc_id, rid, nth, u, edge, s, t): each edge occurrence; u is the node it begins at, 0 for a document's beginning."""
+    inner = cand.select("doc_id", "rid", "nth", F.col("node").alias("u"), "edge", F.col("pos").alias("s"), F.col("stop").alias("t"))
+    heads = cand.filter("nth = 0").select("doc_id", "rid", F.lit(-1).alias("nth"), F.lit(0).cast("long").alias("u"), F.col("head").alias("edge"), F.lit(0).alias("s"), (F.col("pos") + ANCHOR).alias("t"))
     return inner.unionByName(heads)
 
 
 def compact(edges: DataFrame) -> DataFrame:
-    """Repeated edges with their source coordinate and path: (u, edge, source, at, path).
+    """Repeated edges with their source coordinate and path: (u, edge, source, source_rid, at, path).
 
     A path goes on from an edge to the one that continues it in its source if the
     node between them has one repeated edge in and one out.
     """
-    place = F.struct(F.col("doc_id").alias("d"), F.col("s").alias("s"), F.col("t").alias("t"))
+    place = F.struct(F.col("doc_id").alias("d"), F.col("rid").alias("r"), F.col("s").alias("s"), F.col("t").alias("t"))
     distinct = edges.groupBy("u", "edge").agg(F.min(place).alias("p"), F.max("doc_id").alias("most")).filter("p.d < most")
-    distinct = materialize(distinct.select("u", "edge", F.col("p.d").alias("source"), F.col("p.s").alias("at"), F.col("p.t").alias("until")), "repeated-edges")
+    distinct = materialize(distinct.select("u", "edge", F.col("p.d").alias("source"), F.col("p.r").alias("source_rid"), F.col("p.s").alias("at"), F.col("p.t").alias("until")), "repeated-edges")
     outs = distinct.groupBy("u").agg(F.count(F.lit(1)).alias("n_out"))
     # the edge that stands before another in the source ends where the other's node ends
-    ends = distinct.select(F.col("source"), (F.col("until") - ANCHOR).alias("at"), F.col("edge").alias("before"))
-    joined = distinct.join(ends, ["source", "at"], "left").join(outs, "u")
+    ends = distinct.select("source", "source_rid", (F.col("until") - ANCHOR).alias("at"), F.col("edge").alias("before"))
+    joined = distinct.join(ends, ["source", "source_rid", "at"], "left").join(outs, "u")
     ins = joined.groupBy("u").agg(F.count_distinct("before").alias("n_in"))
     linked = joined.join(ins, "u").withColumn("starts", F.when(F.col("before").isNull() | (F.col("n_in") > 1) | (F.col("n_out") > 1), 1).otherwise(0))
-    along = Window.partitionBy("source").orderBy("at", "until")
-    return linked.select("u", "edge", "source", "at", F.sum("starts").over(along).alias("path"))
+    along = Window.partitionBy("source", "source_rid").orderBy("at", "until")
+    return linked.select("u", "edge", "source", "source_rid", "at", F.sum("starts").over(along).alias("path"))
 
 
 def spans_of(edges: DataFrame, paths: DataFrame) -> DataFrame:
-    """(doc_id, nth, s, t): for each settled edge occurrence the verified span that holds it."""
+    """(doc_id, rid, nth, s, t): for each settled edge occurrence the verified span that holds it."""
     placed = edges.join(paths, ["u", "edge"]).filter(F.col("source") < F.col("doc_id")).withColumn("shift", F.col("at") - F.col("s"))
-    order = Window.partitionBy("doc_id").orderBy("nth")
-    goes_on = (F.lag("nth").over(order) == F.col("nth") - 1) & (F.lag("source").over(order) == F.col("source")) & (F.lag("shift").over(order) == F.col("shift"))
+    order = Window.partitionBy("doc_id", "rid").orderBy("nth")
+    same = lambda c: F.lag(c).over(order) == F.col(c)
+    goes_on = (F.lag("nth").over(order) == F.col("nth") - 1) & same("source") & same("source_rid") & same("shift")
     marked = placed.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("span", F.sum("new").over(order))
-    whole = Window.partitionBy("doc_id", "span")
-    return marked.select("doc_id", "nth", F.min("s").over(whole).alias("s"), F.max("t").over(whole).alias("t"))
+    whole = Window.partitionBy("doc_id", "rid", "span")
+    return marked.select("doc_id", "rid", "nth", F.min("s").over(whole).alias("s"), F.max("t").over(whole).alias("t"))
 
 
 def window_hashes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, node, doc_id, at) of the wanted windows (doc_id, ranges of first and last)."""
+    """(h, node, doc_id, rid, at) of the wanted windows (doc_id, rid, ranges of first and last)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in bounded(batches):
             out = []
-            for doc_id, text, ranges in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), batch.column("ranges").to_pylist()):
+            for doc_id, rid, text, ranges in zip(batch.column("doc_id").to_pylist(), batch.column("rid").to_pylist(), text_bytes(batch.column("text")), batch.column("ranges").to_pylist()):
                 words = text.split()
                 ranges = [r for r in ranges if r["last"] + WINDOW <= len(words)]
                 if not ranges:
@@ -166,34 +167,35 @@ def window_hashes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 runs = Runs(word_hashes(words, known))
                 at = np.concatenate([np.arange(r["first"], r["last"] + 1) for r in ranges])
                 pos = np.repeat([r["pos"] for r in ranges], [r["last"] - r["first"] + 1 for r in ranges])
-                out.append((runs.hash(at, at + WINDOW), runs.hash(pos, pos + ANCHOR), np.full(len(at), doc_id), at))
+                out.append((runs.hash(at, at + WINDOW), runs.hash(pos, pos + ANCHOR), np.full(len(at), doc_id), np.full(len(at), rid), at))
             if out:
-                h, node, doc, at = (np.concatenate(c) for c in zip(*out))
-                yield pa.RecordBatch.from_arrays([_signed(h), _signed(node), pa.array(doc, pa.int64()), pa.array(at.astype(np.int32))], ["h", "node", "doc_id", "at"])
+                h, node, doc, rid, at = (np.concatenate(c) for c in zip(*out))
+                yield pa.RecordBatch.from_arrays([_signed(h), _signed(node), pa.array(doc, pa.int64()), pa.array(rid, pa.int64()), pa.array(at.astype(np.int32))], ["h", "node", "doc_id", "rid", "at"])
 
-    return docs.join(wanted, "doc_id").select("doc_id", "text", "ranges").mapInArrow(run, "h long, node long, doc_id long, at int")
+    return docs.join(wanted, ["doc_id", "rid"]).select("doc_id", "rid", "text", "ranges").mapInArrow(run, "h long, node long, doc_id long, rid long, at int")
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, cuts): for every document that loses words, ranges [s, t) that cover all of them."""
+    """(doc_id, rid, cuts): for every document that loses words, ranges [s, t) that cover all of them."""
     occ = occurrences(docs)
     repeated = occ.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("node", "least")
     cand = materialize(occ.join(repeated, "node"), "repeated-anchors")
     edges = edges_of(cand)
     spans = materialize(spans_of(edges, compact(edges)), "spans")
     # a window holds its anchor whole, so only the spans of the edges to its left and right can hold the window
-    right = spans.select("doc_id", "nth", F.col("s").alias("rs"), F.col("t").alias("rt"))
-    left = spans.select("doc_id", (F.col("nth") + 1).alias("nth"), F.col("s").alias("ls"), F.col("t").alias("lt"))
-    at = cand.select("doc_id", "nth", "pos", "node", "first", "last", "least").join(right, ["doc_id", "nth"], "left").join(left, ["doc_id", "nth"], "left")
+    right = spans.select("doc_id", "rid", "nth", F.col("s").alias("rs"), F.col("t").alias("rt"))
+    left = spans.select("doc_id", "rid", (F.col("nth") + 1).alias("nth"), F.col("s").alias("ls"), F.col("t").alias("lt"))
+    key = ["doc_id", "rid", "nth"]
+    at = cand.select(*key, "pos", "node", "first", "last", "least").join(right, key, "left").join(left, key, "left")
     inside = lambda s, t: F.coalesce((F.col("first") >= F.col(s)) & (F.col("last") + WINDOW <= F.col(t)), F.lit(False))
-    unsettled = materialize(at.filter(~(inside("rs", "rt") | inside("ls", "lt"))).select("doc_id", "pos", "node", "first", "last", "least"), "unsettled")
+    unsettled = materialize(at.filter(~(inside("rs", "rt") | inside("ls", "lt"))).select("doc_id", "rid", "pos", "node", "first", "last", "least"), "unsettled")
     asked = unsettled.filter(F.col("least") < F.col("doc_id")).select("node").distinct()
-    wanted = unsettled.join(asked, "node", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "first", "last")).alias("ranges"))
+    wanted = unsettled.join(asked, "node", "left_semi").groupBy("doc_id", "rid").agg(F.collect_set(F.struct("pos", "first", "last")).alias("ranges"))
     hashes = materialize(window_hashes(docs.filter("text is not null"), wanted), "window-hashes")
     least = hashes.groupBy("h", "node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
-    single = hashes.join(least, ["h", "node"]).filter(F.col("doc_id") > F.col("least")).select("doc_id", F.col("at").alias("s"), (F.col("at") + WINDOW).alias("t"))
-    cuts = spans.filter(F.col("t") - F.col("s") >= WINDOW).select("doc_id", "s", "t").distinct().unionByName(single)
-    return cuts.groupBy("doc_id").agg(F.collect_set(F.struct("s", "t")).alias("cuts"))
+    single = hashes.join(least, ["h", "node"]).filter(F.col("doc_id") > F.col("least")).select("doc_id", "rid", F.col("at").alias("s"), (F.col("at") + WINDOW).alias("t"))
+    cuts = spans.filter(F.col("t") - F.col("s") >= WINDOW).select("doc_id", "rid", "s", "t").distinct().unionByName(single)
+    return cuts.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("s", "t")).alias("cuts"))
 
 
 def kept_words(words: list[bytes], cuts: list[dict] | None) -> list[bytes]:
@@ -207,9 +209,16 @@ def kept_words(words: list[bytes], cuts: list[dict] | None) -> list[bytes]:
     return [w for w, g in zip(words, gone.tolist()) if not g]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows that share a doc_id are told apart by their text; equal rows of one doc_id share their cuts."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _row_id(docs: DataFrame) -> tuple[Column, bool]:
+    """What tells rows of one doc_id apart: their text; nothing where every doc_id is unique (the second value)."""
+    unique = docs.groupBy(F.col("doc_id").cast("long").alias("d")).count().filter("d is not null and count > 1").isEmpty()
+    return F.lit(0).cast("long") if unique else F.xxhash64(F.col("text").cast("string")), unique
+
+
+def _cuts(docs: DataFrame, rid: Column, unique: bool) -> DataFrame:
+    """removals() of docs; wholly equal rows count once and share their cuts."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rid.alias("rid"), F.col("text").cast("string").alias("text"))
+    return removals(rows if unique else rows.dropDuplicates(["doc_id", "rid"]))
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
@@ -226,8 +235,9 @@ def dedup_report(docs: DataFrame) -> DataFrame:
                 sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    source = _keyed(docs)
-    return source.join(removals(source), "doc_id", "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    rid, unique = _row_id(docs)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rid.alias("rid"), F.col("text").cast("string").alias("text"))
+    return source.join(_cuts(docs, rid, unique), ["doc_id", "rid"], "left").drop("rid").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup_rows(docs: DataFrame) -> DataFrame:
@@ -235,13 +245,15 @@ def dedup_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
-            texts = [None if t is None else b" ".join(kept_words(t.encode().split(), c)).decode() if c else t for t, c in zip(batch.column("text").to_pylist(), batch.column("_cuts").to_pylist())]
+            texts = [None if t is None else b" ".join(kept_words(t.encode().split(), c)).decode() if c else t for t, c in zip(batch.column("text").to_pylist(), batch.column("__cuts").to_pylist())]
             new = {"text": pa.array(texts, pa.string())}
             if "n_chars" in names:
-                new["n_chars"] = pa.array([n if c is None or t is None else len(t) for n, c, t in zip(batch.column("n_chars").to_pylist(), batch.column("_cuts").to_pylist(), texts)], batch.schema.field("n_chars").type)
+                new["n_chars"] = pa.array([n if c is None or t is None else len(t) for n, c, t in zip(batch.column("n_chars").to_pylist(), batch.column("__cuts").to_pylist(), texts)], batch.schema.field("n_chars").type)
             columns = [new.get(n, batch.column(n)) for n in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     names = docs.columns
-    cuts = removals(_keyed(docs)).withColumnRenamed("cuts", "_cuts")
-    return docs.join(cuts, "doc_id", "left").mapInArrow(run, docs.schema)
+    rid, unique = _row_id(docs)
+    cuts = _cuts(docs, rid, unique).select(F.col("doc_id").alias("__doc"), F.col("rid").alias("__rid"), F.col("cuts").alias("__cuts"))
+    joined = docs.withColumn("__row", rid).join(cuts, (F.col("doc_id") == F.col("__doc")) & (F.col("__row") == F.col("__rid")), "left")
+    return joined.select(*names, "__cuts").mapInArrow(run, docs.schema)
