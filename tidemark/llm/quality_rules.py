@@ -55,7 +55,7 @@ def repeated_window_words(words: Column, size: int = 3) -> Column:
         def pick(s: Column) -> Column:
             again = F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]))
             at = F.transform(again, lambda x: x["i"])
-            return F.size(F.array_distinct(F.concat(*[F.transform(at, lambda x, k=k: x + k) for k in range(size)])))
+            return F.size(F.array_distinct(F.flatten(F.transform(at, lambda x: F.sequence(x, x + (size - 1))))))
 
         return let(pairs, pick)
 
