@@ -1,0 +1,476 @@
+"""The operators against brute force, and their defined cases."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontamination, language_id, language_model, packing, quality_fm, quality_rules, sharding, simhash, substring_dedup, token_counts, tokens
+from tidemark.llm.common import doc_crc
+
+FIELDS = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = " ".join(f"word{i % 977}x{i % 13}" for i in range(9000))
+BASE = " ".join(f"alpha{i} beta{i % 7}" for i in range(60))
+
+
+def odd_rows():
+    """Nulls in any column, empty and long texts, ties and repeated rows."""
+    return [
+        (1, BASE, "en", "a", 10),
+        (2, BASE, None, None, None),
+        (2, BASE, None, None, None),
+        (2, "other text of the same id", "fr", "b", 3),
+        (3, None, None, "a", None),
+        (4, "", "en", "a", 0),
+        (5, " \n\t ", "en", "a", 4),
+        (6, LONG, "en", "a", len(LONG)),
+        (7, "a b c a b c a b c\nline\nline\n\nline", "en", "a", 9),
+        (8, "word", "de", "a", 4),
+        (None, BASE, "en", "a", 1),
+        (None, None, None, None, None),
+        (9, "Éa ñ 日本 12 &&& ### <b>", "es", "a", 9),
+        (10, BASE + " tail words that differ here", "en", "a", 9),
+    ]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Also with further columns whose names the operators use."""
+    d = spark.createDataFrame(odd_rows(), FIELDS)
+    return d.withColumns({n: F.lit(7) for n in ("score", "held_out", "size", "shard", "slot", "cuts", "fp", "_row", "_part", "rid", "kept", "_words", "root", "piece", "y")})
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], FIELDS)
+
+
+def words(t):
+    return (t or "").encode().split()
+
+
+# token counts
+
+
+def test_token_counts(spark, odd, none):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokens.default_path())
+    tok.encode_special_tokens = True
+    got = sorted((r.doc_id is not None, r.doc_id, r.n_tokens) for r in token_counts.document_token_counts(odd, tokens.default_path()).select("doc_id", "n_tokens").collect() if r.doc_id is not None)
+    want = sorted((True, d, len(tok.encode(t or "", add_special_tokens=False).ids)) for d, t, *_ in odd_rows() if d is not None)
+    assert got == want
+    assert token_counts.document_token_counts(none, tokens.default_path()).count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 3, 4, 1000])
+def test_separator_scan_stitches_blocks(spark, tmp_path, block):
+    rng = np.random.default_rng(block)
+    want = []
+    for name in ("a.bin", "b.bin"):
+        ids = np.where(rng.random(60) < 0.2, 9, rng.integers(0, 9, 60)).astype("<u2")
+        ids[:2] = 9
+        (tmp_path / name).write_bytes(ids.tobytes())
+        places = np.flatnonzero(ids == 9)
+        want += [(name, k, int(n), True) for k, n in enumerate(np.diff(np.concatenate([[-1], places])) - 1)]
+        if places[-1] < 59:
+            want.append((name, len(places), int(59 - places[-1]), False))
+    (tmp_path / "empty.bin").write_bytes(b"")
+    got = token_counts.count_tokens(spark, f"file://{tmp_path}", end_id=9, width=2, block_tokens=block)
+    assert sorted((r.file, r.nth, r.n_tokens, r.complete) for r in got.collect()) == sorted(want)
+
+
+def test_tokenizer_equals_the_library():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokens.default_path())
+    tok.encode_special_tokens = True
+    mine = tokens.tokenizer(tokens.default_path())
+    for t in ["I'm don't  é é <|endoftext|> a'b\x1cq\x1d ́x", "İstanbul ﬁ 12a3", "'LL 'S x''s '''d ×÷ ªº ß ẞ", "日本 🙂🙂 a🙂b", "", "a" * 300]:
+        assert mine.encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+# quality rules
+
+
+def measures(t):
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    grams = list(zip(w, w[1:], w[2:]))
+    n, cover, seen, dup = Counter(grams), set(), set(), 0
+    for i, g in enumerate(grams):
+        if n[g] > 1:
+            cover |= {i, i + 1, i + 2}
+    for line in t.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), dup, len(cover)
+
+
+def test_quality_rules(odd, none):
+    got = quality_rules.judge(odd).select("text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()
+    assert len(got) == len(odd_rows())
+    for r in got:
+        m = measures(r.text)
+        assert tuple(r)[1:6] == m
+        assert r.base_failed == (m[0] < 50 or 100 * m[4] > 50 * m[0])
+        assert not (r.base_failed and r.kept)
+    assert quality_rules.judge(none).count() == 0
+
+
+def test_rule_order_never_changes_the_verdict(odd):
+    rules = quality_rules.text_rules()
+    a = quality_rules.judge(odd, rules=rules).select("doc_id", "text", "kept").collect()
+    b = quality_rules.judge(odd, rules=rules[::-1]).select("doc_id", "text", "kept").collect()
+    assert Counter(a) == Counter(b)
+
+
+# SimHash
+
+
+def fingerprint(t):
+    w = (t or "").encode().lower().split()
+    if not w:
+        return 0
+    grams = [b" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))]
+    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_near_duplicates_on_odd_rows(odd, none):
+    got = simhash.near_duplicates(odd).collect()
+    assert Counter(r.fp & (1 << 64) - 1 for r in got) == Counter(fingerprint(t) for _, t, *_ in odd_rows())
+    by = {(r.doc_id, r.fp): r.component_id for r in got}
+    assert by[(3, 0)] == by[(4, 0)] == by[(5, 0)] == 3
+    assert len({r.component_id for r in got if r.fp & (1 << 64) - 1 == fingerprint(BASE)}) == 1
+    assert simhash.near_duplicates(none).count() == 0
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns
+    assert kept.count() == len({r.component_id for r in got})
+
+
+def test_links_and_components_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 40)
+    rng = np.random.default_rng(1)
+    fps = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    near = []
+    for f in fps[:3]:  # groups of many near copies, chained
+        for _ in range(120):
+            f = f ^ np.uint64(1 << int(rng.integers(64)))
+            near.append(f)
+    fps = np.unique(np.concatenate([fps, np.array(near, dtype=np.uint64), np.zeros(1, np.uint64)]))
+    parent = list(range(len(fps)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 4).tolist():
+            a, b = root(i), root(j)
+            parent[max(a, b)] = min(a, b)
+    from tidemark.llm.components import connected_components
+
+    d = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    for blocks in (6, 7):
+        roots = {r.v: r.root for r in connected_components(simhash.links(d, 4, blocks)).collect()}
+        mine = [roots.get(int(x), int(x)) for x in fps.view(np.int64)]
+        groups, want = {}, {}
+        for i, m in enumerate(mine):
+            groups.setdefault(m, set()).add(i)
+            want.setdefault(root(i), set()).add(i)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
+def test_bit_sliced_distances():
+    rng = np.random.default_rng(2)
+    fps = rng.integers(0, 1 << 63, 130, dtype=np.uint64)
+    fps[50:90] = fps[0] ^ (np.uint64(1) << rng.integers(0, 63, 40).astype(np.uint64))
+    for radius in (0, 3, 4, 7):
+        rows, lanes = simhash._lanes(simhash.within(fps, simhash.planes_of(fps), radius))
+        got = {(a, b) for a, b in zip(rows.tolist(), lanes.tolist()) if b < len(fps)}
+        want = {(i, j) for i in range(130) for j in range(130) if int(fps[i] ^ fps[j]).bit_count() <= radius}
+        assert got == want
+
+
+# language identification
+
+
+def test_language_id(spark, odd, none, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = doc_crc() % 5 == 0
+    model = language_id.fit(docs.filter(~out))
+    got = language_id.identify(docs, model, out).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.95
+    assert all(0 <= r.score <= 1 for r in got)
+    rows = language_id.identify(odd, model).collect()
+    assert len(rows) == len(odd_rows())
+    assert {r.lang_pred for r in rows if r.doc_id in (3, 4, 5)} == {"und"}
+    assert language_id.identify(none, model).count() == 0
+    assert {r.lang_pred for r in language_id.identify(odd, language_id.fit(none)).collect()} == {"und"}
+
+
+def test_bloom_counts_are_corrected():
+    codes = np.arange(5000, dtype=np.uint32)
+    m = language_id.Model(["x", "y"], [1, 1], [(codes[:4000], 0), (codes[4000:], 1)])
+    cells = list(m._cells(np.arange(10_000, 60_000, dtype=np.uint32)))
+    hits = np.bitwise_and.reduce([m.table[0][c] for c in cells])
+    for i in (0, 1):
+        assert abs(((hits >> np.uint64(i)) & np.uint64(1)).mean() - m.false[i]) < 0.003
+
+
+# substring dedup
+
+
+def dedup(rows):
+    first, out = {}, []
+    for d, t in rows:
+        w = words(t)
+        for i in range(len(w) - 49):
+            g = tuple(w[i : i + 50])
+            if d is not None and (g not in first or d < first[g]):
+                first[g] = d
+    for d, t in rows:
+        w = words(t)
+        gone = [False] * len(w)
+        for i in range(len(w) - 49):
+            if d is not None and first.get(tuple(w[i : i + 50]), d) < d:
+                gone[i : i + 50] = [True] * 50
+        kept = [x for x, g in zip(w, gone) if not g]
+        out.append((d, len(w), sum(gone), hashlib.sha256(b" ".join(kept)).hexdigest()))
+    return Counter(out)
+
+
+def test_substring_dedup_odd_rows(odd, none):
+    assert Counter(tuple(r) for r in substring_dedup.dedup_report(odd).collect()) == dedup([r[:2] for r in odd_rows()])
+    assert substring_dedup.dedup_report(none).count() == 0
+    out = substring_dedup.dedup_rows(odd)
+    assert out.columns == odd.columns and out.count() == len(odd_rows())
+    assert {r.text for r in out.filter("doc_id = 10").collect()} == {"tail words that differ here"} or out.filter("doc_id = 10").first().text != BASE
+
+
+def test_substring_dedup_branching_passages(spark):
+    """Passages cut, joined and edited at random, with few words, so that k-mers repeat and branch."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in rng.integers(0, 400, 700)]
+    loops = ["x", "y"] * 60 + ["z"] * 120
+    rows = []
+    for d in range(60):
+        parts = []
+        for _ in range(int(rng.integers(1, 5))):
+            source = loops if rng.random() < 0.15 else base
+            a = int(rng.integers(0, len(source) - 60))
+            part = source[a : a + int(rng.integers(40, 200))]
+            if rng.random() < 0.5:
+                part = [*part]
+                part[int(rng.integers(len(part)))] = f"edit{d}"
+            parts += part
+        rows.append((int(rng.permutation(60)[0]) if d % 10 == 0 else d, " ".join(parts)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in substring_dedup.dedup_report(d).collect()) == dedup(rows)
+
+
+# sharding
+
+
+def test_byte_shards(odd, none):
+    got = sharding.byte_shards(odd, n_shards=4).collect()
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, *_ in odd_rows())
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    assert sharding.byte_shards(none, n_shards=4).count() == 0
+
+
+def test_byte_shards_are_contiguous_and_even(spark):
+    rows = [(i // 3, "x" * (i * 37 % 200)) for i in range(3000)]
+    got = sharding.byte_shards(spark.createDataFrame(rows, "doc_id long, text string"), n_shards=8).collect()
+    got.sort(key=lambda r: (r.shard, r.slot))
+    assert [r.doc_id for r in got] == sorted(r.doc_id for r in got)
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += r["size"]
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * 200
+
+
+# quality classifier
+
+
+def test_quality_fm(spark, odd, none, sf_dir):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    out = doc_crc() % 4 == 2
+    machine = quality_fm.fit(quality_fm.labelled_sample(docs, labels, ~out))
+    got = quality_fm.score(docs, machine, out).filter("held_out").join(labels, "doc_id").collect()
+    hit = [(r.score >= 0.7) == bool(r.quality) for r in got]
+    assert np.mean(hit) > 0.9
+    rows = quality_fm.score(odd, machine).collect()
+    assert len(rows) == len(odd_rows()) and all(0 <= r.score <= 1 for r in rows)
+    assert quality_fm.score(none, machine).count() == 0
+    assert quality_fm.filter_rows(odd, machine).columns == odd.columns
+    blank = quality_fm.fit(quality_fm.labelled_sample(docs, labels.limit(0), ~out))
+    assert {round(r.score, 6) for r in quality_fm.score(odd, blank).collect()} == {0.5}
+
+
+def test_sum_of_squares_identity():
+    f = quality_fm.featurize(["a b c a", "", None, "x y"], {})
+    m = quality_fm.Machine(0.1, np.zeros(quality_fm.SIZE, np.float32), np.random.default_rng(0).normal(0, 0.1, (quality_fm.SIZE, 4)).astype(np.float32))
+    for r, z in enumerate(m.margin(f)):
+        i = range(f.indptr[r], f.indptr[r + 1])
+        pairs = sum(float(m.v[f.index[a]] @ m.v[f.index[b]]) * float(f.value[a] * f.value[b]) for a in i for b in i if a < b)
+        assert abs(z - 0.1 - pairs) < 1e-4
+
+
+# decontamination
+
+
+def test_edited_items_are_found(spark, odd, none):
+    rng = np.random.default_rng(3)
+    items = [(i, " ".join(f"t{rng.integers(0, 900)}" for _ in range(int(rng.integers(8, 60))))) for i in range(60)]
+    rows, want = [], set()
+    for d in range(400):
+        item = items[int(rng.integers(60))]
+        w = item[1].split()
+        for _ in range(int(rng.integers(0, int(0.2 * len(w)) + 1))):
+            k, p = rng.integers(3), int(rng.integers(len(w)))
+            if k == 0:
+                w[p] = f"new{d}"
+            elif k == 1:
+                w.insert(p, f"new{d}")
+            elif len(w) > 5:
+                del w[p]
+        if d % 4:
+            rows.append((d, " ".join([f"f{rng.integers(0, 5000)}" for _ in range(80)] + w + ["End."])))
+            want.add((d, item[0]))
+        else:
+            rows.append((d, " ".join(f"t{rng.integers(0, 900)}" for _ in range(150))))
+    bench = spark.createDataFrame([*items, (99, None), (100, ""), (101, "  ")], "item_id long, text string")
+    got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    pairs = {(r.doc_id, r.item_id) for r in got}
+    assert pairs <= want
+    assert len(pairs) >= 0.97 * len(want)
+    assert decontamination.contaminated(none, bench).count() == 0
+    assert decontamination.contaminated(odd, bench).count() == 0
+    assert decontamination.contaminated(odd, bench.limit(0)).count() == 0
+    assert decontamination.decontaminate(odd, bench).count() == len(odd_rows())
+
+
+def test_best_region_is_exact():
+    rng = np.random.default_rng(4)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+            row = new
+        return row[-1]
+
+    for _ in range(40):
+        a, b = rng.integers(0, 4, 6).astype(np.uint64), rng.integers(0, 4, 12).astype(np.uint64)
+        d, s, e = decontamination.best_region(a, b)
+        assert d == min(distance(a.tolist(), b[i:j].tolist()) for i in range(13) for j in range(i, 13))
+        assert d == distance(a.tolist(), b[s:e].tolist())
+
+
+# language model
+
+
+def test_language_model(spark, odd, none):
+    train = spark.createDataFrame([(i, " ".join(f"w{i * k % 17}" for k in range(1, 60))) for i in range(40)], "doc_id long, text string")
+    model = language_model.fit(train, gram_share=1e-3)
+    c = Counter()
+    for r in train.collect():
+        c.update(words(r.text.lower()))
+        c[None] += 1
+    n, v = sum(c.values()), len(c)
+    base = lambda x: math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1)))
+    for docs in (train, odd):
+        for r, (d, t) in zip(sorted(language_model.score(docs, model).collect(), key=lambda r: (str(r.doc_id), r.n_tokens, r.base_score)), sorted(((x.doc_id, x.text) for x in docs.select("doc_id", "text").collect()), key=lambda x: (str(x[0]), len(words(x[1])) + 1, sum(base(w) for w in [*words((x[1] or "").lower()), None])))):
+            w = [*words((t or "").lower()), None]
+            assert (r.doc_id, r.n_tokens, r.n_known, r.train_tokens) == (d, len(w), sum(c[x] > 0 for x in w), n)
+            assert r.base_score == pytest.approx(sum(map(base, w)))
+    assert language_model.score(none, model).count() == 0
+    empty = language_model.score(odd, language_model.fit(none)).collect()
+    assert len(empty) == len(odd_rows()) and {r.train_tokens for r in empty} == {0}
+
+
+def test_backoff_states_sum_to_one(spark):
+    rows = [(i, " ".join(f"w{(i * k + k // 3) % 9}" for k in range(1, 40))) for i in range(30)]
+    counts, words_, a, n, v = language_model.fit(spark.createDataFrame(rows, "doc_id long, text string"), gram_share=2e-3)
+    a.prepare()
+    uni = 10 ** a.base[1:]
+    unknown = 0.1 / (n + 0.1 * (v + 1))
+    assert uni.sum() + unknown == pytest.approx(1)
+    history = [[x, y] for x in range(1, v + 1) for y in range(1, v + 1)]
+    for h in history:
+        start = a.traverse(h)
+        total = sum(10 ** (a.traverse([*h, w]) - start) * uni[w - 1] for w in range(1, v + 1)) + 10 ** (a.traverse([*h, 0]) - start) * unknown
+        assert total == pytest.approx(1, abs=1e-6)
+
+
+# packing
+
+
+def check_packing(rows, capacity):
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= capacity
+    return len(by)
+
+
+def test_packing(spark, odd, none):
+    pieces = packing.pieces(odd, tokens.default_path(), capacity=256)
+    rows = packing.pack(pieces, capacity=256).collect()
+    tok = tokens.tokenizer(tokens.default_path())
+    want = Counter()
+    for d, t, *_ in odd_rows():
+        ids = [*tok.encode(t or "").tolist(), 1]
+        for k, a in enumerate(range(0, len(ids), 256)):
+            want[d, k, a, len(ids[a : a + 256]), zlib.crc32(np.array(ids[a : a + 256], "<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    n = check_packing(rows, 256)
+    assert n <= math.ceil(sum(r.length for r in rows) / 256) + 1
+    assert packing.pack(packing.pieces(none, tokens.default_path())).count() == 0
+
+
+def test_packing_in_several_groups(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, 0, 0, int(x), 0) for i, x in enumerate(rng.integers(1, 100, 3000))]
+    got = packing.pack(spark.createDataFrame(rows, packing.PIECES), capacity=100, group_pieces=400).collect()
+    assert len(got) == 3000
+    alone = packing.sum_of_squares(np.sort([r[3] for r in rows])[::-1], 100)[0].max() + 1
+    assert check_packing(got, 100) <= alone * 1.02
+
+
+def test_sum_of_squares_choice():
+    """Each placement is the best by the definition, worked out from scratch."""
+    rng = np.random.default_rng(7)
+    lengths = rng.integers(1, 21, 200)
+    bins, offsets = packing.sum_of_squares(lengths, 20)
+    fill = Counter()
+
+    def squares(f):
+        return sum(n * n for n in Counter(20 - x for x in f.values() if x < 20).values())
+
+    for a, b, o in zip(lengths.tolist(), bins.tolist(), offsets.tolist()):
+        assert fill[b] == o
+        options = []
+        for k in [*fill, "new"]:
+            if fill.get(k, 0) + a <= 20:
+                options.append(squares(fill | Counter({k: fill.get(k, 0) + a})) if k != "new" else squares(Counter(fill) + Counter({k: a})))
+        fill[b] += a
+        assert squares(fill) == min(options)

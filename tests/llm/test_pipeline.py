@@ -1,0 +1,23 @@
+"""The pipeline's stages on a small corpus."""
+
+import corpus_pipeline
+from tidemark.llm.common import materialize
+
+
+def test_stages_keep_columns_and_take_effect(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names, counts = docs.columns, [docs.count()]
+    for name, stage in corpus_pipeline.STAGES:
+        out = materialize(stage(spark, docs, sf_dir), name)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == names, name
+            docs = out
+        counts.append(out.count())
+    assert counts[1] < counts[0] and counts[2] < counts[1] and counts[3] == counts[2] and counts[4] <= counts[3]
+    assert out.select("doc_id").distinct().count() == counts[4]
+
+
+def test_run_gives_the_last_stage(spark, sf_dir):
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
+    assert corpus_pipeline.ORACLE_SQL is None

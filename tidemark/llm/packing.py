@@ -57,9 +57,9 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     """The sequence and the offset of each length, taken in the given order.
 
     count[g] holds how many open sequences have g free places. Putting a length
-    into gap g changes the sum of squares by 2 * (count[g - length] - count[g] + 1);
-    a new sequence counts as an empty class, a full one costs nothing. The tightest
-    gap wins ties.
+    into gap g changes the sum of squares by 2 * (count[g - length] - count[g]) + 2,
+    one less where the sequence becomes full or is new, as one class less changes.
+    The tightest gap wins ties.
     """
     count = np.zeros(capacity + 1, dtype=np.int64)
     usable = np.zeros(capacity + 1, dtype=np.int64)  # 0 where a gap class is open, else a bar
@@ -71,10 +71,10 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     n_bins = 0
     for i, a in enumerate(lengths.tolist()):
         # of gap g >= a: what the class that loses and the class that gains contribute
-        change = count[: capacity + 1 - a] - count[a:] + usable[a:]
+        change = 2 * (count[: capacity + 1 - a] - count[a:]) + usable[a:]
         change[0] -= 1  # a full sequence leaves the classes
         if a < capacity:
-            change[-1] = count[capacity - a]  # a new sequence loses no class
+            change[-1] = 2 * count[capacity - a] - 1  # a new sequence leaves no class
         gap = int(change.argmin()) + a
         if gap == capacity and not open_bins[capacity]:
             b = n_bins
