@@ -73,7 +73,8 @@ def greedy_allocation(scores: DataFrame, capacity: dict[int, int]) -> DataFrame:
     spark = scores.sparkSession
     room = {h: c for h, c in capacity.items() if c > 0}
     options = scores.filter(F.col("score").isNotNull() & F.col("hour").isin(list(room))).select("user", "hour", "score")
-    best = options.groupBy("user").agg(F.max("score").alias("best"))
+    # the order comes from all hours, those without room included
+    best = scores.filter(F.col("score").isNotNull()).groupBy("user").agg(F.max("score").alias("best"))
     ranked = global_rank(best, [F.desc("best"), F.asc("user")], "rank").select("user", "rank")
     active = cut_lineage(options.join(ranked, "user"))
     n = ranked.count()

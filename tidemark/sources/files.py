@@ -11,6 +11,8 @@ ENCODINGS = ("UTF-8", "x-windows-949", "EUC-KR")
 
 def read_csv_any(spark: SparkSession, path: str, **options) -> DataFrame:
     """CSV with header in the first encoding that decodes it without replacement characters; a byte-order mark is dropped."""
+    # Spark 4 takes only a few charsets unless told otherwise
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     for encoding in ENCODINGS:
         df = spark.read.options(header=True, encoding=encoding, **options).csv(path)
         df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
