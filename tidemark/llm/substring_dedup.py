@@ -179,7 +179,8 @@ def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, rid, cuts): for every document that loses words, ranges [s, t) that cover all of them."""
     occ = occurrences(docs)
     repeated = occ.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("node", "least")
-    cand = materialize(occ.join(repeated, "node"), "repeated-anchors")
+    # the key sides of these joins are written first: with an exchange on either side Spark can split a hot key's rows
+    cand = materialize(occ.join(materialize(repeated, "repeated-nodes"), "node"), "repeated-anchors")
     edges = edges_of(cand)
     spans = materialize(spans_of(edges, compact(edges)), "spans")
     # a window holds its anchor whole, so only the spans of the edges to its left and right can hold the window
@@ -190,10 +191,10 @@ def removals(docs: DataFrame) -> DataFrame:
     inside = lambda s, t: F.coalesce((F.col("first") >= F.col(s)) & (F.col("last") + WINDOW <= F.col(t)), F.lit(False))
     unsettled = materialize(at.filter(~(inside("rs", "rt") | inside("ls", "lt"))).select("doc_id", "rid", "pos", "node", "first", "last", "least"), "unsettled")
     asked = unsettled.filter(F.col("least") < F.col("doc_id")).select("node").distinct()
-    wanted = unsettled.join(asked, "node", "left_semi").groupBy("doc_id", "rid").agg(F.collect_set(F.struct("pos", "first", "last")).alias("ranges"))
+    wanted = unsettled.join(materialize(asked, "asked-nodes"), "node", "left_semi").groupBy("doc_id", "rid").agg(F.collect_set(F.struct("pos", "first", "last")).alias("ranges"))
     hashes = materialize(window_hashes(docs.filter("text is not null"), wanted), "window-hashes")
     least = hashes.groupBy("h", "node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
-    single = hashes.join(least, ["h", "node"]).filter(F.col("doc_id") > F.col("least")).select("doc_id", "rid", F.col("at").alias("s"), (F.col("at") + WINDOW).alias("t"))
+    single = hashes.join(materialize(least, "repeated-windows"), ["h", "node"]).filter(F.col("doc_id") > F.col("least")).select("doc_id", "rid", F.col("at").alias("s"), (F.col("at") + WINDOW).alias("t"))
     cuts = spans.filter(F.col("t") - F.col("s") >= WINDOW).select("doc_id", "rid", "s", "t").distinct().unionByName(single)
     return cuts.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("s", "t")).alias("cuts"))
 
