@@ -100,7 +100,7 @@ def text_rules(text: str = "text") -> list[Rule]:
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     letters = F.length(F.regexp_replace(t, "[^\\p{L}]+", ""))
     return [
-        Rule("symbols", F.col("n_symbols") > 0.1 * F.col("n_words")),
+        Rule("symbols", 10 * F.col("n_symbols") > F.col("n_words")),
         Rule("word_length", (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words"))),
         Rule("dup_lines", (F.col("n_dup_lines") > 2) & (10 * F.col("n_dup_lines") > 3 * (1 + F.length(t) - F.length(F.translate(t, "\n", ""))))),
         Rule("capitals", 2 * F.length(F.regexp_replace(t, "[^\\p{Lu}]+", "")) > letters),
