@@ -11,10 +11,10 @@ smaller doc_id.
   aggregation and joins. Each repeated edge gets its source coordinate: the place
   of its first occurrence, by doc_id and position.
 * Repeated nonbranching paths compact through joins: an edge is joined with the
-  degrees of its end node and with the edge that continues it in its source, and
-  becomes part of that path. In each document neighbouring edges whose source
-  coordinates continue one another form a span; the coordinates verify that the
-  whole span stands in the source, whatever branches there.
+  degrees of its node and with the edge that it continues in its source, and becomes
+  part of that path. Of a path in a document only the ends are kept. Paths that
+  follow one another in the document and in their source form a span; the source
+  coordinates verify that the whole span stands there, whatever branches.
 * Windows inside a verified span are settled. The remaining windows at repeated
   nodes, at the ends of spans and at branches, are compared one by one through
   64-bit hashes of the window and of its anchor.
@@ -42,7 +42,7 @@ from .common import bounded, materialize, mix64, text_bytes
 WINDOW = 50
 ANCHOR = 16
 _BASE = 0x9E3779B97F4A7C15 | 1
-OCCURRENCES = "doc_id long, rid long, nth int, pos int, node long, first int, last int, edge long, stop int, head long"
+OCCURRENCES = "doc_id long, rid long, nth int, pos int, node long, first int, last int, edge long, stop int, before long, head long"
 
 
 def word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
@@ -106,50 +106,64 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 edge[-1] = ~edge[-1]  # an edge to the document's end is another than the same words elsewhere
                 head = np.zeros(len(pos), np.uint64)
                 head[:1] = runs.hash(np.zeros(1, np.int64), pos[:1] + ANCHOR)
-                parts.append((np.full(len(pos), doc_id), np.full(len(pos), rid), np.arange(len(pos)), pos, node, first, last, edge, stop, head))
+                before = np.concatenate([head[:1], edge[:-1]])
+                parts.append((np.full(len(pos), doc_id), np.full(len(pos), rid), np.arange(len(pos)), pos, node, first, last, edge, stop, before, head))
             if parts:
-                doc, rid, nth, pos, node, first, last, edge, stop, head = (np.concatenate(c) for c in zip(*parts))
+                doc, rid, nth, pos, node, first, last, edge, stop, before, head = (np.concatenate(c) for c in zip(*parts))
                 ints = [pa.array(x.astype(np.int32)) for x in (nth, pos, first, last, stop)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(rid, pa.int64()), ints[0], ints[1], _signed(node), ints[2], ints[3], _signed(edge), ints[4], _signed(head)], [f.split()[0] for f in OCCURRENCES.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(rid, pa.int64()), ints[0], ints[1], _signed(node), ints[2], ints[3], _signed(edge), ints[4], _signed(before), _signed(head)], [f.split()[0] for f in OCCURRENCES.split(", ")])
 
     return docs.filter("doc_id is not null and text is not null").mapInArrow(run, OCCURRENCES)
 
 
 def edges_of(cand: DataFrame) -> DataFrame:
-    """(doc_id, rid, nth, u, edge, s, t): each edge occurrence; u is the node it begins at, 0 for a document's beginning."""
-    inner = cand.select("doc_id", "rid", "nth", F.col("node").alias("u"), "edge", F.col("pos").alias("s"), F.col("stop").alias("t"))
-    heads = cand.filter("nth = 0").select("doc_id", "rid", F.lit(-1).alias("nth"), F.lit(0).cast("long").alias("u"), F.col("head").alias("edge"), F.lit(0).alias("s"), (F.col("pos") + ANCHOR).alias("t"))
+    """(doc_id, rid, nth, u, edge, s, t, before, after): each edge occurrence with its neighbours in the text.
+
+    u is the node it begins at, 0 for a document's beginning.
+    """
+    inner = cand.select("doc_id", "rid", "nth", F.col("node").alias("u"), "edge", F.col("pos").alias("s"), F.col("stop").alias("t"), "before", "after")
+    heads = cand.filter("nth = 0").select("doc_id", "rid", F.lit(-1).alias("nth"), F.lit(0).cast("long").alias("u"), F.col("head").alias("edge"), F.lit(0).alias("s"), (F.col("pos") + ANCHOR).alias("t"), F.lit(None).cast("long").alias("before"), F.col("edge").alias("after"))
     return inner.unionByName(heads)
 
 
 def compact(edges: DataFrame) -> DataFrame:
-    """Repeated edges with their source coordinate and path: (u, edge, source, source_rid, at, path).
+    """Repeated edges with their source coordinate: (u, edge, source, source_rid, at, back, on).
 
-    A path goes on from an edge to the one that continues it in its source if the
-    node between them has one repeated edge in and one out.
+    back and on are the edges before and after it on its path, null at the path's
+    ends. A path goes on over a node that has one repeated edge in and one out, to
+    the edge that continues it in its source.
     """
     place = F.struct(F.col("doc_id").alias("d"), F.col("rid").alias("r"), F.col("s").alias("s"), F.col("t").alias("t"))
     distinct = edges.groupBy("u", "edge").agg(F.min(place).alias("p"), F.max("doc_id").alias("most")).filter("p.d < most")
     distinct = materialize(distinct.select("u", "edge", F.col("p.d").alias("source"), F.col("p.r").alias("source_rid"), F.col("p.s").alias("at"), F.col("p.t").alias("until")), "repeated-edges")
     outs = distinct.groupBy("u").agg(F.count(F.lit(1)).alias("n_out"))
     # the edge that stands before another in the source ends where the other's node ends
-    ends = distinct.select("source", "source_rid", (F.col("until") - ANCHOR).alias("at"), F.col("edge").alias("before"))
-    joined = distinct.join(ends, ["source", "source_rid", "at"], "left").join(outs, "u")
-    ins = joined.groupBy("u").agg(F.count_distinct("before").alias("n_in"))
-    linked = joined.join(ins, "u").withColumn("starts", F.when(F.col("before").isNull() | (F.col("n_in") > 1) | (F.col("n_out") > 1), 1).otherwise(0))
-    along = Window.partitionBy("source", "source_rid").orderBy("at", "until")
-    return linked.select("u", "edge", "source", "source_rid", "at", F.sum("starts").over(along).alias("path"))
+    ends = distinct.select("source", "source_rid", (F.col("until") - ANCHOR).alias("at"), F.col("edge").alias("back"))
+    joined = distinct.join(ends, ["source", "source_rid", "at"]).filter("back <> edge").join(outs, "u")
+    ins = joined.groupBy("u").agg(F.count_distinct("back").alias("n_in"))
+    links = materialize(joined.join(ins, "u").filter("n_in = 1 and n_out = 1").select("u", "edge", "back", "source", "source_rid", F.col("at")), "path-links")
+    on = links.select("source", "source_rid", F.col("back").alias("edge"), (F.col("at") + ANCHOR).alias("until"), F.col("edge").alias("on"))
+    both = distinct.join(links.select("u", "edge", "back"), ["u", "edge"], "left").join(on, ["source", "source_rid", "edge", "until"], "left")
+    return both.select("u", "edge", "source", "source_rid", "at", "back", "on")
 
 
 def spans_of(edges: DataFrame, paths: DataFrame) -> DataFrame:
-    """(doc_id, rid, nth, s, t): for each settled edge occurrence the verified span that holds it."""
-    placed = edges.join(paths, ["u", "edge"]).filter(F.col("source") < F.col("doc_id")).withColumn("shift", F.col("at") - F.col("s"))
+    """(doc_id, rid, first, last, s, t): the verified spans, with the numbers of their first and last edge.
+
+    Of a path in a text only the two ends are joined. Paths that follow one another
+    in the text and in their source then grow together.
+    """
+    near = edges.join(paths, ["u", "edge"]).filter(F.col("source") < F.col("doc_id"))
+    inside = F.col("before").eqNullSafe(F.col("back")) & F.col("back").isNotNull() & F.col("after").eqNullSafe(F.col("on")) & F.col("on").isNotNull()
+    tips = near.filter(~inside).select("doc_id", "rid", "nth", "s", "t", "source", "source_rid", (F.col("at") - F.col("s")).alias("shift"), (F.col("back").isNull() | ~F.col("before").eqNullSafe(F.col("back"))).alias("opens"), (F.col("on").isNull() | ~F.col("after").eqNullSafe(F.col("on"))).alias("closes"))
     order = Window.partitionBy("doc_id", "rid").orderBy("nth")
+    # an edge that opens and closes is a path by itself; else the next tip closes what this one opens
+    closed = lambda c: F.when(F.col("closes"), F.col(c)).otherwise(F.lead(c).over(order))
+    runs = tips.withColumns({"last": closed("nth"), "end": closed("t")}).filter("opens")
     same = lambda c: F.lag(c).over(order) == F.col(c)
-    goes_on = (F.lag("nth").over(order) == F.col("nth") - 1) & same("source") & same("source_rid") & same("shift")
-    marked = placed.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("span", F.sum("new").over(order))
-    whole = Window.partitionBy("doc_id", "rid", "span")
-    return marked.select("doc_id", "rid", "nth", F.min("s").over(whole).alias("s"), F.max("t").over(whole).alias("t"))
+    goes_on = (F.lag("last").over(order) == F.col("nth") - 1) & same("source") & same("source_rid") & same("shift")
+    marked = runs.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("span", F.sum("new").over(order))
+    return marked.groupBy("doc_id", "rid", "span").agg(F.min("nth").alias("first"), F.max("last").alias("last"), F.min("s").alias("s"), F.max("end").alias("t")).drop("span")
 
 
 def window_hashes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -181,15 +195,17 @@ def removals(docs: DataFrame) -> DataFrame:
     repeated = occ.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("node", "least")
     # the key sides of these joins are written first: with an exchange on either side Spark can split a hot key's rows
     cand = materialize(occ.join(materialize(repeated, "repeated-nodes"), "node"), "repeated-anchors")
-    edges = edges_of(cand)
+    edges = edges_of(cand.withColumn("after", F.lead("edge").over(Window.partitionBy("doc_id", "rid").orderBy("nth"))))
     spans = materialize(spans_of(edges, compact(edges)), "spans")
     # a window holds its anchor whole, so only the spans of the edges to its left and right can hold the window
-    right = spans.select("doc_id", "rid", "nth", F.col("s").alias("rs"), F.col("t").alias("rt"))
-    left = spans.select("doc_id", "rid", (F.col("nth") + 1).alias("nth"), F.col("s").alias("ls"), F.col("t").alias("lt"))
-    key = ["doc_id", "rid", "nth"]
-    at = cand.select(*key, "pos", "node", "first", "last", "least").join(right, key, "left").join(left, key, "left")
-    inside = lambda s, t: F.coalesce((F.col("first") >= F.col(s)) & (F.col("last") + WINDOW <= F.col(t)), F.lit(False))
-    unsettled = materialize(at.filter(~(inside("rs", "rt") | inside("ls", "lt"))).select("doc_id", "rid", "pos", "node", "first", "last", "least"), "unsettled")
+    none = {c: F.lit(None).cast("int") for c in ("pos", "first", "last")} | {c: F.lit(None).cast("long") for c in ("node", "least")}
+    marks = spans.select("doc_id", "rid", F.col("first").alias("nth"), F.struct(F.col("last").alias("e"), "s", "t").alias("span")).withColumns(none)
+    rows = cand.select("doc_id", "rid", "nth", "pos", "node", "first", "last", "least").withColumn("span", F.lit(None).cast("struct<e:int,s:int,t:int>")).unionByName(marks)
+    order = Window.partitionBy("doc_id", "rid").orderBy("nth")
+    upto = lambda k: F.last("span", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, k))
+    at = rows.withColumns({"right": upto(0), "left": upto(-1)}).filter("node is not null")
+    inside = lambda c, k: F.coalesce((F.col(f"{c}.e") >= F.col("nth") + k) & (F.col("first") >= F.col(f"{c}.s")) & (F.col("last") + WINDOW <= F.col(f"{c}.t")), F.lit(False))
+    unsettled = materialize(at.filter(~(inside("right", 0) | inside("left", -1))).select("doc_id", "rid", "pos", "node", "first", "last", "least"), "unsettled")
     asked = unsettled.filter(F.col("least") < F.col("doc_id")).select("node").distinct()
     wanted = unsettled.join(materialize(asked, "asked-nodes"), "node", "left_semi").groupBy("doc_id", "rid").agg(F.collect_set(F.struct("pos", "first", "last")).alias("ranges"))
     hashes = materialize(window_hashes(docs.filter("text is not null"), wanted), "window-hashes")
