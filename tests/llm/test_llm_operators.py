@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, language_id, language_model, packing, quality_fm, quality_rules, sharding, simhash, substring_dedup, token_counts, tokens
+from tidemark.llm import decontamination, language_arcs, language_id, language_model, packing, quality_fm, quality_rules, sharding, simhash, substring_dedup, token_counts, tokens
 from tidemark.llm.common import doc_crc
 
 FIELDS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -416,6 +416,28 @@ def test_backoff_states_sum_to_one(spark):
         assert total == pytest.approx(1, abs=1e-6)
 
 
+def test_arcs_equal_the_automaton(spark, odd):
+    """All n-grams seen twice, rare words' too, give what the automaton in memory gives at the same count."""
+    rows = [(i, " ".join(f"w{(i * k + k // 3) % 29}" for k in range(1, 60)) + f" x{i // 2} y{i // 3}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(odd.select("doc_id", "text"))
+    held = F.coalesce(F.col("doc_id") % 5 == 0, F.lit(False))
+    model = language_model.fit(docs.filter(~held))
+    key = lambda r: (str(r.doc_id), r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6))
+    want = sorted(language_model.score(docs, model, held).collect(), key=key)
+    got = sorted(language_arcs.score(docs, held).collect(), key=key)
+    assert list(map(key, got)) == list(map(key, want)) and [r.train_tokens for r in got] == [r.train_tokens for r in want]
+    assert [r.score for r in got] == pytest.approx([r.score for r in want])
+    assert language_arcs.score(docs.limit(0), F.lit(False)).count() == 0
+
+
+def test_arcs_of_a_large_corpus(spark):
+    """An n-gram seen twice is an arc however large the corpus is."""
+    docs = spark.createDataFrame([(0, "filler " * 1_500_000), (1, "rare pair"), (2, "rare pair"), (3, "rare filler")], "doc_id long, text string")
+    got = {r.doc_id: r for r in language_arcs.score(docs, F.lit(False)).collect()}
+    assert got[1].score - got[1].base_score > 5
+    assert got[1].score - got[1].base_score == pytest.approx(got[2].score - got[2].base_score)
+
+
 # packing
 
 

@@ -1,0 +1,259 @@
+"""The backoff model of language_model with every n-gram seen twice: all tables are distributed.
+
+Each order's n-grams are numbered by 64-bit keys. Texts are kept as blocks of word
+numbers; a block asks the bucket of a key range for its distinct keys with their
+training counts, the bucket adds them up, keeps words seen once and n-grams seen
+twice, and answers by position. No table of words or arcs is sent to all workers,
+so what is kept grows with the corpus.
+
+A traversal of the automaton is a sum over n-grams. With B the backoff weight of a
+context (0 where it has no arc) and p the discounted probability, in logarithms, a
+token adds B(v) + B(u v) for its contexts, p(v w) - p(w) - B(v) where the bigram is
+kept, and p(u v w) - p(v w) - B(u v) where the trigram is.
+
+Defined cases are those of language_model.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import bounded, materialize, mix64, partitions, text_bytes
+from .language_model import ADD, DISCOUNT, END
+
+#: Least training count of a bigram or trigram that is kept.
+LEAST = 2
+_BLOCK = "block long, docs array<long>, held array<boolean>, lens binary, vocab binary, codes binary"
+
+
+def _planes(a: np.ndarray) -> bytes:
+    """Bytes of whole numbers, all first bytes first: compresses better."""
+    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _whole(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def _deltas(a: np.ndarray) -> bytes:
+    """The same for rising numbers."""
+    a = a.astype(np.uint64)
+    return _planes(np.diff(a, prepend=np.uint64(0)))
+
+
+def _rising(b: bytes) -> np.ndarray:
+    return np.cumsum(_whole(b), dtype=np.uint64)
+
+
+def blocks(docs: DataFrame, held_out: Column) -> DataFrame:
+    """One row for about 8 MB of text: documents, lengths, distinct words' hashes, a word number for each token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches):
+            flat: list[bytes] = []
+            lens = []
+            for t in text_bytes(batch.column("text")):
+                parts = t.lower().split()
+                flat += parts
+                flat.append(END)
+                lens.append(len(parts) + 1)
+            number = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+            vocab = np.array([xxhash.xxh64_intdigest(w) for w in number], dtype=np.uint64)
+            codes = np.array([number[w] for w in flat], dtype=np.uint32)
+            one = lambda c: pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c)
+            bytes_ = lambda a: pa.array([a.tobytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("_row").slice(0, 1), one(batch.column("doc_id")), one(batch.column("held_out")), bytes_(np.array(lens, np.uint32)), bytes_(vocab), bytes_(codes)], ["block", "docs", "held", "lens", "vocab", "codes"])
+
+    source = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
+    return materialize(source.mapInArrow(run, _BLOCK), "lm-blocks")
+
+
+class Block:
+    """The n-grams of a block's row: for each order the keys of all places, and the document of each place."""
+
+    def __init__(self, row: dict):
+        self.lens = np.frombuffer(row["lens"], np.uint32).astype(np.int64)
+        h = np.frombuffer(row["vocab"], np.uint64)[np.frombuffer(row["codes"], np.uint32)]
+        self.doc = np.repeat(np.arange(len(self.lens)), self.lens)
+        self.train = ~np.array(row["held"], dtype=bool)
+        pair = mix64(mix64(h[:-1]) + h[1:])
+        triple = mix64(mix64(pair[:-1] ^ np.uint64(0x9E3779B97F4A7C15)) + h[2:])
+        self.two = np.flatnonzero(self.doc[:-1] == self.doc[1:])
+        self.three = np.flatnonzero(self.doc[:-2] == self.doc[2:])
+        self.h, self.pair, self.triple = h, pair, triple
+
+    def order(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, documents) of the n-grams of one order, in places' order."""
+        if k == 1:
+            return self.h, self.doc
+        at, keys = (self.two, self.pair) if k == 2 else (self.three, self.triple)
+        return keys[at], self.doc[at]
+
+    def parts(self, k: int, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the n-grams at places i consist of: two words or two bigrams."""
+        if k == 1:
+            return self.h[i], self.h[i]
+        at = (self.two if k == 2 else self.three)[i]
+        of = self.h if k == 2 else self.pair
+        return of[at], of[at + 1]
+
+
+def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
+    """Bucket of each key; rises with the key."""
+    return (((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+
+def _rows(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows)) if rows else [[] for _ in fields]
+    return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
+
+
+_ASKED = "ord int, bucket int, block long, start long, keys binary, n binary"
+_FOUND = "ord int, bucket int, block long, at binary, place binary, own binary, own_place binary, own_n binary"
+_ARC = "ord int, bucket int, place long, k long, x long, y long, n long"
+_ANSWER = "ord int, block long, at binary, base binary, gain binary"
+
+
+def asked(table: DataFrame, n: int) -> DataFrame:
+    """A row for each block, order and bucket: the distinct keys, sorted, and their training counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                b, out = Block(batch.slice(i, 1).to_pylist()[0]), []
+                block = batch.column("block")[i].as_py()
+                for k in (1, 2, 3):
+                    keys, doc = b.order(k)
+                    u, at = np.unique(keys, return_inverse=True)
+                    count = np.bincount(at, weights=b.train[doc], minlength=len(u)).astype(np.uint64)
+                    edges = np.searchsorted(_bucket(u, n), np.arange(n + 1))
+                    out += [(k, j, block, int(p), _deltas(u[p:q]), _planes(count[p:q])) for j, (p, q) in enumerate(zip(edges[:-1], edges[1:])) if q > p]
+                yield from _rows(_ASKED, out).to_batches()
+
+    return table.mapInArrow(run, _ASKED)
+
+
+def found(requests: DataFrame) -> DataFrame:
+    """For each request the kept keys: positions in the block and in the bucket; one block owns each, with its count."""
+
+    def run(t: pa.Table) -> pa.Table:
+        least = 1 if t.column("ord")[0].as_py() == 1 else LEAST
+        keys = [_rising(b) for b in t.column("keys").to_pylist()]
+        counts = [_whole(b) for b in t.column("n").to_pylist()]
+        u, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
+        kept = n >= least
+        place = np.cumsum(kept) - 1
+        owner = np.zeros(len(at), bool)
+        owner[first[kept]] = True
+        edges, out = np.cumsum([0, *map(len, keys)]), []
+        for i, start in enumerate(t.column("start").to_pylist()):
+            part = at[edges[i] : edges[i + 1]]
+            mine, own = np.flatnonzero(kept[part]), np.flatnonzero(owner[edges[i] : edges[i + 1]])
+            if len(mine):
+                out.append((t.column("ord")[i].as_py(), t.column("bucket")[i].as_py(), t.column("block")[i].as_py(), _deltas(mine + start), _deltas(place[part[mine]]), _deltas(own + start), _deltas(place[part[own]]), _planes(n[part[own]])))
+        return _rows(_FOUND, out)
+
+    return materialize(requests.groupBy("ord", "bucket").applyInArrow(run, _FOUND), "lm-found")
+
+
+def arcs(table: DataFrame, kept: DataFrame) -> DataFrame:
+    """A row for each kept n-gram: its place in the bucket, its key, its two parts' keys and its count."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            b = Block(left.to_pylist()[0])
+            rows = right.to_pylist()
+            for k in (1, 2, 3):
+                u, first = np.unique(b.order(k)[0], return_index=True)
+                for r in (r for r in rows if r["ord"] == k):
+                    own = _rising(r["own"]).astype(np.int64)
+                    x, y = b.parts(k, first[own])
+                    m = len(own)
+                    out.append(pa.table([pa.array(np.full(m, k, np.int32)), pa.array(np.full(m, r["bucket"], np.int32)), pa.array(_rising(r["own_place"]).astype(np.int64)), *(pa.array(v.view(np.int64)) for v in (u[own], x, y)), pa.array(_whole(r["own_n"]).astype(np.int64))], names=[f.split()[0] for f in _ARC.split(", ")]))
+        return pa.concat_tables(out) if out else _rows(_ARC, [])
+
+    own = kept.select("ord", "bucket", "block", "own", "own_place", "own_n")
+    return materialize(table.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(run, _ARC), "lm-arcs")
+
+
+def _backoff(p: Column, lower: Column) -> Column:
+    left = lambda c: F.greatest(1 - F.sum(c), F.lit(1e-12))
+    return F.log10(left(p) / left(lower))
+
+
+def weights(arc: DataFrame, total: int, distinct: int) -> DataFrame:
+    """What a kept n-gram adds: base for words, gain for all."""
+    one = arc.filter("ord = 1").select("bucket", "place", "k", "n", F.log10((F.col("n") + ADD) / (total + ADD * (distinct + 1))).alias("base"))
+    of = lambda name, **c: one.select(F.col("k").alias(name), *[F.col(a).alias(b) for a, b in c.items()])
+    two = arc.filter("ord = 2").join(of("x", n="nx"), "x").join(of("y", base="base_y"), "y")
+    two = materialize(two.select("bucket", "place", "k", "x", "base_y", "n", ((F.col("n") - DISCOUNT) / F.col("nx")).alias("p")), "lm-two")
+    back1 = materialize(two.groupBy("x").agg(_backoff(F.col("p"), F.pow(F.lit(10.0), "base_y")).alias("back")), "lm-back1")
+    three = arc.filter("ord = 3").join(two.select(F.col("k").alias("x"), F.col("n").alias("nx")), "x").join(two.select(F.col("k").alias("y"), F.col("p").alias("py")), "y")
+    three = materialize(three.select("bucket", "place", "x", "py", ((F.col("n") - DISCOUNT) / F.col("nx")).alias("p")), "lm-three")
+    back2 = materialize(three.groupBy("x").agg(_backoff(F.col("p"), F.col("py")).alias("back")), "lm-back2")
+    back = F.coalesce("back", F.lit(0.0))
+    v1 = one.join(back1.withColumnRenamed("x", "k"), "k", "left").select(F.lit(1).alias("ord"), "bucket", "place", "base", back.alias("gain"))
+    v2 = two.join(back1, "x").select("bucket", "place", "k", (F.log10("p") - F.col("base_y") - F.col("back")).alias("gain"))
+    v2 = v2.join(back2.withColumnRenamed("x", "k"), "k", "left").select(F.lit(2).alias("ord"), "bucket", "place", F.lit(0.0).alias("base"), (F.col("gain") + back).alias("gain"))
+    v3 = three.join(back2, "x").select(F.lit(3).alias("ord"), "bucket", "place", F.lit(0.0).alias("base"), (F.log10("p") - F.log10("py") - F.col("back")).alias("gain"))
+    return v1.unionByName(v2).unionByName(v3)
+
+
+def answers(kept: DataFrame, values: DataFrame) -> DataFrame:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        place = right.column("place").to_numpy()
+        base, gain = np.zeros((2, len(place)))
+        base[place], gain[place] = right.column("base").to_numpy(), right.column("gain").to_numpy()
+        out = []
+        for r in left.to_pylist():
+            at = _rising(r["place"]).astype(np.int64)
+            out.append((r["ord"], r["block"], r["at"], base[at].tobytes() if r["ord"] == 1 else b"", gain[at].tobytes()))
+        return _rows(_ANSWER, out)
+
+    asks = kept.select("ord", "bucket", "block", "at", "place")
+    return asks.groupBy("ord", "bucket").cogroup(values.groupBy("ord", "bucket")).applyInArrow(run, _ANSWER)
+
+
+def score(docs: DataFrame, held_out: Column) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; held-out rows do not train."""
+    n = 2 * partitions(docs.sparkSession)
+    table = blocks(docs, held_out)
+    kept = found(asked(table, n))
+    arc = arcs(table, kept)
+    total, distinct = arc.filter("ord = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    unknown = float(np.log10(ADD / (total + ADD * (distinct + 1))))
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row, replies = left.to_pylist()[0], right.to_pylist()
+        b = Block(row)
+        m = len(b.lens)
+        known, base, gain = np.zeros(m), np.zeros(m), np.zeros(m)
+        for k in (1, 2, 3):
+            keys, doc = b.order(k)
+            u, at = np.unique(keys, return_inverse=True)
+            v, w, seen = np.zeros(len(u)), np.full(len(u), unknown), np.zeros(len(u), bool)
+            for r in (r for r in replies if r["ord"] == k):
+                i = _rising(r["at"]).astype(np.int64)
+                v[i], seen[i] = np.frombuffer(r["gain"]), True
+                if k == 1:
+                    w[i] = np.frombuffer(r["base"])
+            gain += np.bincount(doc, weights=v[at], minlength=m)
+            if k == 1:
+                base = np.bincount(doc, weights=w[at], minlength=m)
+                known = np.bincount(doc, weights=seen[at], minlength=m)
+        columns = [pa.array(row["docs"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(b.lens), pa.array(known.astype(np.int64)), pa.array(np.full(m, total, np.int64)), pa.array(base), pa.array(base + gain)]
+        return pa.table(columns, names=[f.split()[0] for f in schema.split(", ")])
+
+    got = answers(kept, weights(arc, total, distinct))
+    return table.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(run, schema)
