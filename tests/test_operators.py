@@ -203,3 +203,22 @@ def test_matching_and_tags():
     assert M.drop_tags(tokens, set(), [("JJ", "NN")], "the red ring") == "the"
     assert M.tag_spans(tokens, ("JJ", "NN"), "the red ring") == ["red ring"]
     assert M.frequent_title("zzzzzz q\naaaaaa\naaaaaaa") == "aaaaaa"
+
+
+def test_one_to_one_matching_takes_all_names(spark, tmp_path):
+    """Two brands of 30 and 27 names each: every pair of the plain loop, beyond the first 20 names."""
+    from tidemark.plans import registry
+
+    r = random.Random(7)
+    sides = {b: sorted({"".join(r.choices("abcdef", k=r.randint(3, 9))) for _ in range(n)}) for b, n in (("A", 30), ("B", 27))}
+    spark.createDataFrame([(x, "T", b) for b, names in sides.items() for x in names], "p_name string, p_type string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    pairs = sorted(((-S.ratio(x, y), i, j) for i, x in enumerate(sides["A"]) for j, y in enumerate(sides["B"])))
+    want, used_a, used_b = [], set(), set()
+    for s, i, j in pairs:
+        if -s >= 0.5 and i not in used_a and j not in used_b:
+            used_a.add(i)
+            used_b.add(j)
+            want.append((sides["A"][i], sides["B"][j], round(-s, 6)))
+    got = registry.queries()["q_one_to_one_matching"](spark, str(tmp_path)).collect()
+    assert sorted((x.a, x.b, x.s) for x in got) == sorted(want)
+    assert max(used_a) >= 20 and max(used_b) >= 20

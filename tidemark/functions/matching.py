@@ -13,10 +13,13 @@ from tidemark.functions.similarity import ratio
 
 def one_to_one(left: list[str], right: list[str], least: float = 0.5) -> list[tuple[str, str, float]]:
     """Greedy pairs by falling similarity, each string used once, at least ``least`` alike."""
-    pairs = sorted(((ratio(a, b), i, j) for i, a in enumerate(left) for j, b in enumerate(right)), key=lambda x: (-x[0], x[1], x[2]))
+    # ratio is at most 2 min(n, m) / (n + m), so lengths alone rule pairs out
+    near = ((i, j) for i, a in enumerate(left) for j, b in enumerate(right) if not a + b or 2 * min(len(a), len(b)) / (len(a) + len(b)) >= least)
+    scored = ((ratio(left[i], right[j]), i, j) for i, j in near)
+    pairs = sorted((x for x in scored if x[0] >= least), key=lambda x: (-x[0], x[1], x[2]))
     used_a, used_b, out = set(), set(), []
     for s, i, j in pairs:
-        if s >= least and i not in used_a and j not in used_b:
+        if i not in used_a and j not in used_b:
             used_a.add(i)
             used_b.add(j)
             out.append((left[i], right[j], s))
