@@ -222,3 +222,25 @@ def test_one_to_one_matching_takes_all_names(spark, tmp_path):
     got = registry.queries()["q_one_to_one_matching"](spark, str(tmp_path)).collect()
     assert sorted((x.a, x.b, x.s) for x in got) == sorted(want)
     assert max(used_a) >= 20 and max(used_b) >= 20
+
+
+def test_order_part_components(spark, tmp_path):
+    """More than 500 nodes, keys of all residues, against union-find."""
+    from tidemark.plans import registry
+
+    r = random.Random(8)
+    lines = [(r.randint(1, 2000), r.randint(1, 900)) for _ in range(700)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for o, p in lines:
+        a, b = top(("order", o)), top(("part", p))
+        up[a] = b
+    got = {(x.kind, x.key): x.component for x in registry.queries()["q_order_part_components"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(up) and len(got) > 500
+    assert len({(top(k), c) for k, c in got.items()}) == len({top(k) for k in up}) == len(set(got.values()))

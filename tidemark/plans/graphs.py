@@ -59,3 +59,11 @@ def q_connected_components(t: Tables) -> DataFrame:
     m = F.col("l_orderkey") % 500
     e = t.lineitem.filter(m < 490).select(m.alias("src"), (m + 7 * (F.col("l_linenumber") % 2)).alias("dst")).distinct()
     return G.components(e)
+
+
+@query()
+def q_order_part_components(t: Tables) -> DataFrame:
+    """Components of the graph of all orders and the parts on their lines; q_connected_components covers a graph of fixed size that SQL can close."""
+    e = t.lineitem.select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).distinct()
+    node = F.col("node")
+    return G.components(e).select(F.when(node % 2 == 0, "order").otherwise("part").alias("kind"), F.shiftright(node, 1).alias("key"), "component")
