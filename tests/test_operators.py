@@ -244,3 +244,13 @@ def test_order_part_components(spark, tmp_path):
     got = {(x.kind, x.key): x.component for x in registry.queries()["q_order_part_components"](spark, str(tmp_path)).collect()}
     assert set(got) == set(up) and len(got) > 500
     assert len({(top(k), c) for k, c in got.items()}) == len({top(k) for k in up}) == len(set(got.values()))
+
+
+@pytest.mark.parametrize("name,rows", [("q_partition_merge_all", 1), ("q_month_sequence_all", 3)])
+def test_all_orders_take_part(spark, sf_dir, name, rows):
+    from tidemark.plans import registry
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    got = registry.queries()[name](spark, sf_dir)
+    assert got.select("o_orderkey").distinct().count() == orders.count()
+    assert got.count() == rows * orders.count()

@@ -79,11 +79,21 @@ def q_feature_month(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", F.date_format(F.add_months(day, -1), "yyyyMM").alias("feature_ym"), F.date_format(F.date_sub(day, 1), "yyyyMM").alias("prev_day_ym"))
 
 
-@query("""SELECT o_orderkey, strftime(CAST(date_trunc('month', o_orderdate) AS DATE) - to_months(CAST(k AS INTEGER)), '%Y%m') AS ym FROM orders, range(0, 3) r(k) WHERE o_totalprice > 400000""")
-def q_month_sequence(t: Tables) -> DataFrame:
+def months_back(orders: DataFrame) -> DataFrame:
+    """The month of each order and the two before."""
     start = F.trunc("o_orderdate", "month")
     months = F.sequence(F.add_months(start, -2), start, F.expr("interval 1 month"))
-    return t.orders.filter("o_totalprice > 400000").select("o_orderkey", F.explode(months).alias("m")).select("o_orderkey", F.date_format("m", "yyyyMM").alias("ym"))
+    return orders.select("o_orderkey", F.explode(months).alias("m")).select("o_orderkey", F.date_format("m", "yyyyMM").alias("ym"))
+
+
+@query("""SELECT o_orderkey, strftime(CAST(date_trunc('month', o_orderdate) AS DATE) - to_months(CAST(k AS INTEGER)), '%Y%m') AS ym FROM orders, range(0, 3) r(k) WHERE o_totalprice > 400000""")
+def q_month_sequence(t: Tables) -> DataFrame:
+    return months_back(t.orders.filter("o_totalprice > 400000"))
+
+
+@query("""SELECT o_orderkey, strftime(CAST(date_trunc('month', o_orderdate) AS DATE) - to_months(CAST(k AS INTEGER)), '%Y%m') AS ym FROM orders, range(0, 3) r(k)""")
+def q_month_sequence_all(t: Tables) -> DataFrame:
+    return months_back(t.orders)
 
 
 @query("""SELECT event_id, CASE WHEN event_type IN ('view','click') THEN 'MMS' WHEN event_type='purchase' THEN 'RCS' ELSE 'UKV' END AS chnl_typ,

@@ -17,14 +17,24 @@ def _folder(t: Tables) -> str:
     return f"{root.rstrip('/')}/tidemark/{uuid.uuid4().hex[:12]}"
 
 
-@query("SELECT o_orderkey, o_totalprice, CAST(year(o_orderdate) AS VARCHAR) AS year, strftime(o_orderdate, '%m') AS month FROM orders WHERE o_totalprice > 300000")
-def q_partition_merge(t: Tables) -> DataFrame:
+def merged(t: Tables, orders: DataFrame) -> DataFrame:
+    """The orders written by year and month, and all partition files merged."""
     path = _folder(t)
-    d = t.orders.filter("o_totalprice > 300000").select("o_orderkey", "o_totalprice", F.year("o_orderdate").cast("string").alias("year"), F.date_format("o_orderdate", "MM").alias("month"))
+    d = orders.select("o_orderkey", "o_totalprice", F.year("o_orderdate").cast("string").alias("year"), F.date_format("o_orderdate", "MM").alias("month"))
     S.write_partitions(d.repartition("year", "month"), path, ["year", "month"])
     return S.merge_partitions(t.spark, path).select("o_orderkey", "o_totalprice", "year", "month")
 
 
+@query("SELECT o_orderkey, o_totalprice, CAST(year(o_orderdate) AS VARCHAR) AS year, strftime(o_orderdate, '%m') AS month FROM orders WHERE o_totalprice > 300000")
+def q_partition_merge(t: Tables) -> DataFrame:
+    return merged(t, t.orders.filter("o_totalprice > 300000"))
+
+
+@query("SELECT o_orderkey, o_totalprice, CAST(year(o_orderdate) AS VARCHAR) AS year, strftime(o_orderdate, '%m') AS month FROM orders")
+def q_partition_merge_all(t: Tables) -> DataFrame:
+    return merged(t, t.orders)
+
+
 @query("SELECT c_custkey, c_name, 'Y' AS active FROM customer")
 def q_csv_round_trip(t: Tables) -> DataFrame:
     path = _folder(t)
