@@ -254,3 +254,10 @@ def test_all_orders_take_part(spark, sf_dir, name, rows):
     got = registry.queries()[name](spark, sf_dir)
     assert got.select("o_orderkey").distinct().count() == orders.count()
     assert got.count() == rows * orders.count()
+
+
+def test_short_windows_join(spark, sf_dir):
+    from tidemark.plans import registry
+
+    wins = {x.win for x in registry.queries()["q_bigram_equi_join_all"](spark, sf_dir).select("win").distinct().collect()}
+    assert any(2 <= len(w) < 6 for w in wins) and any(len(w) >= 6 for w in wins)

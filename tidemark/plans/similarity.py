@@ -28,10 +28,23 @@ def q_bigram_candidates(t: Tables) -> DataFrame:
 _WINDOW = "SELECT item_id, w[i] AS win FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark))"
 
 
+def windows(t: Tables) -> DataFrame:
+    return t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("win")).distinct()
+
+
+def window_names(t: Tables, w: DataFrame) -> DataFrame:
+    """Windows and names that share a bigram."""
+    return candidates(w, "win", X.bigrams(F.col("win")), names(t), "p_name", X.bigrams(F.col("p_name"))).select("win", "p_name")
+
+
 @query(f"SELECT DISTINCT win, p_name FROM (SELECT DISTINCT win, substr(win, CAST(j AS INTEGER), 2) AS g FROM ({_WINDOW}), unnest(range(1, greatest(length(win), 2))) r(j)) x JOIN (SELECT k AS p_name, g FROM ({_NAME})) USING (g) WHERE length(win) >= 6")
 def q_bigram_equi_join(t: Tables) -> DataFrame:
-    w = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("win")).filter(F.length("win") >= 6).distinct()
-    return candidates(w, "win", X.bigrams(F.col("win")), names(t), "p_name", X.bigrams(F.col("p_name"))).select("win", "p_name")
+    return window_names(t, windows(t).filter(F.length("win") >= 6))
+
+
+@query(f"SELECT DISTINCT win, p_name FROM (SELECT DISTINCT win, substr(win, CAST(j AS INTEGER), 2) AS g FROM ({_WINDOW}), unnest(range(1, greatest(length(win), 2))) r(j)) x JOIN (SELECT k AS p_name, g FROM ({_NAME})) USING (g)")
+def q_bigram_equi_join_all(t: Tables) -> DataFrame:
+    return window_names(t, windows(t))
 
 
 _SIZES = f"SELECT k, count(*) AS n FROM ({_NAME}) GROUP BY 1"
