@@ -380,6 +380,17 @@ def test_best_region_is_exact():
         assert d == distance(a.tolist(), b[s:e].tolist())
 
 
+def test_decontaminate_decides_by_row(spark):
+    """A contaminated row goes though its doc_id is null, and a clean one stays though it shares the doc_id of a contaminated one."""
+    item = " ".join(f"q{i}" for i in range(12))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, f"before {item} after", "a"), (None, "all clean here", "b"), (7, f"x {item} y", "c"), (7, "clean as well", "d"), (8, None, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = decontamination.decontaminate(docs, bench)
+    assert got.columns == docs.columns and sorted(r.lang for r in got.collect()) == ["b", "d", "e"]
+    assert decontamination.decontaminate(docs, bench.limit(0)).count() == len(rows)
+
+
 # language model
 
 

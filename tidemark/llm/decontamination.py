@@ -252,7 +252,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     return found.withColumn("similarity", 1 - F.col("edits") / F.col("item_words"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the documents that hold a benchmark item; null doc_ids stay."""
-    bad = contaminated(docs, benchmark, **options).filter("doc_id is not null").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.99, sampled: int = 3, agree: float = 0.4) -> DataFrame:
+    """docs without the rows that hold a benchmark item; each row's own text decides, whatever its doc_id."""
+    kept = docs
+    for block in _blocks(benchmark):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(sent.value, similarity, recall, sampled, agree)
+            for batch in bounded(batches):
+                yield batch.filter(pa.array([not matcher.scan(t) for t in batch.column("text").cast(pa.string()).to_pylist()]))
+
+        kept = kept.mapInArrow(clean, docs.schema)
+    return kept
