@@ -11,8 +11,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, language_arcs, language_id, language_model, packing, quality_fm, quality_rules, sharding, simhash, substring_dedup, token_counts, tokens
-from tidemark.llm.common import doc_crc
+from tidemark.llm import decontamination, language_id, language_model, packing, quality_fm, quality_rules, sharding, simhash, substring_dedup, token_counts, tokens
+from tidemark.llm.common import Words, doc_crc
 
 FIELDS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"word{i % 977}x{i % 13}" for i in range(9000))
@@ -394,59 +394,83 @@ def test_decontaminate_decides_by_row(spark):
 # language model
 
 
-def test_language_model(spark, odd, none):
-    train = spark.createDataFrame([(i, " ".join(f"w{i * k % 17}" for k in range(1, 60))) for i in range(40)], "doc_id long, text string")
-    model = language_model.fit(train, gram_share=1e-3)
-    c = Counter()
-    for r in train.collect():
-        c.update(words(r.text.lower()))
-        c[None] += 1
-    n, v = sum(c.values()), len(c)
-    base = lambda x: math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1)))
-    for docs in (train, odd):
-        for r, (d, t) in zip(sorted(language_model.score(docs, model).collect(), key=lambda r: (str(r.doc_id), r.n_tokens, r.base_score)), sorted(((x.doc_id, x.text) for x in docs.select("doc_id", "text").collect()), key=lambda x: (str(x[0]), len(words(x[1])) + 1, sum(base(w) for w in [*words((x[1] or "").lower()), None])))):
-            w = [*words((t or "").lower()), None]
-            assert (r.doc_id, r.n_tokens, r.n_known, r.train_tokens) == (d, len(w), sum(c[x] > 0 for x in w), n)
-            assert r.base_score == pytest.approx(sum(map(base, w)))
-    assert language_model.score(none, model).count() == 0
-    empty = language_model.score(odd, language_model.fit(none)).collect()
-    assert len(empty) == len(odd_rows()) and {r.train_tokens for r in empty} == {0}
-
-
-def test_backoff_states_sum_to_one(spark):
-    rows = [(i, " ".join(f"w{(i * k + k // 3) % 9}" for k in range(1, 40))) for i in range(30)]
-    counts, words_, a, n, v = language_model.fit(spark.createDataFrame(rows, "doc_id long, text string"), gram_share=2e-3)
-    a.prepare()
-    uni = 10 ** a.base[1:]
-    unknown = 0.1 / (n + 0.1 * (v + 1))
-    assert uni.sum() + unknown == pytest.approx(1)
-    history = [[x, y] for x in range(1, v + 1) for y in range(1, v + 1)]
-    for h in history:
-        start = a.traverse(h)
-        total = sum(10 ** (a.traverse([*h, w]) - start) * uni[w - 1] for w in range(1, v + 1)) + 10 ** (a.traverse([*h, 0]) - start) * unknown
-        assert total == pytest.approx(1, abs=1e-6)
-
-
-def test_arcs_equal_the_automaton(spark, odd):
-    """All n-grams seen twice, rare words' too, give what the automaton in memory gives at the same count."""
-    rows = [(i, " ".join(f"w{(i * k + k // 3) % 29}" for k in range(1, 60)) + f" x{i // 2} y{i // 3}") for i in range(60)]
+class PlainModel:
+    """The automaton's probabilities by recursion over dictionaries."""
+
+    def __init__(self, texts):
+        self.c = Counter()
+        for t in texts:
+            w = tokens_of(t)
+            self.c.update(tuple(w[max(0, i - k) : i + 1]) for i in range(len(w)) for k in (0, 1, 2) if i >= k)
+        self.n = sum(c for g, c in self.c.items() if len(g) == 1)
+        self.v = sum(len(g) == 1 for g in self.c)
+
+    def p(self, gram):
+        if len(gram) == 1:
+            return (self.c[gram] + 0.1) / (self.n + 0.1 * (self.v + 1))
+        k = language_model.PRIORS[len(gram) - 2]
+        return (self.c[gram] + k * self.p(gram[1:])) / (self.c[gram[:-1]] + k)
+
+    def row(self, t):
+        w = tokens_of(t)
+        base = sum(math.log10(self.p((x,))) for x in w)
+        return len(w), sum(self.c[(x,)] > 0 for x in w), self.n, base, sum(math.log10(self.p(tuple(w[max(0, i - 2) : i + 1]))) for i in range(len(w)))
+
+
+def tokens_of(t):
+    return [*words("".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in t or "")), None]
+
+
+def check_model(docs, held):
+    rows = docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("h")).collect()
+    plain = PlainModel([r.text for r in rows if not r.h])
+    key = lambda r: (str(r[0]), r[1], *r[2:5], round(r[5], 6), round(r[6], 6))
+    want = sorted(((r.doc_id, r.h, *plain.row(r.text)) for r in rows), key=key)
+    got = sorted(map(tuple, language_model.score(docs, held).collect()), key=key)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert [x for g in got for x in g[5:]] == pytest.approx([x for w in want for x in w[5:]])
+    return plain
+
+
+def test_language_model(spark, odd, none, monkeypatch):
+    rows = [(i, " ".join(f"W{(i * k + k // 3) % 29}" for k in range(1, 60)) + f" x{i // 2} y{i // 3}") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(odd.select("doc_id", "text"))
-    held = F.coalesce(F.col("doc_id") % 5 == 0, F.lit(False))
-    model = language_model.fit(docs.filter(~held))
-    key = lambda r: (str(r.doc_id), r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6))
-    want = sorted(language_model.score(docs, model, held).collect(), key=key)
-    got = sorted(language_arcs.score(docs, held).collect(), key=key)
-    assert list(map(key, got)) == list(map(key, want)) and [r.train_tokens for r in got] == [r.train_tokens for r in want]
-    assert [r.score for r in got] == pytest.approx([r.score for r in want])
-    assert language_arcs.score(docs.limit(0), F.lit(False)).count() == 0
-
-
-def test_arcs_of_a_large_corpus(spark):
-    """An n-gram seen twice is an arc however large the corpus is."""
-    docs = spark.createDataFrame([(0, "filler " * 1_500_000), (1, "rare pair"), (2, "rare pair"), (3, "rare filler")], "doc_id long, text string")
-    got = {r.doc_id: r for r in language_arcs.score(docs, F.lit(False)).collect()}
-    assert got[1].score - got[1].base_score > 5
-    assert got[1].score - got[1].base_score == pytest.approx(got[2].score - got[2].base_score)
+    check_model(docs, F.col("doc_id") % 5 == 0)
+    monkeypatch.setattr(language_model, "BLOCK_BYTES", 500)
+    check_model(docs, F.col("doc_id") % 5 == 0)
+    check_model(odd, F.lit(True))
+    check_model(odd, F.col("score") == 8)
+    assert language_model.score(none, F.lit(False)).count() == 0
+
+
+def test_states_sum_to_one(spark):
+    rows = [(i, " ".join(f"w{(i * k + k // 3) % 9}" for k in range(1, 40))) for i in range(30)]
+    plain = check_model(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False))
+    vocabulary = [g[0] for g in plain.c if len(g) == 1]
+    unknown = ("never seen",)
+    for context in [(), *((x,) for x in vocabulary if x), *((x, y) for x in vocabulary for y in vocabulary if x and y)]:
+        assert sum(plain.p((*context, w)) for w in (*vocabulary, *unknown)) == pytest.approx(1)
+
+
+def test_model_grows_with_the_corpus(spark):
+    """An n-gram counts however large the corpus is, and a text that occurs twice scores above one that occurs once."""
+    docs = spark.createDataFrame([(0, "filler " * 1_500_000), (1, "rare pair of words"), (2, "rare pair of words"), (3, "other four single words")], "doc_id long, text string")
+    got = {r.doc_id: r.score - r.base_score for r in language_model.score(docs, F.lit(False)).collect()}
+    assert got[1] == pytest.approx(got[2]) and got[1] > got[3] > 0
+
+
+def test_words_are_hashed_whole():
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.choice(list(b"aB \n\xc3\xa9z"), size=int(n))) for n in rng.integers(0, 60, 200)] + [b"", b"x" * 9000, b"x" * 9001, b" ", b"x" * 8, b"x" * 16]
+    for lower in (False, True):
+        got = Words(texts, lower)
+        flat = [w for t in texts for w in (t.lower() if lower else t).split()]
+        assert got.count.tolist() == [len(t.split()) for t in texts]
+        assert [got.data[a:b].tobytes() for a, b in zip(got.start, got.stop)] == flat
+        by = {}
+        for w, h in zip(flat, got.hash.tolist()):
+            assert by.setdefault(w, h) == h
+        assert len(set(by.values())) == len(by)
 
 
 # packing

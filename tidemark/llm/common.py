@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,3 +110,58 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+#: Masks of the first n bytes of a little-endian 64-bit number.
+_FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
+#: Eight-byte steps that a word is hashed in; longer words take the library's XXH64.
+_STEPS = 512
+
+
+class Words:
+    """The words of texts, found and hashed as whole arrays.
+
+    ``hash`` holds a 64-bit hash of each word, ``count`` the number of words of each
+    text; ``start`` and ``stop`` are places in ``data``, the texts joined by a space,
+    where text i begins at ``text_at[i]``. With lower, A-Z count as a-z.
+    """
+
+    def __init__(self, texts: list[bytes], lower: bool = False):
+        self.data = np.frombuffer(b" ".join(texts) + b" " * 9, dtype=np.uint8)
+        if lower:
+            self.data = _LOWER[self.data]
+        space = _SPACE[self.data]
+        edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if not space[0]:
+            edges = np.concatenate([[0], edges])
+        self.start, self.stop = edges[0::2], edges[1::2]
+        sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+        self.text_at = np.cumsum(sizes) - sizes
+        self.count = np.diff(np.append(np.searchsorted(self.start, self.text_at), len(self.start)))
+        self.hash = self._hashes()
+
+    def _hashes(self) -> np.ndarray:
+        eights = np.ndarray((len(self.data) - 7,), "<u8", buffer=self.data, strides=(1,))
+        size = self.stop - self.start
+        h = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        h = mix64(h ^ (eights[self.start] & _FIRST[np.minimum(size, 8)]))
+        live = np.flatnonzero(size > 8)
+        for j in range(8, 8 * _STEPS, 8):
+            if not len(live):
+                return h
+            h[live] = mix64(h[live] ^ (eights[self.start[live] + j] & _FIRST[np.minimum(size[live] - j, 8)]))
+            live = live[size[live] > j + 8]
+        for i in live.tolist():
+            h[i] = xxhash.xxh64_intdigest(self.data[self.start[i] : self.stop[i]].tobytes())
+        return h
+
+
+def drop_files(spark: SparkSession, df: DataFrame) -> None:
+    """Deletes the files of a materialize()d table that nothing reads any more."""
+    for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,292 +1,242 @@
-"""N-gram language model as a weighted backoff automaton.
+"""N-gram language model as a weighted backoff automaton with all n-grams of the training texts.
 
-Counts run over all training texts. Unigrams keep their exact counts in a table
-that stays distributed; words and n-grams whose count is at least a fixed share of
-all training tokens form the automaton, which the share bounds (at most 1 / share
-entries of each order), so it may be broadcast.
+States are contexts (none, one word, two words) that occur in training. An n-gram
+that occurs is an arc from its context; a state without an arc for the next token
+follows its failure arc to the shorter context. With c the training counts, k the
+prior of an order and p' the probability one order below,
 
-States are contexts (none, one word, two words) with kept continuations. A kept
-n-gram is an arc with its discounted log-probability; a state without an arc for
-the next token follows its failure arc to the shorter context and pays the
-backoff weight, which is set so that each state's probabilities sum to one over
-the vocabulary. The lowest order is the smoothed unigram of the base score, so
-unknown and rare words need no arcs. One left-to-right traversal carries the state.
+    arc of n-gram (context, w):   (c(context w) + k p'(w)) / (c(context) + k)
+    failure arc of context:       k / (c(context) + k)
 
-The rare words' counts are joined by shuffle: a row holds one document and one
-word with its number of occurrences there.
+so the probabilities of each state sum to one over the vocabulary and one unknown
+word. The lowest order is the add-0.1 unigram of the base score. One left-to-right
+pass carries the state: an arc's weight needs only the counts of the n-gram, of its
+context, and of the orders below, which the pass has at hand.
+
+Counts are exact and distributed; no table is sent to all workers. Texts are read
+in blocks. A block asks, order by order, for the counts of its distinct n-grams,
+with its own training counts; the bucket of a key range adds them up and answers
+in the order asked. A block holds each n-gram once, so frequent n-grams cost a bucket
+no more than one row a block, and a bucket's size follows the number of buckets.
+
+N-grams are compared by 60-bit hashes: of 10^10 distinct ones about 40 share a key
+with another. The documents are read twice and must give the same rows in the same
+order each time; a block whose n-grams differ in number is an error.
 
 Defined cases: null text is the empty text and holds the end token alone; repeated
 rows are scored each for itself; an empty training set gives N = V = 0 and the
-uniform base; an empty table gives no rows; other columns are ignored.
+uniform base; an empty table gives no rows; a null doc_id is scored like any other;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, materialize, text_bytes
+from .common import Words, bounded, materialize, mix64, partitions, text_bytes
 
-#: Least share of the training tokens for a word the workers hold: at most 2.5 million words.
-WORD_SHARE = 4e-7
-#: Least share for an n-gram the automaton holds: at most 500,000 of each order.
-GRAM_SHARE = 2e-6
-#: Subtracted from each kept n-gram's count.
-DISCOUNT = 0.7
-#: The end token's hash; words hash to other numbers unless their text is this.
-END = b"\n"
 ADD = 0.1
+#: The priors k of contexts of one and of two words.
+PRIORS = (100.0, 5.0)
+ORDERS = (1, 2, 3)
+#: Text bytes of a block.
+BLOCK_BYTES = 16 << 20
+#: The end token's hash.
+END = np.uint64(0x5851F42D4C957F2D)
+KEY_BITS = 60
 
+_BLOCK = "block long, docs binary, null binary, held binary, lens binary, vocab binary, codes binary"
+_ASKED = "ord int, bucket int, block long, m long, keys binary, n binary"
+_ANSWER = "ord int, bucket int, block long, m long, n binary, distinct long, total long"
+_SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-def _hash(word: bytes) -> int:
-    h = xxhash.xxh64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
 
+def _pack(a: np.ndarray) -> bytes:
+    """Whole numbers, all first bytes first and compressed."""
+    planes = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    width = 8 - int(np.argmax(planes[::-1].any(axis=1))) if len(a) and a.any() else 0
+    return bytes([width]) + pa.compress(planes[:width].tobytes(), "zstd", asbytes=True) if width else b"\0"
 
-def _lists(n: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(values, kind))
 
+def _unpack(b: bytes, m: int) -> np.ndarray:
+    out = np.zeros((m, 8), np.uint8)
+    if b[0]:
+        out[:, : b[0]] = np.frombuffer(pa.decompress(b[1:], b[0] * m, "zstd", asbytes=True), np.uint8).reshape(b[0], m).T
+    return out.view("<u8").ravel()
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """(h, c): count of each token by hash, the end token included; summed per task before the shuffle."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([_hash(w) for w in held], pa.int64()), pa.array(list(held.values()), pa.int64())], ["h", "c"])
-            held.clear()
-            return out
-
-        for batch in bounded(batches):
-            texts = text_bytes(batch.column("text"))
-            held.update(b"\n".join(texts).lower().split())
-            held[END] += len(texts)
-            if len(held) > 1_000_000:
-                yield flush()
-        if held:
-            yield flush()
-
-    return train.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-
-
-@dataclass
-class Words:
-    """The frequent words: sorted hashes, counts by the same order; ids start at 1, 0 is any other word."""
-
-    hashes: np.ndarray
-    counts: np.ndarray
-    end: int
-
-    def ids(self, words: list[bytes], known: dict[bytes, int]) -> list[int]:
-        """Ids of the words; known caches them and is cleared when large."""
-        if len(known) > 500_000:
-            known.clear()
-        new = list({w for w in words if w not in known})
-        if new:
-            h = np.array([_hash(w) for w in new], dtype=np.int64)
-            at = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
-            found = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
-            known.update(zip(new, np.where(found, at + 1, 0).tolist()))
-        return [known[w] for w in words]
-
-
-def gram_counts(train: DataFrame, words: Words, grams: np.ndarray | None, limit: int) -> DataFrame:
-    """(a, b, n) counts of id pairs, or with grams of (pair number, id): only those whose parts can reach ``limit``.
-
-    An n-gram is no more frequent than its parts, so leaving out those with a rarer
-    part loses no n-gram that reaches the limit.
-    """
-    sc = train.sparkSession.sparkContext
-    sent = sc.broadcast((words, grams, np.concatenate([[False], words.counts >= limit])))
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, grams, able = sent.value
-        known: dict[bytes, int] = {}
-        codes, counts, size = [], [], 0
-
-        def merged() -> pa.RecordBatch:
-            code, at = np.unique(np.concatenate(codes), return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
-
-        for batch in bounded(batches):
-            flat: list[int] = []
-            for t in text_bytes(batch.column("text")):
-                flat += words.ids(t.lower().split(), known)
-                flat += (words.end, 0)  # the 0 keeps n-grams inside their text
-            ids = np.array(flat, dtype=np.int64)
-            code = _pairs(ids)
-            ok = able[ids[:-1]] & able[ids[1:]]
-            if grams is not None:
-                pair = _find(grams, code)
-                code, ok = (pair[:-1] << 24) | ids[2:], (pair[:-1] >= 0) & (pair[1:] >= 0)
-            c, n = np.unique(code[ok], return_counts=True)
-            codes.append(c)
-            counts.append(n)
-            size += len(c)
-            if size > 4_000_000:
-                yield merged()
-                codes, counts, size = [], [], 0
-        if codes:
-            yield merged()
-
-    out = train.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "code long, n long")
-    return out.groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") >= limit)
-
-
-def _pairs(ids: np.ndarray) -> np.ndarray:
-    return (ids[:-1] << 24) | ids[1:]
-
-
-def _find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Position of each value in the sorted table, or -1."""
-    if not len(table):
-        return np.full(len(values), -1, dtype=np.int64)
-    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-    return np.where(table[at] == values, at, -1)
-
-
-class Automaton:
-    """arcs[(state << 24) | word] = (log-probability minus the unigram's, next state); fail and backoff by state.
-
-    State 0 is the empty context, state i word i's, and states past the words are
-    the kept pairs'. Scores are kept relative to the unigram, whose exact counts of
-    rare words the workers do not hold.
-    """
 
-    def __init__(self, words: Words, total: int, distinct: int, pairs: np.ndarray, pair_n: np.ndarray, triples: np.ndarray, triple_n: np.ndarray):
-        n_words = len(words.counts)
-        uni = np.concatenate([[0.0], (words.counts + ADD) / (total + ADD * (distinct + 1))])
-        left, right = pairs >> 24, pairs & 0xFFFFFF
-        p2 = (pair_n - DISCOUNT) / words.counts[left - 1]
-        weight = np.ones(1 + n_words + len(pairs))
-        kept = np.bincount(left, weights=p2, minlength=n_words + 1)
-        lower = np.bincount(left, weights=uni[right], minlength=n_words + 1)
-        weight[: n_words + 1] = np.maximum(1 - kept, 1e-12) / np.maximum(1 - lower, 1e-12)
-        first, last = triples >> 24, triples & 0xFFFFFF
-        p3 = (triple_n - DISCOUNT) / pair_n[first]
-        # a triple's lower order is the pair of its last two words, which is kept as well
-        p2_of = p2[_find(pairs, (right[first] << 24) | last)]
-        kept = np.bincount(first, weights=p3, minlength=len(pairs))
-        lower = np.bincount(first, weights=p2_of, minlength=len(pairs))
-        weight[n_words + 1 :] = np.maximum(1 - kept, 1e-12) / np.maximum(1 - lower, 1e-12)
-        has = np.zeros(1 + n_words + len(pairs), dtype=bool)  # a state without arcs falls through for nothing
-        has[left] = True
-        has[n_words + 1 + first] = True
-        weight[~has] = 1.0
-        self.backoff = np.log10(weight)
-        self.fail = np.concatenate([np.zeros(n_words + 1, np.int64), right])
-        state_of_pair = np.where(has[n_words + 1 :], np.arange(len(pairs)) + n_words + 1, right)
-        self.code2, self.gain2, self.next2 = pairs, np.log10(p2 / uni[right]), state_of_pair
-        self.code3, self.gain3 = ((first + n_words + 1) << 24) | last, np.log10(p3 / uni[last])
-        self.next3 = state_of_pair[_find(pairs, (right[first] << 24) | last)] if len(triples) else np.empty(0, np.int64)
-        self.base = np.concatenate([[0.0], np.log10(uni[1:])])
-        self._arcs: dict[int, tuple[float, int]] | None = None
-
-    def prepare(self) -> None:
-        if self._arcs is None:
-            self._arcs = dict(zip(self.code2.tolist(), zip(self.gain2.tolist(), self.next2.tolist())))
-            self._arcs.update(zip(self.code3.tolist(), zip(self.gain3.tolist(), self.next3.tolist())))
-            self._back, self._down = self.backoff.tolist(), self.fail.tolist()
-
-    def traverse(self, ids: list[int]) -> float:
-        """Sum over tokens of log10 p(token | state) minus the unigram's; id 0 is a word that no arc has."""
-        arcs, back, down = self._arcs, self._back, self._down
-        state, total = 0, 0.0
-        for w in ids:
-            if w:
-                while state:
-                    arc = arcs.get(state << 24 | w)
-                    if arc is not None:
-                        total += arc[0]
-                        state = arc[1]
-                        break
-                    total += back[state]
-                    state = down[state]
-                else:
-                    state = w
-            else:
-                while state:
-                    total += back[state]
-                    state = down[state]
-        return total
-
-
-def fit(train: DataFrame, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE) -> tuple[DataFrame, Words, Automaton, int, int]:
-    """The table of all counts, the frequent words, the automaton, N and V."""
-    spark = train.sparkSession
-    counts = materialize(word_counts(train), "word-counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    # At most 1 / word_share rows.
-    got = counts.filter(F.col("c") >= max(1, math.ceil(total * word_share))).toArrow().sort_by("h")
-    words = Words(got.column("h").to_numpy(), got.column("c").to_numpy(), 0)
-    words.end = int(_find(words.hashes, np.array([_hash(END)]))[0]) + 1
-    if len(words.hashes) >= 1 << 24:
-        raise ValueError("word_share is too small for 24-bit word ids")
-    limit = max(2, math.ceil(total * gram_share))
-    # At most 1 / gram_share rows each.
-    two = gram_counts(train, words, None, limit).toArrow().sort_by("code")
-    pairs, pair_n = two.column("code").to_numpy(), two.column("n").to_numpy()
-    three = gram_counts(train, words, pairs, limit).toArrow().sort_by("code")
-    return counts, words, Automaton(words, total, distinct, pairs, pair_n, three.column("code").to_numpy(), three.column("n").to_numpy()), total, distinct
-
-
-def score(docs: DataFrame, model: tuple[DataFrame, Words, Automaton, int, int], held_out: Column | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    counts, words, automaton, total, distinct = model
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((words, automaton))
-    fields = "doc_id long, held_out boolean, n_tokens long, known long, base double, gain double, rare array<long>, times array<int>"
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    columns = list(zip(*rows)) if rows else [[] for _ in _names(schema)]
+    return pa.table([pa.array(c, kinds[f.split()[1]]) for c, f in zip(columns, schema.split(", "))], names=_names(schema))
+
+
+class Block:
+    """The tokens of some texts: each text's words, then one end token."""
+
+    def __init__(self, h: np.ndarray, lens: np.ndarray, held: np.ndarray):
+        self.h, self.lens, self.held = h, lens, held
+        self.doc = np.repeat(np.arange(len(lens)), lens)
+        self.place = np.arange(len(h)) - np.repeat(np.cumsum(lens) - lens, lens)
+
+    @classmethod
+    def of(cls, texts: list[bytes], held: np.ndarray) -> Block:
+        words = Words(texts, lower=True)
+        lens = words.count + 1
+        h = np.full(int(lens.sum()), END, dtype=np.uint64)
+        h[np.arange(len(words.hash)) + np.repeat(np.arange(len(lens)), words.count)] = words.hash
+        return cls(h, lens, held)
+
+    def keys(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(order, places of the last tokens, keys) of the n-grams, order by order."""
+        key = mix64(self.h)
+        for k in ORDERS:
+            at = np.flatnonzero(self.place >= k - 1)
+            yield k, at, key[at] >> np.uint64(64 - KEY_BITS)
+            key[1:] = mix64(key[:-1] * np.uint64(0x9E3779B97F4A7C15) + self.h[1:])
+
+
+def _distinct(key: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and how often each occurs where held is false."""
+    s = np.sort((key << np.uint64(1)) | held)
+    if not len(s):
+        return s, np.empty(0, np.int64)
+    u = s >> np.uint64(1)
+    first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+    train = np.concatenate([[0], np.cumsum(1 - (s & np.uint64(1)).astype(np.int64))])
+    return u[first], train[np.append(first[1:], len(s))] - train[first]
+
+
+def _bucket_edges(u: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n key ranges begins in the sorted keys."""
+    bucket = ((u >> np.uint64(KEY_BITS - 32)) * np.uint64(n)) >> np.uint64(32)
+    return np.searchsorted(bucket, np.arange(n + 1, dtype=np.uint64))
+
+
+def _blocks(source: DataFrame, make, schema: str) -> DataFrame:
+    """make(block id, doc_id column, Block) for each block of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, automaton = sent.value
-        automaton.prepare()
-        known: dict[bytes, int] = {}
-        for batch in bounded(batches):
-            n_tokens, n_known, base, gain, rare_n, rare, times = [], [], [], [], [], [], []
-            for t in text_bytes(batch.column("text")):
-                parts = t.lower().split()
-                ids = words.ids(parts, known)
-                ids.append(words.end)
-                at = np.array(ids)
-                n_tokens.append(len(ids))
-                n_known.append(int((at > 0).sum()))
-                base.append(float(automaton.base[at].sum()))
-                gain.append(automaton.traverse(ids))
-                others = Counter([w for w, i in zip(parts, ids) if not i])
-                if not words.end:
-                    others[END] += 1
-                rare_n.append(len(others))
-                rare += [_hash(w) for w in others]
-                times += others.values()
-            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(gain), _lists(np.array(rare_n), rare, pa.int64()), _lists(np.array(rare_n), times, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in fields.split(", ")])
-
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.lit(False) if held_out is None else held_out).alias("held_out"))
-    passed = materialize(source.mapInArrow(run, fields).withColumn("_row", F.monotonically_increasing_id()), "lm-pass")
-    denominator = total + ADD * (distinct + 1)
-    rare = passed.select("_row", F.arrays_zip("rare", "times").alias("z")).select("_row", F.explode("z").alias("z")).select("_row", F.col("z.rare").alias("h"), F.col("z.times").alias("n"))
-    limit = max(1, math.ceil(total * WORD_SHARE))
-    c = F.coalesce(F.col("c"), F.lit(0))
-    joined = rare.join(counts.filter(F.col("c") < limit), "h", "left")
-    sums = joined.groupBy("_row").agg(F.sum(F.col("n") * F.log10((c + ADD) / denominator)).alias("rare_base"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"))
-    out = passed.drop("rare", "times").join(sums, "_row", "left")
-    total_base = F.col("base") + F.coalesce("rare_base", F.lit(0.0))
-    return out.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        total_base.alias("base_score"),
-        (total_base + F.col("gain")).alias("score"),
-    )
+        for batch in bounded(batches, limit=BLOCK_BYTES):
+            held = np.array(batch.column("held_out").to_pylist(), dtype=bool)
+            block = Block.of(text_bytes(batch.column("text")), held)
+            yield from _table(schema, make(batch.column("_row")[0].as_py(), batch.column("doc_id"), block)).to_batches()
+
+    return source.mapInArrow(run, schema)
+
+
+def asked(source: DataFrame, n: int) -> DataFrame:
+    """A row for each block, order and bucket: the distinct keys, sorted, and their training counts."""
+
+    def make(block_id: int, docs: pa.Array, block: Block) -> list[tuple]:
+        out = []
+        for k, at, key in block.keys():
+            u, count = _distinct(key, block.held[block.doc[at]])
+            edges = _bucket_edges(u, n)
+            out += [(k, j, block_id, int(q - p), _pack(np.diff(u[p:q], prepend=np.uint64(0))), _pack(count[p:q])) for j, (p, q) in enumerate(zip(edges[:-1], edges[1:])) if q > p]
+        return out
+
+    return _blocks(source, make, _ASKED)
+
+
+def answered(requests: DataFrame) -> DataFrame:
+    """For each request the training counts of its keys, in its order; one row of a bucket has its distinct n-grams and their sum."""
+
+    def run(t: pa.Table) -> pa.Table:
+        sizes = t.column("m").to_pylist()
+        keys = np.concatenate([np.cumsum(_unpack(b, m), dtype=np.uint64) for b, m in zip(t.column("keys").to_pylist(), sizes)])
+        count = np.concatenate([_unpack(b, m) for b, m in zip(t.column("n").to_pylist(), sizes)])
+        order = np.argsort(keys)
+        u = keys[order]
+        group = np.cumsum(np.concatenate([[False], u[1:] != u[:-1]]))
+        total = np.bincount(group, weights=count[order]).astype(np.int64)
+        reply = np.empty(len(keys), np.int64)
+        reply[order] = total[group]
+        edges = np.cumsum([0, *sizes])
+        whole = [(int((total > 0).sum()), int(total.sum()))] + [(0, 0)] * (len(sizes) - 1)
+        columns = zip(t.column("ord").to_pylist(), t.column("bucket").to_pylist(), t.column("block").to_pylist(), sizes)
+        return _table(_ANSWER, [(*c, _pack(reply[a:b]), *w) for c, a, b, w in zip(columns, edges[:-1], edges[1:], whole)])
+
+    return requests.groupBy("ord", "bucket").applyInArrow(run, _ANSWER)
+
+
+def kept_blocks(source: DataFrame) -> DataFrame:
+    """The tokens of each block as one row: word numbers, most frequent first, and the words' hashes."""
+
+    def make(block_id: int, docs: pa.Array, block: Block) -> list[tuple]:
+        vocab, at, n = np.unique(block.h, return_inverse=True, return_counts=True)
+        rank = np.empty(len(vocab), np.int64)
+        by_count = np.argsort(-n, kind="stable")
+        rank[by_count] = np.arange(len(vocab))
+        ids = np.array(docs.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        null = np.array(docs.is_null().to_numpy(zero_copy_only=False), dtype=np.uint8)
+        return [(block_id, ids.tobytes(), null.tobytes(), block.held.astype(np.uint8).tobytes(), _pack(block.lens), vocab[by_count].tobytes(), _pack(rank[at]))]
+
+    return _blocks(source, make, _BLOCK)
+
+
+def _gathered(key: np.ndarray, reply: np.ndarray) -> np.ndarray:
+    """The reply to each key; replies stand in the order of the sorted distinct keys."""
+    order = np.argsort(key)
+    u = key[order]
+    group = np.cumsum(np.concatenate([[False], u[1:] != u[:-1]])) if len(u) else np.empty(0, np.int64)
+    if len(reply) != (group[-1] + 1 if len(u) else 0):
+        raise RuntimeError("the documents gave other rows on the second reading")
+    out = np.empty(len(key), np.int64)
+    out[order] = reply[group]
+    return out
+
+
+def traverse(block: Block, counts: list[np.ndarray], total: int, distinct: int, priors: tuple[float, float] = PRIORS) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of the base and of the automaton's probability of each token.
+
+    counts[k - 1] holds at each place the training count of the n-gram of order k that ends
+    there. An arc is taken at the longest context that has one; each failure arc on the
+    way is paid. A context that training lacks is no state and costs nothing.
+    """
+    p = (counts[0] + ADD) / (total + ADD * (distinct + 1))
+    base = np.log10(p)
+    log = base.copy()
+    for k, prior in zip((2, 3), priors):
+        at = np.flatnonzero(block.place >= k - 1)
+        context = counts[k - 2][at - 1]
+        arc = (counts[k - 1][at] + prior * p[at]) / (context + prior)
+        fail = np.log10(prior / (context + prior))
+        log[at] = np.where(counts[k - 1][at] > 0, np.log10(arc), fail + log[at])
+        p[at] = arc
+    return base, log
+
+
+def score(docs: DataFrame, held_out: Column, priors: tuple[float, float] = PRIORS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; held-out rows do not train."""
+    n = 2 * partitions(docs.sparkSession)
+    source = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    answers = materialize(answered(asked(source, n)), "lm-counts")
+    distinct, total = answers.filter("ord = 1").agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row, replies = left.to_pylist()[0], right.sort_by([("ord", "ascending"), ("bucket", "ascending")]).to_pylist()
+        held = np.frombuffer(row["held"], np.uint8).astype(bool)
+        lens = _unpack(row["lens"], len(held)).astype(np.int64)
+        h = np.frombuffer(row["vocab"], np.uint64)[_unpack(row["codes"], int(lens.sum())).astype(np.int64)]
+        block, counts = Block(h, lens, held), []
+        for k, at, key in block.keys():
+            count = np.zeros(len(h), np.int64)
+            count[at] = _gathered(key, np.concatenate([np.empty(0, np.uint64), *(_unpack(r["n"], r["m"]) for r in replies if r["ord"] == k)]).astype(np.int64))
+            counts.append(count)
+        base, log = traverse(block, counts, total, distinct, priors)
+        add = lambda w: np.bincount(block.doc, weights=w, minlength=len(lens))
+        ids = pa.array(np.frombuffer(row["docs"], np.int64), mask=np.frombuffer(row["null"], np.uint8).astype(bool))
+        columns = [ids, pa.array(held), pa.array(lens), pa.array(add(counts[0] > 0).astype(np.int64)), pa.array(np.full(len(lens), total, np.int64)), pa.array(add(base)), pa.array(add(log))]
+        return pa.table(columns, names=_names(_SCORE))
+
+    return kept_blocks(source).groupBy("block").cogroup(answers.select("ord", "bucket", "block", "m", "n").groupBy("block")).applyInArrow(run, _SCORE)

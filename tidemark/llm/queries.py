@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_arcs, language_id, packing, quality_fm, quality_rules, sharding, simhash, substring_dedup, token_counts, tokens
+from . import decontamination, language_id, language_model, packing, quality_fm, quality_rules, sharding, simhash, substring_dedup, token_counts, tokens
 from .common import doc_crc, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,7 +57,7 @@ def op8_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = doc_crc() % 10 == 0
-    return language_arcs.score(docs, held_out)
+    return language_model.score(docs, held_out)
 
 
 def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
