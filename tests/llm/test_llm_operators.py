@@ -181,7 +181,7 @@ def test_links_and_components_equal_brute_force(spark, monkeypatch):
 
     d = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
     for blocks in (6, 7):
-        roots = {r.v: r.root for r in connected_components(simhash.links(d, 4, blocks)).collect()}
+        roots = {r.v: r.root for r in connected_components(simhash.links(d, 4, simhash.block_masks(blocks, 4))).collect()}
         mine = [roots.get(int(x), int(x)) for x in fps.view(np.int64)]
         groups, want = {}, {}
         for i, m in enumerate(mine):
@@ -201,6 +201,75 @@ def test_bit_sliced_distances():
         assert got == want
 
 
+def test_wide_fingerprints_equal_brute_force():
+    texts = [t.encode() for t in ("", "one", "one two three four five six", "ONE two three four five six", BASE, BASE + " x y z", "a b c d e f g h " * 40)]
+    got = simhash.wide_fingerprints(texts, 5)
+    salts = simhash.mix64(np.arange(1, 5, dtype=np.uint64))
+    for t, fp in zip(texts, got):
+        w = Words([t], lower=True).hash
+        h = []
+        for i in range(max(1, len(w) - 4) if len(w) else 0):
+            x = np.zeros(1, np.uint64)
+            for j in range(5):
+                x = simhash.mix64(x + (w[i + j : i + j + 1] if i + j < len(w) else np.zeros(1, np.uint64)))
+            h.append([int(simhash.mix64(x ^ s)[0]) for s in salts])
+        for k in range(4):
+            ones = [sum(x[k] >> b & 1 for x in h) for b in range(64)]
+            assert int(fp[k]) == sum(1 << b for b in range(64) if 2 * ones[b] > len(h) or (h and 2 * ones[b] == len(h) and h[0][k] >> b & 1))
+    assert simhash.wide_fingerprints([], 5).shape == (0, 4)
+
+
+def edited(rng, w, share):
+    return [f"e{rng.integers(1 << 30)}" if rng.random() < share else x for x in w]
+
+
+def test_similar_texts_are_found(spark, odd, none):
+    """Pairs of a five-word similarity of 0.8 to 0.9 are linked, unrelated ones and texts that share a third are not."""
+    rng = np.random.default_rng(5)
+    rows, near, apart = [], [], []
+    for i in range(150):
+        w = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(150, 600)))]
+        v = edited(rng, w, 0.02)
+        u = edited(rng, w, 0.12)
+        sets = [{tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (w, v, u)]
+        similar = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        rows += [(3 * i, " ".join(w)), (3 * i + 1, " ".join(v)), (3 * i + 2, " ".join(u))]
+        if similar >= 0.8:
+            near.append((3 * i, 3 * i + 1))
+        if len(sets[0] & sets[2]) / len(sets[0] | sets[2]) < 0.5:
+            apart.append((3 * i, 3 * i + 2))
+    root = {r.doc_id: r.root for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) > 50 and len(apart) > 50
+    assert sum(root[a] == root[b] for a, b in near) >= 0.95 * len(near)
+    assert not any(root[a] == root[b] for a, b in apart)
+    assert len({root[3 * i] for i in range(150)}) == 150
+    kept = simhash.keep_similar(odd).collect()
+    assert Counter(r.doc_id for r in kept) == Counter([1, 2, 3, 6, 7, 8, 9])
+    assert simhash.keep_similar(none).count() == 0 and simhash.keep_similar(odd).columns == odd.columns
+
+
+def test_wide_links_equal_brute_force(spark, monkeypatch):
+    """Large keys are cut into tiles, and sampled tables miss no pair of high similarity."""
+    monkeypatch.setattr(simhash, "TILE", 40)
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(4):
+        f = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+        for _ in range(150):
+            g = f.copy()
+            for b in rng.choice(256, 12, replace=False).tolist():
+                g[b // 64] ^= np.uint64(1 << b % 64)
+            rows.append(tuple(g.view(np.int64).tolist()))
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "node long, f0 long, f1 long, f2 long, f3 long")
+    from tidemark.llm.components import connected_components
+
+    found = simhash.links(d, 48, simhash.sampled_masks(len(rows), 0.8, 0.99), ("f0", "f1", "f2", "f3"), "node", sparse=False)
+    fps = np.array(rows, dtype=np.int64).view(np.uint64)
+    assert all(np.bitwise_count(fps[r.u] ^ fps[r.v]).sum() <= 48 for r in found.collect())
+    roots = {r.v: r.root for r in connected_components(found).collect()}
+    assert [roots.get(i, i) for i in range(600)] == [150 * (i // 150) for i in range(600)]
+
+
 # language identification
 
 

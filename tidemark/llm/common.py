@@ -165,3 +165,11 @@ def drop_files(spark: SparkSession, df: DataFrame) -> None:
     for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that df doesn't have in any case."""
+    taken, name = {c.lower() for c in df.columns}, f"__{base}"
+    while name.lower() in taken:
+        name += "_"
+    return name
