@@ -9,53 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, packing, quality_fm, simhash, substring_dedup, tokens
-from tidemark.llm.common import doc_crc, materialize
-from tidemark.plans.session import ship
-
-#: Documents that score below this go.
-QUALITY = 0.7
-
-
-def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the classifier rejects; it learns from the labels outside the held-out quarter."""
-    ship(spark)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    machine = quality_fm.fit(quality_fm.labelled_sample(docs, labels, doc_crc() % 4 != 2))
-    return quality_fm.filter_rows(docs, machine, QUALITY)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies."""
-    ship(spark)
-    return simhash.keep_one(docs, radius=4, words=4)
-
-
-def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated passages of 50 words and more out of all documents but the first."""
-    ship(spark)
-    return substring_dedup.dedup_rows(docs)
-
-
-def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold an item of the benchmark."""
-    ship(spark)
-    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), similarity=0.8, recall=0.99)
-
-
-def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the tokens of all documents into sequences of 4096."""
-    ship(spark)
-    return packing.pack(packing.pieces(docs, tokens.default_path(), capacity=4096, end_id=1), capacity=4096)
-
-
-STAGES = [
-    ("quality_classifier", quality_classifier),
-    ("simhash_near_dedup", near_dedup),
-    ("substring_dedup", substring_dedup_stage),
-    ("benchmark_decontamination", decontamination_stage),
-    ("best_fit_packing", best_fit_packing),
-]
+from tidemark.llm.common import materialize
+from tidemark.llm.stages import STAGES
 
 #: Trained models, iterated components and packing have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
