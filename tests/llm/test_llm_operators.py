@@ -347,6 +347,63 @@ def test_substring_dedup_branching_passages(spark):
     assert Counter(tuple(r) for r in substring_dedup.dedup_report(d).collect()) == dedup(rows)
 
 
+def corpus_of_passages(seed, n=60):
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in rng.integers(0, 90, 900)]
+    rows = []
+    for d in range(n):
+        parts = [f"own{d}x{k}" for k in range(int(rng.integers(0, 30)))]
+        for _ in range(int(rng.integers(1, 4))):
+            a = int(rng.integers(0, 600))
+            part = base[a : a + int(rng.integers(30, 300))]
+            if rng.random() < 0.3:
+                part[int(rng.integers(len(part)))] = f"edit{d}"
+            parts += part + [f"gap{d}x{k}" for k in range(int(rng.integers(0, 40)))]
+        rows.append((d, " ".join(parts)))
+    return rows + [(n + 1, rows[3][1]), (n + 2, rows[3][1]), (n + 3, rows[7][1] + " tail"), (n + 4, "lead " + rows[7][1])]
+
+
+@pytest.mark.parametrize("seed", [11, 12, 13])
+def test_substring_dedup_equals_brute_force(spark, seed):
+    rows = corpus_of_passages(seed)
+    got = substring_dedup.dedup_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(tuple(r) for r in got) == dedup(rows)
+
+
+def test_paths_carry_the_result(spark, monkeypatch):
+    """Without paths, or with another source of the paths, the result is another."""
+    rows = corpus_of_passages(11)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = substring_dedup.compact
+    for broken in (lambda r: whole(r).limit(0), lambda r: whole(r).withColumn("source", F.lit(-1).cast("long"))):
+        monkeypatch.setattr(substring_dedup, "compact", broken)
+        try:
+            assert Counter(tuple(r) for r in substring_dedup.dedup_report(d).collect()) != dedup(rows)
+        finally:
+            monkeypatch.setattr(substring_dedup, "compact", whole)
+
+
+def test_copies_are_one_path_each(spark):
+    """A group of whole copies costs one row a copy, and none of its windows is compared."""
+    text = " ".join(f"w{i * i % 1009}" for i in range(700))
+    d = spark.createDataFrame([(i, 0, text) for i in range(50)], "doc_id long, rid long, text string")
+    occ = substring_dedup.occurrences(d)
+    nodes = occ.groupBy("node").agg(F.min("doc_id").alias("least"), F.expr("min(around) = max(around)").alias("plain"))
+    repeated = occ.join(nodes, "node")
+    paths = substring_dedup.compact(repeated)
+    assert paths.count() == 1 and paths.first().after + paths.first().before == 700
+    pieces = substring_dedup.path_pieces(repeated, paths)
+    assert pieces.count() == 50 and occ.count() > 50 * 20
+    assert pieces.select(F.inline("ranges")).filter("first <= last").count() == 0
+
+
+def test_kept_text_keeps_white_space():
+    text = b"Head line\n\nsecond  line\tof it\n end "
+    assert substring_dedup.kept_text(text, [{"s": 2, "t": 4}]) == b"Head line\n\nof it\n end "
+    assert substring_dedup.kept_text(text, [{"s": 0, "t": 1}, {"s": 5, "t": 7}]) == b"line\n\nsecond  line\tof "
+    assert substring_dedup.kept_text(b" a b ", [{"s": 0, "t": 2}]) == b" "
+
+
 # sharding
 
 
