@@ -1,24 +1,22 @@
 """Language identification with bit-sliced Bloom filters of byte n-grams.
 
 One Bloom table serves all languages: each cell holds a mask with one bit a
-language, and the AND over an n-gram's cells is the set of languages that contain
-it. Per language the hits are counted over a text, corrected for that language's
-false-positive rate, and the largest share decides.
+language, and the AND over an n-gram's cells is the set of all languages whose
+training texts contain it. Per language the hits are counted over a text, corrected
+for that language's false-positive rate, and the largest share decides.
 
-An n-gram belongs to a language if its share of that language's n-grams is at
-least ``share`` and at least ``ratio`` of its largest share in any language. So a
-language has at most 1 / share n-grams, which bounds the model for any corpus.
-Counts run over all training rows.
+The table has a fixed number of cells, whatever the corpus, and is filled by a
+distributed OR: no n-gram list is gathered. A fuller table has more false positives,
+which the correction takes out. All training rows count.
 
 Defined cases: null text, or a text without a letter, gives ``und`` and score 0;
-a text whose n-grams are all unknown gets the most frequent language and score 0;
+a text whose n-grams are all unknown gets the language of most training rows and score 0;
 without training rows all is ``und``; rows with a null language train nothing;
 ties go to the language that sorts first; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +27,9 @@ from pyspark.sql import functions as F
 from .common import bounded, mix64
 
 GRAM = 4
-#: Least share of a language's n-grams; bounds a language to 50,000 of them.
-SHARE = 2e-5
-RATIO = 0.5
 HASHES = 3
-#: Bloom cells for each kept n-gram.
-CELLS_PER_GRAM = 8
-_LETTER = re.compile(r"[^\W\d_]")
+#: The Bloom table has 2 to this many cells: 16 MB for 64 languages.
+CELL_BITS = 21
 #: ASCII bytes that are no letters become spaces; bytes of other scripts stay.
 _TO_SPACE = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 
@@ -61,34 +55,29 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return code[keep], starts
 
 
+def cells_of(codes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The cells of each n-gram, hash by hash."""
+    h = mix64(codes.astype(np.uint64) + np.uint64(0x51ED27))
+    step = (h >> np.uint64(40)) | np.uint64(1)
+    for _ in range(HASHES):
+        yield (h & np.uint64((1 << bits) - 1)).astype(np.int64)
+        h = h + step
+
+
 class Model:
-    """Languages, the mask table, and each language's false-positive rate."""
-
-    def __init__(self, langs: list[str], counts: list[int], kept: list[tuple[np.ndarray, int]]):
-        self.langs = langs
-        self.usual = int(np.argmax(counts)) if langs else -1
-        self.planes = max(1, -(-len(langs) // 64))
-        total = sum(len(codes) for codes, _ in kept)
-        self.bits = max(10, int(np.ceil(np.log2(max(1, total * CELLS_PER_GRAM)))))
-        self.table = np.zeros((self.planes, 1 << self.bits), dtype=np.uint64)
-        for codes, lang in kept:
-            for cell in self._cells(codes):
-                np.bitwise_or.at(self.table[lang // 64], cell, np.uint64(1) << np.uint64(lang % 64))
-        self.false = np.array([float(((self.table[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) ** HASHES for i in range(len(langs))])
-
-    def _cells(self, codes: np.ndarray) -> Iterator[np.ndarray]:
-        h = mix64(codes.astype(np.uint64) + np.uint64(0x51ED27))
-        step = (h >> np.uint64(40)) | np.uint64(1)
-        for _ in range(HASHES):
-            yield (h & np.uint64((1 << self.bits) - 1)).astype(np.int64)
-            h = h + step
+    """Languages, the index of the usual one, the table of masks (planes of 64 languages, cells), and each language's false-positive rate."""
+
+    def __init__(self, langs: list[str], usual: int, table: np.ndarray):
+        self.langs, self.usual, self.table = langs, usual, table
+        self.bits = table.shape[1].bit_length() - 1
+        self.false = np.array([float(((table[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) ** HASHES for i in range(len(langs))])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         codes, starts = grams([t or "" for t in texts])
         n = np.diff(starts)
         share = np.zeros((len(texts), len(self.langs)))
-        cells = list(self._cells(codes))
-        for p in range(self.planes):
+        cells = list(cells_of(codes, self.bits))
+        for p in range(len(self.table)):
             mask = np.bitwise_and.reduce([self.table[p][c] for c in cells]) if len(codes) else np.empty(0, np.uint64)
             for i in range(64 * p, min(64 * (p + 1), len(self.langs))):
                 running = np.concatenate([[0], np.cumsum((mask >> np.uint64(i % 64)) & np.uint64(1), dtype=np.int64)])
@@ -97,7 +86,7 @@ class Model:
         sums = share.sum(axis=1) if self.langs else np.zeros(len(texts))
         langs, scores = [], []
         for k, t in enumerate(texts):
-            if not self.langs or not t or not _LETTER.search(t):
+            if not self.langs or not t or not any(map(str.isalpha, t)):
                 langs.append("und")
                 scores.append(0.0)
             elif sums[k] <= 0:
@@ -110,36 +99,36 @@ class Model:
         return langs, scores
 
 
-def fit(train: DataFrame, share: float = SHARE, ratio: float = RATIO) -> Model:
-    """Counts the n-grams of all rows of train (text, lang) and keeps the telling ones."""
+def fit(train: DataFrame, cell_bits: int = CELL_BITS) -> Model:
+    """Fills the table with the n-grams of all rows of train (text, lang)."""
+    rows = train.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
+    # one row a language; both collects are bounded by the languages and the cells
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    langs = sorted(sizes)
+    index = {x: i for i, x in enumerate(langs)}
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, np.ndarray] = {}
         for batch in bounded(batches):
             by: dict[str, list[str]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 by.setdefault(lang, []).append(text)
             for lang, texts in by.items():
-                codes, n = np.unique(grams(texts)[0], return_counts=True)
-                if lang in held:
-                    both = np.concatenate([held[lang][0], codes])
-                    codes, at = np.unique(both, return_inverse=True)
-                    n = np.bincount(at, weights=np.concatenate([held[lang][1], n])).astype(np.int64)
-                held[lang] = codes, n
-        for lang, (codes, n) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(n, pa.int64())], ["lang", "code", "n"])
-
-    rows = train.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
-    per = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    shares = per.join(per.groupBy("lang").agg(F.sum("n").alias("total")), "lang").withColumn("p", F.col("n") / F.col("total"))
-    # Rows below the least share can't be any language's; dropping them first keeps the maximum over languages exact for the rest.
-    frequent = shares.filter(F.col("p") >= share)
-    top = frequent.groupBy("code").agg(F.max("p").alias("top"))
-    # At most 1 / share rows a language.
-    kept = frequent.join(top, "code").filter(F.col("p") >= ratio * F.col("top")).select("lang", "code", "total").toPandas()
-    langs = sorted(kept["lang"].unique().tolist())
-    counts = [int(kept.loc[kept["lang"] == x, "total"].iloc[0]) for x in langs]
-    return Model(langs, counts, [(kept.loc[kept["lang"] == x, "code"].to_numpy().astype(np.uint32), i) for i, x in enumerate(langs)])
+                held = seen.setdefault(lang, np.zeros(1 << cell_bits, dtype=bool))
+                for cell in cells_of(grams(texts)[0], cell_bits):
+                    held[cell] = True
+        planes: dict[int, np.ndarray] = {}
+        for lang, held in seen.items():
+            plane = planes.setdefault(index[lang] // 64, np.zeros(1 << cell_bits, dtype=np.uint64))
+            plane[held] |= np.uint64(1) << np.uint64(index[lang] % 64)
+        for p, plane in planes.items():
+            cell = np.flatnonzero(plane)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), p, np.int32)), pa.array(cell.astype(np.int32)), pa.array(plane[cell].view(np.int64))], ["plane", "cell", "mask"])
+
+    masks = rows.mapInArrow(fill, "plane int, cell int, mask long").groupBy("plane", "cell").agg(F.bit_or("mask").alias("mask")).toArrow()
+    table = np.zeros((max(1, -(-len(langs) // 64)), 1 << cell_bits), dtype=np.uint64)
+    table[masks.column("plane").to_numpy(), masks.column("cell").to_numpy()] = masks.column("mask").to_numpy().view(np.uint64)
+    return Model(langs, max(range(len(langs)), key=lambda i: sizes[langs[i]], default=-1), table)
 
 
 def identify(docs: DataFrame, model: Model, held_out: Column | None = None) -> DataFrame:
