@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-On a bounded sample the driver times each rule and counts what it rejects, orders
-the rules by rejections per second, and builds one CASE expression in that order;
-Spark evaluates a branch only where all branches before it let the row pass. The
-order changes the cost and which rule is named first, never the verdict.
+On a bounded hash sample the driver times each rule, with the measures that it needs,
+and takes again and again the rule that rejects most per second of the rows which
+the rules before it let pass. One CASE expression has them in that order; Spark
+evaluates a branch only where all branches before it let the row pass. The order
+changes the cost and which rule is named first, never the verdict. The measures of the
+base verdict are part of the result and so are worked out for every row.
 
 Defined cases: null text is the empty text and has no words; an empty table gives
 no rows; a rule that gives null rejects nothing; repeated rows are judged each for
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE
+from .common import WHITE, free_name
 
 #: Rows of the sample that orders the rules; has no influence on any verdict.
 SAMPLE_ROWS = 512
@@ -76,15 +78,17 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, WHITE, "")) > 0)
     # one pass over the words: a lambda variable is evaluated once, a column may be inlined many times
     words = let(words_of(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_window_words(w).alias("r")))
-    return docs.withColumn("__words", words).withColumns(
+    held = free_name(docs, "words")
+    measured = docs.withColumn(held, words).withColumns(
         {
-            "n_words": F.col("__words.n"),
+            "n_words": F.col(f"{held}.n"),
             "word_chars": F.length(F.translate(t, WHITE, "")).cast("long"),
             "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
             "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            "n_repeat_words": F.col("__words.r"),
+            "n_repeat_words": F.col(f"{held}.r"),
         }
     )
+    return measured.drop(held)
 
 
 def base_rules() -> list[Rule]:
@@ -109,19 +113,52 @@ def text_rules(text: str = "text") -> list[Rule]:
     ]
 
 
-def order_rules(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
-    """Rules by rejections per second on the sample, most first; the name breaks ties."""
-    # The sample is bounded by SAMPLE_ROWS; cached, so that a rule's time is its own.
-    sample = sample.cache()
+def sample_of(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """At most ``rows`` rows, chosen by a hash of their number among all rows of docs."""
+    h = free_name(docs, "h")
+    return docs.withColumn(h, F.xxhash64(F.monotonically_increasing_id())).orderBy(h).limit(rows).drop(h)
+
+
+def greedy_order(rules: list[Rule], seconds: list[float], rejects: list[list[bool]]) -> list[Rule]:
+    """Always the rule that rejects most per second of the rows which the rules before it let pass; the name breaks ties.
+
+    rejects holds a list for each sampled row, with an entry for each rule.
+    """
+    left, rows, out = list(range(len(rules))), rejects, []
+    while left:
+        rate = {i: sum(r[i] for r in rows) / seconds[i] for i in left}
+        best = min(left, key=lambda i: (-rate[i], rules[i].name))
+        out.append(rules[best])
+        left.remove(best)
+        rows = [r for r in rows if not r[best]]
+    return out
+
+
+def order_rules(sample: DataFrame, rules: list[Rule], text: str = "text", repeats: int = 2) -> list[Rule]:
+    """The order of the cascade, from each rule's time and rejections on the sample.
+
+    Only the sample's text is cached, so a rule's time holds the measures that it needs
+    itself; the least of some runs counts, less the time of a job that evaluates nothing.
+    """
+    sample = sample.select(text).cache()
     try:
-        if not sample.count():
+        if not rules or not sample.count():
             return list(rules)
-        rated = []
-        for rule in rules:
-            began = time.perf_counter()
-            rejected = sample.agg(F.count(F.when(rule.reject, 1))).first()[0]
-            rated.append((-rejected / max(time.perf_counter() - began, 1e-6), rule.name, rule))
-        return [r for _, _, r in sorted(rated, key=lambda x: x[:2])]
+        measured = with_measures(sample, text)
+
+        def seconds(c: Column) -> float:
+            took = []
+            for _ in range(repeats):
+                began = time.perf_counter()
+                measured.agg(F.count(F.when(c, 1))).collect()
+                took.append(time.perf_counter() - began)
+            return min(took)
+
+        empty = seconds(F.lit(False))
+        cost = [max(seconds(rule.reject) - empty, 1e-3) for rule in rules]
+        # SAMPLE_ROWS rows of one flag a rule
+        flags = measured.select(*[F.coalesce(rule.reject, F.lit(False)).alias(f"r{i}") for i, rule in enumerate(rules)]).collect()
+        return greedy_order(rules, cost, [list(r) for r in flags])
     finally:
         sample.unpersist()
 
@@ -139,11 +176,9 @@ def judge(docs: DataFrame, base: list[Rule] | None = None, rules: list[Rule] | N
     base = base_rules() if base is None else base
     rules = text_rules(text) if rules is None else rules
     measured = with_measures(docs, text)
-    # any bounded set of rows serves: only the order of evaluation depends on it
-    sample = with_measures(docs.limit(SAMPLE_ROWS), text)
-    ordered = order_rules(sample, [*base, *rules])
+    ordered = order_rules(sample_of(docs), [*base, *rules], text)
     failed = F.lit(False)
     for rule in base:
         failed = failed | F.coalesce(rule.reject, F.lit(False))
     judged = measured.withColumn("rejected_by", cascade(ordered)).withColumn("base_failed", failed)
-    return judged.withColumn("kept", F.col("rejected_by").isNull()).drop("__words")
+    return judged.withColumn("kept", F.col("rejected_by").isNull())
