@@ -132,6 +132,21 @@ def test_rule_order_never_changes_the_verdict(odd):
     assert Counter(a) == Counter(b)
 
 
+def test_rules_are_ordered_by_what_is_left():
+    rules = [quality_rules.Rule(n, None) for n in "abcd"]
+    rejects = [[True, True, False, False]] * 6 + [[False, True, False, True]] * 2 + [[False, False, True, False]] * 3
+    order = quality_rules.greedy_order(rules, [1.0, 2.0, 1.0, 1.0], rejects)
+    # a: 6 a second; of the rows left c rejects 3, then b 2 at twice the cost of d's 2
+    assert [r.name for r in order] == ["a", "c", "d", "b"]
+
+
+def test_columns_of_like_names_stay(spark):
+    d = spark.createDataFrame([(1, "a b c " * 40, 5, 6, 7, 8)], "doc_id long, text string, __words int, __h int, __near_key int, __cuts int")
+    assert quality_rules.judge(d).select("__words", "__h").first() == (5, 6)
+    assert simhash.keep_one(d).first() == d.first() and simhash.keep_similar(d).first() == d.first()
+    assert substring_dedup.dedup_rows(d).first() == d.first()
+
+
 # SimHash
 
 
@@ -289,13 +304,36 @@ def test_language_id(spark, odd, none, sf_dir):
 
 def test_bloom_counts_are_corrected():
     codes = np.arange(5000, dtype=np.uint32)
-    m = language_id.Model(["x", "y"], [1, 1], [(codes[:4000], 0), (codes[4000:], 1)])
-    cells = list(m._cells(np.arange(10_000, 60_000, dtype=np.uint32)))
-    hits = np.bitwise_and.reduce([m.table[0][c] for c in cells])
+    table = np.zeros((1, 1 << 15), dtype=np.uint64)
+    for i, part in enumerate((codes[:4000], codes[4000:])):
+        for cell in language_id.cells_of(part, 15):
+            np.bitwise_or.at(table[0], cell, np.uint64(1 << i))
+    m = language_id.Model(["x", "y"], 0, table)
+    hits = np.bitwise_and.reduce([m.table[0][c] for c in language_id.cells_of(np.arange(10_000, 60_000, dtype=np.uint32), 15)])
     for i in (0, 1):
         assert abs(((hits >> np.uint64(i)) & np.uint64(1)).mean() - m.false[i]) < 0.003
 
 
+def test_masks_hold_all_languages_of_an_ngram(spark, sf_dir):
+    """Shares by the table equal those by sets of all n-grams of each language, frequent in it or not."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", "lang").collect()
+    train, test = docs[:150], docs[150:]
+    model = language_id.fit(spark.createDataFrame(train, "text string, lang string"))
+    sets = {x: set(language_id.grams([r.text for r in train if r.lang == x and r.text])[0].tolist()) for x in model.langs}
+    assert set(model.langs) == {r.lang for r in train if r.lang and r.text}
+    for r, lang, score in zip(test, *model.predict([r.text for r in test])):
+        codes = language_id.grams([r.text or ""])[0].tolist()
+        share = {x: sum(c in sets[x] for c in codes) / max(1, len(codes)) for x in model.langs}
+        if sum(share.values()):
+            assert share[lang] == pytest.approx(max(share.values()), abs=0.01)
+            assert score == pytest.approx(share[lang] / sum(share.values()), abs=0.01)
+
+
+def test_letters_decide_und(spark):
+    model = language_id.fit(spark.createDataFrame([("some words here", "en")], "text string, lang string"))
+    assert model.predict(["\u00bd \u00b2 \u2167", "12 _ !", "\u65e5", "some", None])[0] == ["und", "und", "en", "en", "und"]
+
+
 # substring dedup
 
 
@@ -415,6 +453,19 @@ def test_byte_shards(odd, none):
     assert sharding.byte_shards(none, n_shards=4).count() == 0
 
 
+def test_byte_shards_equal_brute_force(odd):
+    for n in (1, 3, 16):
+        got = Counter((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in sharding.byte_shards(odd, n_shards=n).collect())
+        rows = sorted(((d is not None, d or 0, zlib.crc32((t or "").encode()), len((t or "").encode()) + 1) for d, t, *_ in odd_rows()))
+        total, end, slots, want = sum(r[3] for r in rows), 0, Counter(), Counter()
+        for known, d, crc, size in rows:
+            end += size
+            shard = min(n - 1, (2 * end - size) * n // (2 * total))
+            want[d if known else None, size, crc, shard, slots[shard]] += 1
+            slots[shard] += 1
+        assert got == want
+
+
 def test_byte_shards_are_contiguous_and_even(spark):
     rows = [(i // 3, "x" * (i * 37 % 200)) for i in range(3000)]
     got = sharding.byte_shards(spark.createDataFrame(rows, "doc_id long, text string"), n_shards=8).collect()

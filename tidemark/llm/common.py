@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -24,6 +25,17 @@ BATCH_BYTES = 8 << 20
 _made: list[str] = []
 
 
+def _give_back_memory() -> None:
+    """Freed arrays of a megabyte and more go back to the system, so that a worker which waits stays small."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD of the GNU C library; others have no mallopt
+    except (OSError, AttributeError):
+        return
+
+
+_give_back_memory()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

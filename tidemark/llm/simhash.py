@@ -198,21 +198,21 @@ def link_forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list
     return forest.kept
 
 
-def small_links(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all links inside groups of at most 64 fingerprints, one plane word a group."""
+def small_links(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int, lanes: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all links inside groups of at most ``lanes`` fingerprints, whose planes take lanes / 64 words each."""
     fps = fps.reshape(len(fps), -1)
     a, b = [], []
-    step = 4096 // fps.shape[1]
+    step = max(1, (1 << 18) // (fps.shape[1] * lanes * 4))
     for at in range(0, len(starts), step):
         start, size = starts[at : at + step], sizes[at : at + step]
-        index = start[:, None] + np.minimum(np.arange(64)[None, :], size[:, None] - 1)
-        bits = np.unpackbits(fps[index].astype("<u8").view(np.uint8).reshape(len(start), 64, -1), axis=2, bitorder="little")
+        index = start[:, None] + np.minimum(np.arange(lanes)[None, :], size[:, None] - 1)
+        bits = np.unpackbits(fps[index].astype("<u8").view(np.uint8).reshape(len(start), lanes, -1), axis=2, bitorder="little")
         planes = np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view("<u8")
         group = np.repeat(np.arange(len(start)), size)
         member = np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size)
-        for m in range(0, len(group), 1 << 14):
-            g, k = group[m : m + (1 << 14)], member[m : m + (1 << 14)]
-            row, lane = _lanes(within(fps[start[g] + k], planes[:, g, :], radius, _between(k + 1, size[g], 1)))
+        for m in range(0, len(group), 1 << 13):
+            g, k = group[m : m + (1 << 13)], member[m : m + (1 << 13)]
+            row, lane = _lanes(within(fps[start[g] + k], planes[:, g, :], radius, _between(k + 1, size[g], lanes // 64)))
             a.append(start[g[row]] + k[row])
             b.append(start[g[row]] + lane)
     return np.concatenate(a), np.concatenate(b)
@@ -280,12 +280,13 @@ def _links_of(rows: np.ndarray, words: list[int], radius: int) -> pa.RecordBatch
     starts, sizes = edges[:-1], np.diff(edges)
     fp = np.ascontiguousarray(rows[words].T).view(np.uint64)
     u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    small = (sizes > 1) & (sizes <= 64)
-    if small.any():
-        a, b = small_links(fp, starts[small], sizes[small], radius)
-        u.append(rows[2][a])
-        v.append(rows[2][b])
-    for k in np.flatnonzero(sizes > 64).tolist():
+    for least, lanes in ((1, 64), (64, 256)):
+        small = (sizes > least) & (sizes <= lanes)
+        if small.any():
+            a, b = small_links(fp, starts[small], sizes[small], radius, lanes)
+            u.append(rows[2][a])
+            v.append(rows[2][b])
+    for k in np.flatnonzero(sizes > 256).tolist():
         part, nodes, side = fp[edges[k] : edges[k + 1]], rows[2, edges[k] : edges[k + 1]], rows[1, edges[k] : edges[k + 1]]
         left, right = part[side == 0], part[side == 1]
         if len(left) and (found := link_forest(left, right if len(right) else None, radius)):
@@ -327,16 +328,21 @@ def wide_fingerprints(texts: list[bytes], words: int) -> np.ndarray:
         h = mix64(h + np.where(place[at] + j < size[at], padded[at + j], np.uint64(0)))
     doc = np.repeat(np.arange(len(texts)), n)[at]
     total = np.bincount(doc, minlength=len(texts))
-    ones = np.zeros((len(texts), 64 * WIDE), dtype=np.int64)
     salts = mix64(np.arange(1, WIDE + 1, dtype=np.uint64))
-    bits_of = lambda x: np.unpackbits(np.stack([mix64(x ^ s) for s in salts], axis=1).view(np.uint8), axis=1, bitorder="little")
-    for a in range(0, len(h), 1 << 15):
-        part = doc[a : a + (1 << 15)]
-        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        ones[part[first]] += np.add.reduceat(bits_of(h[a : a + (1 << 15)]), first, axis=0, dtype=np.int32)
     some = np.flatnonzero(total)
-    first = bits_of(h[np.cumsum(total)[some] - total[some]])
-    twice, n = 2 * ones[some], total[some, None]
+    begin = np.cumsum(total)[some] - total[some]
+    # one bit of each byte is counted at a time, in the eight bytes of a word: at most 255 shingles at once
+    cut = np.flatnonzero(place[at] % 255 == 0)
+    ones = np.empty((len(some), WIDE, 8, 8), dtype=np.int64)
+    first = np.empty((len(some), WIDE), dtype=np.uint64)
+    for k in range(WIDE if len(some) else 0):
+        x = mix64(h ^ salts[k])
+        first[:, k] = x[begin]
+        for i in range(8):
+            part = np.add.reduceat((x >> np.uint64(i)) & np.uint64(0x0101010101010101), cut)
+            ones[:, k, :, i] = np.add.reduceat(part.view(np.uint8).reshape(-1, 8), np.searchsorted(cut, begin), axis=0, dtype=np.int64)
+    first = np.unpackbits(first.view(np.uint8).reshape(len(some), 8 * WIDE), axis=1, bitorder="little")
+    twice, n = 2 * ones.reshape(len(some), 64 * WIDE), total[some, None]
     out = np.zeros((len(texts), 8 * WIDE), dtype=np.uint8)
     out[some] = np.packbits((twice > n) | ((twice == n) & (first > 0)), axis=1, bitorder="little")
     return out.view("<u8")
@@ -356,7 +362,7 @@ def radius_for(similarity: float, bits: int = 64 * WIDE) -> int:
 def sampled_masks(n: int, similarity: float, recall: float) -> list[tuple[int, ...]]:
     """Masks of sampled bits: a random key holds at most PER_KEY of n fingerprints, and a pair of just
     that similarity shares a key of some table with probability ``recall``."""
-    k = max(14, math.ceil(math.log2(max(1, n / PER_KEY))))
+    k = max(8, math.ceil(math.log2(max(1, n / PER_KEY))))
     tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing_share(similarity)) ** k))
     rng = np.random.default_rng(11)
     chosen = [rng.choice(64 * WIDE, size=k, replace=False).tolist() for _ in range(tables)]
