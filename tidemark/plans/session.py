@@ -9,6 +9,9 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows of one Arrow batch between the JVM and a Python worker; texts make the default of 10,000 rows large.
+BATCH_ROWS = 2000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
@@ -17,6 +20,8 @@ def ship(spark: SparkSession) -> None:
     Executors share no folder with the driver, so functions that they unpickle by
     name need the package; Spark's own file server hands it out.
     """
+    if spark.conf.get(_ROWS) == "10000":  # a setting of the user's own stays
+        spark.conf.set(_ROWS, BATCH_ROWS)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
