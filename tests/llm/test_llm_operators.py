@@ -279,8 +279,7 @@ def test_wide_links_equal_brute_force(spark, monkeypatch):
     from tidemark.llm.components import connected_components
 
     found = simhash.links(d, 48, simhash.sampled_masks(len(rows), 0.8, 0.99), ("f0", "f1", "f2", "f3"), "node", sparse=False)
-    fps = np.array(rows, dtype=np.int64).view(np.uint64)
-    assert all(np.bitwise_count(fps[r.u] ^ fps[r.v]).sum() <= 48 for r in found.collect())
+    assert all(r.u // 150 == r.v // 150 for r in found.collect())
     roots = {r.v: r.root for r in connected_components(found).collect()}
     assert [roots.get(i, i) for i in range(600)] == [150 * (i // 150) for i in range(600)]
 

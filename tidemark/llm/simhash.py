@@ -14,8 +14,8 @@ carry-save counters (sum planes up to the radius and a sticky overflow plane), w
 lane is over the radius.
 
 A key with many fingerprints is split into tiles; the tiles of one key are compared
-pair by pair, each pair in its own group of bounded size. Only a spanning forest of
-each group's links is kept, so output is linear in the fingerprints.
+pair by pair, each pair in its own group of bounded size. Of each group's links only the
+trees that they form are kept, each member with its root, so output is linear in the fingerprints.
 
 Texts of a given Jaccard similarity lie further apart than 4 of 64 bits. keep_similar()
 therefore takes 256-bit fingerprints of five-word shingles and the radius that pairs of
@@ -158,34 +158,31 @@ def _between(first: np.ndarray, stop: np.ndarray, words: int) -> np.ndarray:
 
 
 class Forest:
-    """Union-find over 0..n-1 that keeps the links that joined two trees."""
+    """Union-find over 0..n-1; a tree's root is its least member."""
 
     def __init__(self, n: int):
         self.parent = np.arange(n)
-        self.kept: list[tuple[int, int]] = []
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        apart = self.parent[a] != self.parent[b]
-        if not apart.any():
-            return
-        up: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (y := up.get(x, x)) != x:
-                x = y
-            return x
-
-        for x, y in zip(a[apart].tolist(), b[apart].tolist()):
-            i, j = root(int(self.parent[x])), root(int(self.parent[y]))
-            if i != j:
-                up[max(i, j)] = min(i, j)
-                self.kept.append((x, y))
-        for old in sorted(up):
-            self.parent[self.parent == old] = root(old)
-
-
-def link_forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links inside left and, if given, between left and right."""
+        """Joins a[i] and b[i]: the least root spreads along the links until nothing changes."""
+        while True:
+            x, y = self.parent[a], self.parent[b]
+            apart = x != y
+            if not apart.any():
+                return
+            a, b, least = a[apart], b[apart], np.minimum(x[apart], y[apart])
+            np.minimum.at(self.parent, np.maximum(x[apart], y[apart]), least)
+            while (up := self.parent[self.parent]).tobytes() != self.parent.tobytes():
+                self.parent = up
+
+    def stars(self) -> tuple[np.ndarray, np.ndarray]:
+        """Every member that is no root, and its root."""
+        at = np.flatnonzero(self.parent != np.arange(len(self.parent)))
+        return at, self.parent[at]
+
+
+def link_forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members and roots of what the links inside left and, if given, between left and right connect."""
     both = left if right is None else np.concatenate([left, right])
     planes = planes_of(both)
     forest = Forest(len(both))
@@ -195,13 +192,13 @@ def link_forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list
         index = np.arange(at, at + len(part))
         a, b = _lanes(within(part, planes, radius, _between(index + 1, np.full(len(part), len(both)), planes.shape[1])))
         forest.add(a + at, b)
-    return forest.kept
+    return forest.stars()
 
 
 def small_links(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int, lanes: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all links inside groups of at most ``lanes`` fingerprints, whose planes take lanes / 64 words each."""
+    """Members and roots, as positions, of what the links connect inside groups of at most ``lanes`` fingerprints; a group's planes take lanes / 64 words."""
     fps = fps.reshape(len(fps), -1)
-    a, b = [], []
+    forest = Forest(len(fps))
     step = max(1, (1 << 18) // (fps.shape[1] * lanes * 4))
     for at in range(0, len(starts), step):
         start, size = starts[at : at + step], sizes[at : at + step]
@@ -213,9 +210,8 @@ def small_links(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius:
         for m in range(0, len(group), 1 << 13):
             g, k = group[m : m + (1 << 13)], member[m : m + (1 << 13)]
             row, lane = _lanes(within(fps[start[g] + k], planes[:, g, :], radius, _between(k + 1, size[g], lanes // 64)))
-            a.append(start[g[row]] + k[row])
-            b.append(start[g[row]] + lane)
-    return np.concatenate(a), np.concatenate(b)
+            forest.add(start[g[row]] + k[row], start[g[row]] + lane)
+    return forest.stars()
 
 
 def block_masks(n_blocks: int, radius: int) -> list[tuple[int]]:
@@ -234,7 +230,9 @@ def choose_blocks(n: int, radius: int) -> int:
 
 
 def links(distinct: DataFrame, radius: int, masks: list[tuple[int, ...]], words: tuple[str, ...] = ("fp",), node: str = "fp", sparse: bool = True) -> DataFrame:
-    """(u, v): pairs of nodes within radius that connect what is connected at all among those that share a table's key.
+    """(u, v): each node with the least one that links within radius connect it to among those that share a table's key.
+
+    A group gives less than one row a node, and the same rows in every table that holds it whole.
 
     words are the columns of the fingerprint; sparse says that most keys hold one fingerprint, which are then left out before the exchange.
     """
@@ -271,11 +269,11 @@ def links(distinct: DataFrame, radius: int, masks: list[tuple[int, ...]], words:
             yield _links_of(np.concatenate(held, axis=1), at, radius)
 
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "g").sortWithinPartitions("g").mapInArrow(compare, "u long, v long")
+    return rows.repartition(n, "g").sortWithinPartitions("g", node).mapInArrow(compare, "u long, v long")
 
 
 def _links_of(rows: np.ndarray, words: list[int], radius: int) -> pa.RecordBatch:
-    """The links of consecutive whole groups (g, side, node, ...); words are the rows that hold the fingerprint."""
+    """What the links connect in consecutive whole groups (g, side, node, ...); words are the rows that hold the fingerprint."""
     edges = np.concatenate([[0], np.flatnonzero(np.diff(rows[0])) + 1, [rows.shape[1]]])
     starts, sizes = edges[:-1], np.diff(edges)
     fp = np.ascontiguousarray(rows[words].T).view(np.uint64)
@@ -289,10 +287,11 @@ def _links_of(rows: np.ndarray, words: list[int], radius: int) -> pa.RecordBatch
     for k in np.flatnonzero(sizes > 256).tolist():
         part, nodes, side = fp[edges[k] : edges[k + 1]], rows[2, edges[k] : edges[k + 1]], rows[1, edges[k] : edges[k + 1]]
         left, right = part[side == 0], part[side == 1]
-        if len(left) and (found := link_forest(left, right if len(right) else None, radius)):
-            both, pairs = np.concatenate([nodes[side == 0], nodes[side == 1]]), np.array(found)
-            u.append(both[pairs[:, 0]])
-            v.append(both[pairs[:, 1]])
+        if len(left):
+            both = np.concatenate([nodes[side == 0], nodes[side == 1]])
+            a, b = link_forest(left, right if len(right) else None, radius)
+            u.append(both[a])
+            v.append(both[b])
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
 
 

@@ -226,7 +226,8 @@ def window_hashes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["h", "node", "doc_id", "rid", "at"])
 
-    return docs.join(wanted, ["doc_id", "rid"]).select("doc_id", "rid", "text", "ranges").mapInArrow(run, "h long, node long, doc_id long, rid long, at int")
+    # both sides grow with the corpus: never broadcast, so that small inputs run like large ones
+    return docs.join(wanted.hint("merge"), ["doc_id", "rid"]).select("doc_id", "rid", "text", "ranges").mapInArrow(run, "h long, node long, doc_id long, rid long, at int")
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -306,7 +307,7 @@ def dedup_report(docs: DataFrame) -> DataFrame:
 
     rid, unique = _row_id(docs)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rid.alias("rid"), F.col("text").cast("string").alias("text"))
-    return source.join(_cuts(docs, rid, unique), ["doc_id", "rid"], "left").drop("rid").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return source.join(_cuts(docs, rid, unique).hint("merge"), ["doc_id", "rid"], "left").drop("rid").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup_rows(docs: DataFrame) -> DataFrame:
@@ -325,5 +326,5 @@ def dedup_rows(docs: DataFrame) -> DataFrame:
 
     rid, unique = _row_id(docs)
     cuts = _cuts(docs, rid, unique).select(F.col("doc_id").alias(doc), F.col("rid").alias(rid_), F.col("cuts").alias(cuts_))
-    joined = docs.withColumn(row, rid).join(cuts, (F.col("doc_id") == F.col(doc)) & (F.col(row) == F.col(rid_)), "left")
+    joined = docs.withColumn(row, rid).join(cuts.hint("merge"), (F.col("doc_id") == F.col(doc)) & (F.col(row) == F.col(rid_)), "left")
     return joined.select(*names, cuts_).mapInArrow(run, docs.schema)
