@@ -224,7 +224,7 @@ def test_one_to_one_matching_takes_all_names(spark, tmp_path):
     assert max(used_a) >= 20 and max(used_b) >= 20
 
 
-def test_order_part_components(spark, tmp_path):
+def test_connected_components(spark, tmp_path):
     """More than 500 nodes, keys of all residues, against union-find."""
     from tidemark.plans import registry
 
@@ -241,12 +241,12 @@ def test_order_part_components(spark, tmp_path):
     for o, p in lines:
         a, b = top(("order", o)), top(("part", p))
         up[a] = b
-    got = {(x.kind, x.key): x.component for x in registry.queries()["q_order_part_components"](spark, str(tmp_path)).collect()}
+    got = {(x.kind, x.key): x.component for x in registry.queries()["q_connected_components"](spark, str(tmp_path)).collect()}
     assert set(got) == set(up) and len(got) > 500
     assert len({(top(k), c) for k, c in got.items()}) == len({top(k) for k in up}) == len(set(got.values()))
 
 
-@pytest.mark.parametrize("name,rows", [("q_partition_merge_all", 1), ("q_month_sequence_all", 3)])
+@pytest.mark.parametrize("name,rows", [("q_partition_merge", 1), ("q_month_sequence", 3)])
 def test_all_orders_take_part(spark, sf_dir, name, rows):
     from tidemark.plans import registry
 
@@ -259,5 +259,60 @@ def test_all_orders_take_part(spark, sf_dir, name, rows):
 def test_short_windows_join(spark, sf_dir):
     from tidemark.plans import registry
 
-    wins = {x.win for x in registry.queries()["q_bigram_equi_join_all"](spark, sf_dir).select("win").distinct().collect()}
+    wins = {x.win for x in registry.queries()["q_bigram_equi_join"](spark, sf_dir).select("win").distinct().collect()}
     assert any(2 <= len(w) < 6 for w in wins) and any(len(w) >= 6 for w in wins)
+
+
+def test_paths_that_are_too_long_raise(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(6)], "src long, dst long")
+    assert graph.paths(edges, 6).count() == 1
+    with pytest.raises(RuntimeError):
+        graph.paths(edges, 3)
+
+
+@pytest.mark.parametrize("f,a,b,want", [
+    (S.weighted, "Blue Ring", "blue ring", 1.0),
+    (S.weighted, "ab", "cd", 0.0),
+    (S.weighted, "abcd", "abxy", 0.3 * 0.5 + 0.1 * 0.5 + 0.2 * 0.5 + 0.2 * 0.5),
+    (S.wide_ratio, "", "abc", 0.0),
+    (S.wide_ratio, "red bolt", "bolt red", 0.95),
+    (S.wide_ratio, "bolt", "big red bolts", 0.9),
+    (S.character_similarity, "same", "same", 1.0),
+    (S.character_similarity, "ab", "cd", 0.0),
+    (S.best_gram_window, "bol", "a bolt", 1.0),
+    (S.sequence_ratio, "abcd", "abxd", 0.75),
+])
+def test_further_similarities(f, a, b, want):
+    assert f(a, b) == pytest.approx(want)
+    assert S.longest_common_run("xabcy", "zabcw") == 3
+
+
+def test_further_matching_queries(spark, sf_dir):
+    """The queries without SQL, against loops over all words and names."""
+    from tidemark.plans import registry
+
+    run = lambda n: registry.queries()[n](spark, sf_dir).collect()
+    import re
+
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").collect()
+    ids = {}
+    for r in parts:
+        ids.setdefault(r.p_name, []).append(r.p_partkey)
+    words = {w for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() for w in re.findall("[a-z]+", (r.text or "").lower())}
+    grams = lambda s: {x[i : i + 2] for x in [re.sub("[^a-z]", "", s.lower())] for i in range(max(1, len(x) - 1))}
+    gn, gw = {n: grams(n) for n in ids}, {w: grams(w) for w in words}
+    pairs = [(w, n) for w in words for n in ids if len(gn[n] & gw[w]) >= 2]
+    assert {(r.word, r.p_name): r.score for r in run("q_weighted_score")} == pytest.approx({p: S.weighted(*p) for p in pairs})
+    top = {}
+    for w, n in pairs:
+        if round(S.wide_ratio(w, n), 9) >= 0.5:
+            top.setdefault(w, []).append((-round(S.wide_ratio(w, n), 9), n))
+    assert {(r.word, r["rank"]): r.p_name for r in run("q_fuzzy_topk")} == {(w, i): n for w, v in top.items() for i, (_, n) in enumerate(sorted(v)[:5], 1)}
+    best = {}
+    for w, n in pairs:
+        if round(S.fuzzy(w, n), 9) >= 0.5 and round(S.combined(w, n), 9) >= 0.3:
+            best.setdefault(w, []).append((round(S.combined(w, n), 9), n))
+    want = {(w, n): sorted(ids[n]) for w, v in best.items() for s, n in v if s == max(v)[0]}
+    assert {(r.word, r.p_name): r.ids for r in run("q_store_match")} == want
+    stops = ("the", "and", "information", "registration", "notification", "ing")
+    assert {r.word for r in run("q_stop_word_like")} == {w for w in words if w not in stops and all(S.sequence_ratio(w, x) <= 0.95 for x in stops)}

@@ -57,6 +57,57 @@ def fuzzy(a: str, b: str) -> float:
     return max(ratio(a, b), partial_ratio(a, b), token_sort_ratio(a, b), token_set_ratio(a, b))
 
 
+def weighted(a: str, b: str) -> float:
+    """0.3 ratio, 0.1 best window scaled by the lengths, 0.2 shared words, 0.2 sorted and 0.2 set words; equal strings give 1."""
+    a, b = a.lower(), b.lower()
+    if a == b:
+        return 1.0
+    short, long = sorted((len(a), len(b)))
+    x, y = set(a.split()), set(b.split())
+    shared = len(x & y) / len(x | y) if x | y else 0.0
+    return 0.3 * ratio(a, b) + 0.1 * partial_ratio(a, b) * (short / long if long else 0.0) + 0.2 * shared + 0.2 * token_sort_ratio(a, b) + 0.2 * token_set_ratio(a, b)
+
+
+def wide_ratio(a: str, b: str) -> float:
+    """The best of ratio, word-wise ratios at 0.95, and for unlike lengths (half as long again or more) the best window at 0.9, beyond eight times at 0.6."""
+    if not a or not b:
+        return 0.0
+    unlike = max(len(a), len(b)) / min(len(a), len(b))
+    words = 0.95 * max(token_sort_ratio(a, b), token_set_ratio(a, b))
+    if unlike < 1.5:
+        return max(ratio(a, b), words)
+    return max(ratio(a, b), partial_ratio(a, b) * (0.9 if unlike <= 8 else 0.6), words * 0.9)
+
+
+def sequence_ratio(a: str, b: str) -> float:
+    """Twice the characters in matching blocks over both lengths."""
+    return difflib.SequenceMatcher(None, a, b, False).ratio()
+
+
+def longest_common_run(a: str, b: str) -> int:
+    """Length of the longest common substring."""
+    return difflib.SequenceMatcher(None, a, b, False).find_longest_match().size if a and b else 0
+
+
+def best_gram_window(a: str, b: str, n: int = 2) -> float:
+    """Best Jaccard of n-grams of the shorter string and any window of its length in the longer one."""
+    a, b = sorted((a, b), key=len)
+    grams = lambda s: {s[i : i + n] for i in range(len(s) - n + 1)} or {s}
+    if not a:
+        return 1.0 if not b else 0.0
+    x = grams(a)
+    return max(len(x & y) / len(x | y) for y in (grams(b[i : i + len(a)]) for i in range(len(b) - len(a) + 1)))
+
+
+def character_similarity(a: str, b: str) -> float:
+    """The mean of the best window, the longest common run and subsequence over the longer length, and the matching blocks' ratio."""
+    a, b = a.lower(), b.lower()
+    size = max(len(a), len(b))
+    if not size:
+        return 1.0
+    return (best_gram_window(a, b) + longest_common_run(a, b) / size + lcs_length(a, b) / size + block_ratio(a, b)) / 4
+
+
 _NORM: dict[str, Callable[[int, int], int]] = {"max": max, "min": min, "s1": lambda n, m: n, "s2": lambda n, m: m}
 
 

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.session import shared_root
+
 #: Buckets of one counting step of the rank search; the driver sees hours x buckets rows.
 BUCKETS = 512
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in spark.checkpoint.dir; a temporary folder is set only where none is."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidemark-"))
+    """A checkpoint in spark.checkpoint.dir."""
+    shared_root(df.sparkSession)
     return df.checkpoint()
 
 

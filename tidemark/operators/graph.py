@@ -40,7 +40,7 @@ def leaves(edges: DataFrame) -> DataFrame:
 
 
 def paths(edges: DataFrame, max_depth: int = 20) -> DataFrame:
-    """All simple root-to-leaf paths as arrays of nodes, up to max_depth edges."""
+    """All simple root-to-leaf paths as arrays of nodes; paths of more than max_depth edges are an error, never cut."""
     ends = leaves(edges).withColumn("end", F.lit(True))
     step = edges.select("src", "dst").distinct()
     front = cut_lineage(roots(edges).select(F.col("node").alias("last"), F.array("node").alias("path")))
@@ -51,8 +51,8 @@ def paths(edges: DataFrame, max_depth: int = 20) -> DataFrame:
         grown = front.join(step, front["last"] == step["src"]).filter(~F.array_contains("path", F.col("dst")))
         front = cut_lineage(grown.select(F.col("dst").alias("last"), F.concat("path", F.array("dst")).alias("path")))
         if front.isEmpty():
-            break
-    return done
+            return done
+    raise RuntimeError(f"paths of more than {max_depth} edges; raise max_depth")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

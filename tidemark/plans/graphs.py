@@ -53,17 +53,9 @@ def q_dag_lines(t: Tables) -> DataFrame:
     return G.sorted_lines(G.parse_edges(lines(t)), "src")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 500 AS a, l_orderkey % 500 + 7 * (l_linenumber % 2) AS b FROM lineitem WHERE l_orderkey % 500 < 490), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT a AS node, a AS c FROM b UNION SELECT b.b, r.c FROM r JOIN b ON b.a = r.node) SELECT CAST(node AS BIGINT) AS node, CAST(min(c) AS BIGINT) AS component FROM r GROUP BY 1""")
-def q_connected_components(t: Tables) -> DataFrame:
-    m = F.col("l_orderkey") % 500
-    e = t.lineitem.filter(m < 490).select(m.alias("src"), (m + 7 * (F.col("l_linenumber") % 2)).alias("dst")).distinct()
-    return G.components(e)
-
-
 @query()
-def q_order_part_components(t: Tables) -> DataFrame:
-    """Components of the graph of all orders and the parts on their lines; q_connected_components covers a graph of fixed size that SQL can close."""
+def q_connected_components(t: Tables) -> DataFrame:
+    """Components of the graph of all orders and the parts on their lines; too large for recursive SQL."""
     e = t.lineitem.select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).distinct()
     node = F.col("node")
     return G.components(e).select(F.when(node % 2 == 0, "order").otherwise("part").alias("kind"), F.shiftright(node, 1).alias("key"), "component")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -32,3 +33,17 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root.parent))
     sc.addPyFile(str(path))
     _shipped.add(sc.applicationId)
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where that is unset and all work runs on this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = root.get() if root.isDefined() else None
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")

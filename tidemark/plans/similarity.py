@@ -37,13 +37,8 @@ def window_names(t: Tables, w: DataFrame) -> DataFrame:
     return candidates(w, "win", X.bigrams(F.col("win")), names(t), "p_name", X.bigrams(F.col("p_name"))).select("win", "p_name")
 
 
-@query(f"SELECT DISTINCT win, p_name FROM (SELECT DISTINCT win, substr(win, CAST(j AS INTEGER), 2) AS g FROM ({_WINDOW}), unnest(range(1, greatest(length(win), 2))) r(j)) x JOIN (SELECT k AS p_name, g FROM ({_NAME})) USING (g) WHERE length(win) >= 6")
-def q_bigram_equi_join(t: Tables) -> DataFrame:
-    return window_names(t, windows(t).filter(F.length("win") >= 6))
-
-
 @query(f"SELECT DISTINCT win, p_name FROM (SELECT DISTINCT win, substr(win, CAST(j AS INTEGER), 2) AS g FROM ({_WINDOW}), unnest(range(1, greatest(length(win), 2))) r(j)) x JOIN (SELECT k AS p_name, g FROM ({_NAME})) USING (g)")
-def q_bigram_equi_join_all(t: Tables) -> DataFrame:
+def q_bigram_equi_join(t: Tables) -> DataFrame:
     return window_names(t, windows(t))
 
 
@@ -83,7 +78,7 @@ def q_lcs_ratio(t: Tables) -> DataFrame:
 @query()
 def q_entity_match(t: Tables) -> DataFrame:
     """Words of the benchmark against item names: fuzzy, then two-sided scores, then rank."""
-    w = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("win")).filter(F.length("win") >= 4).distinct()
+    w = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("win")).distinct()
     c = candidates(w, "win", X.bigrams(F.col("win")), names(t), "p_name", X.bigrams(F.col("p_name")), 2)
     near = c.withColumn("fuzzy", S.metric(S.fuzzy)("win", "p_name")).filter("fuzzy >= 0.4")
     two = near.withColumn("s1", S.metric(S.combined, "s1")("win", "p_name")).withColumn("s2", S.metric(S.combined, "s2")("win", "p_name"))
