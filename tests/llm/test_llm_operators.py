@@ -96,6 +96,17 @@ def test_tokenizer_equals_the_library():
         assert mine.encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_cache_generations():
+    made = []
+    cache = tokens._Cache(lambda k: made.append(k) or k.encode(), 3)
+    for key in "abcabcdefgabc":
+        assert cache[key] == key.encode()
+        assert len(cache) <= 3 and len(cache._old) <= 3
+    assert made[:3] == ["a", "b", "c"] and len(made) < 13
+    long = "x" * (tokens.CACHE_CHARS + 1)
+    assert cache[long] == long.encode() and long not in cache
+
+
 # quality rules
 
 
