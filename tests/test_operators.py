@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import similarity as S
 from tidemark.functions import text as X
 from tidemark.operators import aliases as A
-from tidemark.operators import allocation, features, graph
+from tidemark.operators import allocation, features, graph, ranking
 from tidemark.sources import files
 from tidemark.streaming.events import run_to_table, tumbling
 
@@ -316,3 +316,63 @@ def test_further_matching_queries(spark, sf_dir):
     assert {(r.word, r.p_name): r.ids for r in run("q_store_match")} == want
     stops = ("the", "and", "information", "registration", "notification", "ing")
     assert {r.word for r in run("q_stop_word_like")} == {w for w in words if w not in stops and all(S.sequence_ratio(w, x) <= 0.95 for x in stops)}
+
+
+def ranked_rows(n=400, seed=5):
+    rng = random.Random(seed)
+    # one group holds most rows, one has a null key, scores are full of ties
+    return [(i, rng.choice(["hot"] * 6 + ["b", "c", None]), rng.choice([0.1, 0.2, 0.5, 0.9, None]), rng.randint(0, 1)) for i in range(n)]
+
+
+RANKED = "id long, g string, v double, y int"
+
+
+def test_running_sums_equal_a_loop(spark):
+    rows = ranked_rows()
+    got = ranking.running(spark.createDataFrame(rows, RANKED), ["g"], [F.asc("id")], {"ys": "y"}).collect()
+    want, seen = {}, {}
+    for i, g, _, y in rows:
+        seen[g] = seen.get(g, 0) + y
+        want[i] = seen[g]
+    assert {r.id: r.ys for r in got} == want
+    got = ranking.running(spark.createDataFrame(rows, RANKED), [], [F.asc("id")], {"a": "y", "b": "id"}).collect()
+    assert sorted((r.id, r.a, r.b) for r in got) == [(i, sum(x[3] for x in rows[: i + 1]), i * (i + 1) // 2) for i in range(len(rows))]
+    assert ranking.running(spark.createDataFrame([], RANKED), ["g"], [F.asc("id")], {"ys": "y"}).count() == 0
+
+
+def test_rank_and_quantiles_equal_a_loop(spark):
+    rows = ranked_rows()
+    df = spark.createDataFrame(rows, RANKED)
+    key = lambda v: -1.0 if v is None else v
+    want = {i: 1 + sum(1 for _, h, w, _ in rows if h == g and key(w) > key(v)) for i, g, v, _ in rows}
+    assert {r.id: r["rank"] for r in ranking.with_rank(df, ["g"], "v", "rank").collect()} == want
+    shares = {"p10": 0.1, "p50": 0.5, "p99": 0.99}
+    got = {r.g: tuple(r[c] for c in shares) for r in ranking.quantiles(df, ["g"], "v", shares).collect()}
+    for g in {r[1] for r in rows}:
+        vs = sorted(v for _, h, v, _ in rows if h == g and v is not None)
+        for p, q in zip(shares.values(), got[g]):
+            at = (len(vs) - 1) * p
+            lo = int(at)
+            hi = min(lo + (at > lo), len(vs) - 1)
+            assert q == pytest.approx(vs[lo] + (vs[hi] - vs[lo]) * (at - lo))
+    assert ranking.quantiles(df.filter("false"), ["g"], "v", shares).count() == 0
+    whole = ranking.quantiles(df.filter("v is not null"), [], "v", {"m": 0.5}).first().m
+    vs = sorted(v for _, _, v, _ in rows if v is not None)
+    assert whole == pytest.approx((vs[(len(vs) - 1) // 2] + vs[len(vs) // 2]) / 2)
+
+
+def test_ranking_metrics_equal_a_loop(spark):
+    rows = [(i, g, v, y) for i, g, v, y in ranked_rows() if v is not None and g]
+    df = spark.createDataFrame(rows, RANKED)
+    order = [F.desc("v"), F.asc("id")]
+    ap = {r.g: r.ap for r in ranking.average_precision(df, "g", order, "y").collect()}
+    top = {r.g: (r.p, r.r) for r in ranking.top_k(df, "g", order, "y", 10).collect()}
+    for g in {r[1] for r in rows}:
+        ys = [y for *_, y in sorted((r for r in rows if r[1] == g), key=lambda r: (-r[2], r[0]))]
+        hits = [sum(ys[: k + 1]) / (k + 1) for k, y in enumerate(ys) if y]
+        assert ap[g] == pytest.approx(sum(hits) / len(hits))
+        assert top[g] == pytest.approx((sum(ys[:10]) / len(ys[:10]), sum(ys[:10]) / sum(ys)))
+    pos, neg = [r[2] for r in rows if r[3]], [r[2] for r in rows if not r[3]]
+    wins = sum((p > q) + (p == q) / 2 for p in pos for q in neg)
+    assert ranking.auc(df, "v", "y").first().auc == pytest.approx(wins / len(pos) / len(neg))
+    assert ranking.auc(df.filter("y = 1"), "v", "y").first().auc is None

@@ -77,6 +77,17 @@ def lookback(df: DataFrame, keys: list[str], period: str, value: str, n: int, ou
     return moved.groupBy(*keys, period).agg(F.sum(value).alias(out))
 
 
+def lookback_counts(rows: DataFrame, keys: list[str], period: Column, n: int, own: str, out: str) -> DataFrame:
+    """(keys, period, own, out): the rows of each key and period that has any, and those of the n periods before it.
+
+    Each row counts under its own period and the n after it, so one aggregation does both.
+    """
+    seen = rows.select(*keys, period.alias("period"), F.explode(F.sequence(F.lit(0), F.lit(n))).alias("_k"))
+    moved = seen.withColumn("period", F.add_months("period", F.col("_k")))
+    counts = moved.groupBy(*keys, "period").agg(F.count(F.when(F.col("_k") == 0, 1)).alias(own), F.count(F.when(F.col("_k") > 0, 1)).alias(out))
+    return counts.filter(F.col(own) > 0)
+
+
 def merge_frames(frames: list[DataFrame], on: list[str], how: str = "outer") -> DataFrame:
     return reduce(lambda a, b: a.join(b, on, how), frames)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import ranking as R
 from tidemark.plans.registry import Tables, query
 
 _ROWS = "(SELECT event_id, user_id, CAST(hour(ts) AS INTEGER) AS h, ((event_id * 7919) % 1000) / 1000.0::DOUBLE AS prob, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS label FROM events WHERE hour(ts) BETWEEN 9 AND 18)"
@@ -33,9 +34,7 @@ SELECT 50 AS k, round(p, 6)::DOUBLE AS precision_at_k, round(r, 6)::DOUBLE AS re
 def q_precision_recall_at_k(t: Tables) -> DataFrame:
     """Means over the ten fixed hours, empty ones included."""
     k = 50
-    r = user_hours(t).withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("prob"), "user_id")))
-    top = F.sum(F.when(F.col("k") <= k, F.col("label")))
-    per = r.groupBy("h").agg((top / F.count(F.when(F.col("k") <= k, 1))).alias("p"), F.when(F.sum("label") == 0, 0.0).otherwise(top / F.sum("label")).alias("r"))
+    per = R.top_k(user_hours(t), "h", [F.desc("prob"), F.asc("user_id")], "label", k)
     m = per.agg((F.sum("p") / 10).alias("p"), (F.sum("r") / 10).alias("r"))
     return m.select(F.lit(k).alias("k"), F.round("p", 6).alias("precision_at_k"), F.round("r", 6).alias("recall_at_k"), F.round(2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r")), 6).alias("f1"))
 
@@ -45,7 +44,7 @@ _AP_HOUR, _AP_USER = _AP.format(key="h", tie="user_id"), _AP.format(key="user_id
 
 
 def average_precision(rows: DataFrame, key: str, tie: str) -> DataFrame:
-    """AP of each key with a positive label: hits so far over position, averaged over the hits."""
+    """AP of each key with a positive label, for keys of few rows: a window a key."""
     w = Window.partitionBy(key).orderBy(F.desc("prob"), tie)
     at = rows.withColumn("seen", F.sum("label").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("k", F.row_number().over(w))
     return at.groupBy(key).agg((F.sum(F.when(F.col("label") == 1, F.col("seen") / F.col("k"))) / F.sum("label")).alias("ap"), F.sum("label").alias("n")).filter("n > 0").select(key, "ap")
@@ -53,7 +52,7 @@ def average_precision(rows: DataFrame, key: str, tie: str) -> DataFrame:
 
 @query(f"SELECT h, round(ap, 6)::DOUBLE AS ap, round(avg(ap) OVER (), 6)::DOUBLE AS map FROM ({_AP_HOUR})")
 def q_map_by_hour(t: Tables) -> DataFrame:
-    ap = average_precision(user_hours(t), "h", "user_id")  # ten rows at most
+    ap = R.average_precision(user_hours(t), "h", [F.desc("prob"), F.asc("user_id")], "label")  # ten rows at most
     return ap.crossJoin(F.broadcast(ap.agg(F.avg("ap").alias("map")))).select("h", F.round("ap", 6).alias("ap"), F.round("map", 6).alias("map"))
 
 
@@ -110,12 +109,7 @@ def q_binary_metrics(t: Tables) -> DataFrame:
 
 @query(f"""SELECT round((sum(CASE WHEN label = 1 THEN r END) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label))), 6)::DOUBLE AS auc FROM (SELECT label, avg(k) OVER (PARTITION BY prob) AS r FROM (SELECT label, prob, row_number() OVER (ORDER BY prob) AS k FROM {_ROWS}))""")
 def q_auc_ranksum(t: Tables) -> DataFrame:
-    """Rank-sum AUC from counts per distinct score, so no window runs over all rows."""
-    per = scored(t).groupBy("prob").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
-    before = F.sum("n").over(Window.orderBy("prob").rowsBetween(Window.unboundedPreceding, -1))  # scores have three places: 1,000 rows at most
-    r = per.withColumn("rank", F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / 2)
-    a = r.agg(F.sum(F.col("rank") * F.col("pos")).alias("s"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
-    return a.selectExpr("round((s - p * (p + 1) / 2) / (p * (n - p)), 6) as auc")
+    return R.auc(scored(t), "prob", "label").select(F.round("auc", 6).alias("auc"))
 
 
 @query(f"""SELECT 200 AS k, round((SELECT avg(label) FROM (SELECT label FROM {_ROWS} ORDER BY prob DESC, event_id LIMIT 200)) / avg(label), 6) AS lift FROM {_ROWS}""")

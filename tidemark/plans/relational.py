@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.features import dict_filter, generic_agg, keep_first, merge_frames
+from tidemark.operators import ranking as R
 from tidemark.plans.registry import Tables, query
 
 
@@ -114,7 +115,8 @@ def q_summary_stats(t: Tables) -> DataFrame:
 
 @query("SELECT event_type, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
 def q_quantiles(t: Tables) -> DataFrame:
-    return t.events.groupBy("event_type").agg(*[F.round(F.percentile("value", p), 6).alias(n) for n, p in (("p10", 0.1), ("p50", 0.5), ("p99", 0.99))])
+    got = R.quantiles(t.events, ["event_type"], "value", {"p10": 0.1, "p50": 0.5, "p99": 0.99})
+    return got.select("event_type", *[F.round(c, 6).alias(c) for c in ("p10", "p50", "p99")])
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 3")
@@ -133,7 +135,8 @@ def q_priority_batches(t: Tables) -> DataFrame:
 
 @query("SELECT event_type, event_id, CAST(rank() OVER (PARTITION BY event_type ORDER BY value DESC) AS INTEGER) AS rank FROM events")
 def q_rank_prob(t: Tables) -> DataFrame:
-    return t.events.select("event_type", "event_id", F.rank().over(Window.partitionBy("event_type").orderBy(F.desc("value"))).alias("rank"))
+    got = R.with_rank(t.events.select("event_type", "event_id", "value"), ["event_type"], "value", "rank")
+    return got.select("event_type", "event_id", F.col("rank").cast("int").alias("rank"))
 
 
 @query("SELECT p_name, p_brand, n, CAST(r AS INTEGER) AS rank FROM (SELECT p_name, p_brand, count(*) AS n, dense_rank() OVER (PARTITION BY p_name ORDER BY count(*) DESC) AS r FROM part GROUP BY 1, 2) WHERE r <= 2")

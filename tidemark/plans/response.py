@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.features import lookback, role_projection, undersample_ratios
+from tidemark.operators.features import lookback_counts, role_projection, undersample_ratios
 from tidemark.plans.registry import Tables, query
 
 HOURS = list(range(9, 19))
@@ -142,9 +142,8 @@ def monthly_orders(orders: DataFrame) -> DataFrame:
 @query(f"""WITH a AS ({_MONTHLY}) SELECT a.o_custkey, a.m, a.n, CAST(coalesce(sum(b.n), 0) AS BIGINT) AS prev3 FROM a LEFT JOIN a b
   ON a.o_custkey = b.o_custkey AND b.m < a.m AND b.m >= a.m - INTERVAL 3 MONTH GROUP BY ALL""")
 def q_lookback_explode(t: Tables) -> DataFrame:
-    base = monthly_orders(t.orders)
-    back = lookback(base, ["o_custkey"], "m", "n", 3, "prev3")
-    return base.join(back, ["o_custkey", "m"], "left").fillna(0, ["prev3"]).select("o_custkey", "m", "n", "prev3")
+    got = lookback_counts(t.orders, ["o_custkey"], F.trunc("o_orderdate", "month"), 3, "n", "prev3")
+    return got.withColumnRenamed("period", "m")
 
 
 @query(f"""WITH a AS ({_MONTHLY}) SELECT a.o_custkey, a.m, CAST(coalesce(sum(b.n), 0) AS BIGINT) AS prev2 FROM a LEFT JOIN a b
