@@ -376,3 +376,63 @@ def test_ranking_metrics_equal_a_loop(spark):
     wins = sum((p > q) + (p == q) / 2 for p in pos for q in neg)
     assert ranking.auc(df, "v", "y").first().auc == pytest.approx(wins / len(pos) / len(neg))
     assert ranking.auc(df.filter("y = 1"), "v", "y").first().auc is None
+
+
+def test_section_lines_by_priority_and_end(spark):
+    texts = [
+        "## DAG\n(a:b)\n### 최종 DAG\n\n```\n(x:y)\n\n (z)\n```\n(no:no)",
+        "### DAG\ntext\n(a:b)\n## 3. next\n(c:d)",
+        "(a:b) -[r]-> (c:d)\nplain\n# note\n(e)",
+        "### DAG",
+        "",
+        None,
+    ]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", graph.section_lines(F.col("t")).alias("x")).orderBy("i").collect()
+    assert [r.x for r in got] == [["(x:y)", "(z)"], ["text", "(a:b)"], ["(a:b) -[r]-> (c:d)", "# note", "(e)"], [], [], None]
+
+
+def test_is_acyclic(spark):
+    edges = lambda *e: spark.createDataFrame(list(e), "src string, dst string")
+    assert graph.is_acyclic(edges(("a", "b"), ("b", "c"), ("a", "c"), ("a", "b")))
+    assert not graph.is_acyclic(edges(("r", "a"), ("a", "b"), ("b", "c"), ("c", "a")))
+    assert not graph.is_acyclic(edges(("a", "a")))
+    assert graph.is_acyclic(spark.createDataFrame([], "src string, dst string"))
+
+
+def test_loose_hits_equal_a_loop(spark):
+    rng = random.Random(4)
+    names = ["red bolt", "Red Bolt", "red", "blue ring set", "ring blue set", "ring", "a b c d", "a b c x", "", "set of a"]
+    rows = [(rng.sample(names, rng.randint(0, 7)), rng.sample(names, rng.randint(0, 7))) for _ in range(60)]
+
+    def alike(a, b):
+        a, b = a.lower(), b.lower()
+        x, y = set(a.split()), set(b.split())
+        return a in b or b in a or bool(x | y) and len(x & y) / len(x | y) >= 0.7
+
+    def hits(found, gold):
+        free, n = sorted(gold), 0
+        for f in sorted(found):
+            m = next((g for g in free if alike(f, g)), None)
+            if m is not None:
+                free.remove(m)
+                n += 1
+        return n
+
+    got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, f array<string>, g array<string>").select("i", S.loose_hits(F.col("f"), F.col("g")).alias("n")).orderBy("i").collect()
+    assert [r.n for r in got] == [hits(*r) for r in rows]
+
+
+def test_chunk_html():
+    product = '<div prdid="{}"><p>name {}<br></p></div>'
+    page = "<html>\n<body>" + "".join(product.format(i, "x" * i) for i in range(8)) + "</body></html>"
+    assert X.chunk_html(page, 10_000) == [page] and X.chunk_html("", 5) == [""]
+    chunks = X.chunk_html(page, 100)
+    assert "\n".join(chunks).split("\n") == [product.format(i, "x" * i) for i in range(8)]
+    assert all(len(c) <= 101 for c in chunks) and len(chunks) > 2
+    by_class = page.replace("prdid", "class='A Card' id")
+    assert [len(c) > 0 for c in X.chunk_html(by_class, 100)] and "Card" in X.chunk_html(by_class, 100)[0]
+    plain = "<p>" + "y" * 250
+    assert X.chunk_html(plain, 100) == [plain[:100], plain[100:200], plain[200:]]
+    long = page.replace("name x<", "name " + "z" * 300 + "<")
+    assert "".join(X.chunk_html(long, 100)).count("z") == 300
+    assert X.chunk_html("</b><p>" * 100, 50)[0].startswith("</b>")

@@ -181,3 +181,23 @@ def cosine(a: Column, b: Column) -> Column:
 def levenshtein_similarity(a: Column, b: Column) -> Column:
     size = F.greatest(F.length(a), F.length(b))
     return F.when(size == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / size)
+
+
+def loosely_equal(a: Column, b: Column, least: float = 0.7) -> Column:
+    """Equal, one inside the other, or word sets of Jaccard ``least`` and more, in lower case."""
+    a, b = F.lower(a), F.lower(b)
+    words = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    shared, every = F.size(F.array_intersect(words(a), words(b))), F.size(F.array_union(words(a), words(b)))
+    return F.contains(a, b) | F.contains(b, a) | ((every > 0) & (shared >= least * every))
+
+
+def loose_hits(found: Column, gold: Column) -> Column:
+    """How many entries of found meet an entry of gold loosely; each takes the first that is still free, in sorted order."""
+
+    def take(left: Column, entry: Column) -> Column:
+        at = F.array_position(F.transform(left, lambda g: loosely_equal(entry, g)), True).cast("int")
+        rest = F.concat(F.slice(left, 1, at - 1), F.slice(left, at + 1, F.size(left)))
+        return F.when(at > 0, rest).otherwise(left)
+
+    gold = F.array_sort(F.array_distinct(gold))
+    return F.size(gold) - F.size(F.aggregate(F.array_sort(F.array_distinct(found)), gold, take))

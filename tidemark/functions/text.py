@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,6 +14,11 @@ from pyspark.sql import types as T
 # Keywords of a title, and words that stand for no entity.
 TITLE_KEYWORDS = ("the", "for", "with", "der", "die", "las", "les")
 NONE_WORDS = ("none", "n/a", "null", "-")
+# What marks the element of one product, and how many make a list.
+PRODUCT_ATTRIBUTE = "prdid"
+PRODUCT_CLASSES = ("product", "item", "pass", "card")
+PRODUCTS_LEAST = 5
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
 def preprocess(c: Column) -> Column:
@@ -112,6 +118,85 @@ def chunk_udf(size: int, overlap: int):
     return run
 
 
+class _Elements(HTMLParser):
+    """Spans of the elements that mark a product, by attribute and by class, in order of their start."""
+
+    def __init__(self, html: str):
+        super().__init__(convert_charrefs=True)
+        self.starts = [0, *(m.end() for m in re.finditer("\n", html))]
+        self.open: list[tuple[str, int, bool, bool]] = []
+        self.by_attribute: list[tuple[int, int]] = []
+        self.by_class: list[tuple[int, int]] = []
+        self.feed(html)
+        self.close()
+        while self.open:
+            self._end(len(html))
+
+    def _at(self) -> int:
+        line, column = self.getpos()
+        return self.starts[line - 1] + column
+
+    def _end(self, end: int) -> None:
+        _, start, attribute, cls = self.open.pop()
+        if attribute:
+            self.by_attribute.append((start, end))
+        if cls:
+            self.by_class.append((start, end))
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        got = dict(attrs)
+        cls = (got.get("class") or "").lower()
+        self.open.append((tag, self._at(), PRODUCT_ATTRIBUTE in got, any(w in cls for w in PRODUCT_CLASSES)))
+        if tag in _VOID:
+            self._end(self._at() + len(self.get_starttag_text() or ""))
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.handle_starttag(tag, attrs)
+        if tag not in _VOID:
+            self._end(self._at() + len(self.get_starttag_text() or ""))
+
+    def handle_endtag(self, tag: str) -> None:
+        if not any(t == tag for t, *_ in self.open):
+            return
+        while self.open[-1][0] != tag:
+            self._end(self._at())  # left open inside
+        self._end(self._at() + len(tag) + 3)
+
+
+def chunk_html(html: str, size: int) -> list[str]:
+    """A page in chunks of at most ``size`` characters, or one more a line break: whole products where five or more are marked, else slices.
+
+    A page that fits is one chunk, an empty one included. Products within products count
+    for themselves; a product over ``size`` is sliced alone.
+    """
+    if len(html) <= size:
+        return [html]
+    slices = lambda s: [s[i : i + size] for i in range(0, len(s), size)]
+    marked = _Elements(html)
+    spans = next((x for x in (marked.by_attribute, marked.by_class) if len(x) >= PRODUCTS_LEAST), None)
+    if spans is None:
+        return slices(html)
+    out, now = [], ""
+    for a, b in sorted(spans, key=lambda x: (x[0], -x[1])):
+        one = html[a:b]
+        if now and len(now) + len(one) > size:
+            out.append(now)
+            now = ""
+        if len(one) > size:
+            out += slices(one)
+        else:
+            now = f"{now}\n{one}" if now else one
+    return [*out, now] if now else out
+
+
+def chunk_html_udf(size: int):
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: [] if x is None else chunk_html(x, size))
+
+    return run
+
+
 def repair_json(text: str) -> dict | None:
     """The first JSON object in text, with single quotes, bare keys and spare commas put right; None if there is none."""
     start = text.find("{")

@@ -11,6 +11,58 @@ from tidemark.operators.allocation import cut_lineage
 EDGE = r"^\(([^()]+)\)\s*-\[([^\]]+)\]->\s*\(([^()]+)\)$"
 NODE = r"^\(([^()]+)\)$"
 
+# Headers of the section that holds the graph, in order of priority, and the header that ends it.
+SECTION_HEADERS = (
+    r"#{2,3}\s*최종\s*DAG",
+    r"#{2,3}\s*4\.\s*수정된\s*DAG",
+    r"#{2,3}\s*수정된\s*DAG",
+    r"#{2,3}\s*2\.\s*추출된\s*DAG",
+    r"#{2,3}\s*DAG",
+    r"추출된\s*DAG",
+    r"2\.\s*추출된\s*DAG",
+)
+SECTION_END = r"^#{2,3}\s*[3-9]\."
+
+
+def _first(lines: Column, pattern: str) -> Column:
+    """Position of the first line with the pattern; 0 if none has it."""
+    return F.array_position(F.transform(lines, lambda x: x.rlike(pattern)), True)
+
+
+def _until(lines: Column, at: Column) -> Column:
+    """The lines before position at; all of them if it is 0."""
+    return F.when(at > 0, F.slice(lines, 1, at - 1)).otherwise(lines)
+
+
+def section_lines(text: Column) -> Column:
+    """The lines of a text's graph section in their order, trimmed, blank ones left out.
+
+    The first header of SECTION_HEADERS that any line has decides. A fence as the next
+    line of text, at most three lines on, bounds the section; else the next numbered
+    header from 3 on does, or the end. Without a header all edge, node and comment
+    lines count. Null text gives null.
+    """
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+    head = F.coalesce(*[F.nullif(_first(lines, f"(?i){h}"), F.lit(0)) for h in SECTION_HEADERS], F.lit(0))
+    rest = F.slice(lines, head + 1, F.size(lines) + 1)
+    fenced = F.get(F.filter(F.slice(rest, 1, 3), lambda x: x != ""), F.lit(0)) == "```"
+    inner = F.slice(rest, F.array_position(rest, "```") + 1, F.size(rest) + 1)
+    body = F.when(fenced, _until(inner, F.array_position(inner, "```"))).otherwise(_until(rest, _first(rest, SECTION_END)))
+    loose = F.filter(lines, lambda x: x.rlike(EDGE) | x.rlike(NODE) | x.startswith("#"))
+    return F.when(text.isNotNull(), F.filter(F.when(head > 0, body).otherwise(loose), lambda x: x != ""))
+
+
+def is_acyclic(edges: DataFrame, max_rounds: int = 1000) -> bool:
+    """Whether no path returns to its start: nodes without incoming edges are taken off until none is left."""
+    left = cut_lineage(edges.select("src", "dst").distinct())
+    for _ in range(max_rounds):
+        rest = cut_lineage(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
+        n, before = rest.count(), left.count()
+        if n == 0 or n == before:
+            return n == 0
+        left = rest
+    raise RuntimeError(f"no decision in {max_rounds} rounds; raise max_rounds")
+
 
 def parse_edges(lines: DataFrame, line: str = "line") -> DataFrame:
     """(src, rel, dst) of every edge line; comment lines and others give nothing."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import similarity as S
 from tidemark.functions import text as X
+from tidemark.operators import graph as G
 from tidemark.operators import samples as H
 from tidemark.operators.blocking import candidates
 from tidemark.plans.registry import Tables, query
@@ -152,3 +153,27 @@ def q_stop_word_like(t: Tables) -> DataFrame:
     near = candidates(w, "word", X.bigrams(F.col("word")), stops, "stop", X.bigrams(F.col("stop")))
     like = near.filter(S.metric(S.sequence_ratio)("word", "stop") > 0.95).select("word").unionByName(stops.select(F.col("stop").alias("word")))
     return w.join(like, "word", "left_anti")
+
+
+@query()
+def q_html_chunks(t: Tables) -> DataFrame:
+    """Pages in chunks of 2,000 characters: by marked products where a page has them, else slices."""
+    return t.pages.select("page_id", F.posexplode(X.chunk_html_udf(2000)("html")).alias("chunk_no", "chunk"))
+
+
+@query()
+def q_loose_prf(t: Tables) -> DataFrame:
+    """Names of half of each group's parts against those of the other half, matched loosely, each at most once."""
+    half = lambda r: F.collect_set(F.when(F.col("p_partkey") % 2 == r, F.col("p_name")))
+    sets = t.part.groupBy("p_type", "p_brand").agg(half(0).alias("gold"), half(1).alias("found")).filter(F.size("gold") > 0)
+    hits = sets.select("p_type", "p_brand", F.size("gold").alias("n_gold"), F.size("found").alias("n_found"), S.loose_hits(F.col("found"), F.col("gold")).alias("hits"))
+    p, r = F.coalesce(F.try_divide("hits", "n_found"), F.lit(0.0)), F.col("hits") / F.col("n_gold")
+    return hits.withColumns({"precision": p, "recall": r})
+
+
+@query("SELECT true AS acyclic")
+def q_is_dag(t: Tables) -> DataFrame:
+    """Regions hold nations, nations hold suppliers."""
+    down = t.nation.select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst"))
+    edges = down.unionByName(t.supplier.select(F.concat(F.lit("n"), "s_nationkey").alias("src"), F.concat(F.lit("s"), "s_suppkey").alias("dst")))
+    return t.spark.createDataFrame([(G.is_acyclic(edges),)], "acyclic boolean")

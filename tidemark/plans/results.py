@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import matching as M
+from tidemark.operators import graph as G
 from tidemark.operators import optimal
 from tidemark.plans.allocation import capacity, scores
 from tidemark.plans.registry import Tables, query
@@ -68,12 +69,21 @@ def q_ontology_edges(t: Tables) -> DataFrame:
 
 @query("SELECT p_partkey, '(' || p_name || ':has)' AS line FROM part")
 def q_dag_section(t: Tables) -> DataFrame:
-    """The lines after the first header that fits, headers in order of priority."""
+    """The lines of an answer's graph section."""
     answer = F.concat(F.lit("intro\n### DAG\n\n("), "p_name", F.lit(":has)\n"))
-    heads = ("(?is)^.*?###\\s*DAG[^\\n]*\\n", "(?is)^.*?\\[DAG\\][^\\n]*\\n", "(?is)^.*?DAG:[^\\n]*\\n")
-    body = F.coalesce(*[F.when(answer.rlike(h), F.regexp_replace(answer, h, "")) for h in heads], answer)
-    lines = F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return t.part.select("p_partkey", F.explode(F.array_sort(lines)).alias("line"))
+    return t.part.select("p_partkey", F.explode(G.section_lines(answer)).alias("line"))
+
+
+@query("""SELECT p_partkey, CAST(k AS INTEGER) AS line_no, CASE k WHEN 0 THEN '(' || p_name || ':has) -[IS]-> (' || p_brand || ':of)' ELSE '(' || p_brand || ':alone)' END AS line FROM part, range(0, 2) r(k)""")
+def q_dag_headers(t: Tables) -> DataFrame:
+    """Every header form, fenced and bare, with other sections around it; the lines keep their order."""
+    heads = ("### 최종 DAG", "## 4. 수정된 DAG", "### 수정된  DAG", "### 2. 추출된 DAG", "## dag", "추출된 DAG:", "2. 추출된DAG", "no header")
+    head = F.get(F.array(*map(F.lit, heads)), (F.col("p_partkey") % len(heads)).cast("int"))
+    fence = F.when(F.col("p_partkey") % 3 == 0, "\n```\n").otherwise("\n")
+    edge = F.concat(F.lit("("), "p_name", F.lit(":has) -[IS]-> ("), "p_brand", F.lit(":of)\n\n ("), "p_brand", F.lit(":alone)"))
+    after = F.when(F.contains(head, F.lit("no header")), "\nend").otherwise("\n### 3. (a:b)\n(c:d)")
+    answer = F.concat(F.lit("thought\n"), head, fence, edge, fence, after)
+    return t.part.select("p_partkey", F.posexplode(G.section_lines(answer)).alias("line_no", "line"))
 
 
 _PAIRS = "(SELECT user_id AS k, event_type AS e, CAST(hour(ts) AS INTEGER) AS a FROM events WHERE day(ts) {} 15 GROUP BY ALL)"
@@ -97,9 +107,9 @@ def q_synthetic_scores(t: Tables) -> DataFrame:
     return grid.select(F.col("id").cast("string").alias("user"), "hour", F.round(F.least(F.lit(0.99), F.greatest(F.lit(0.1), raw)), 6).alias("score"))
 
 
-@query("SELECT o_orderkey, CAST(ntile AS INTEGER) AS fold FROM (SELECT o_orderkey, o_orderkey % 5 AS ntile FROM orders) WHERE ntile < 4")
+@query("SELECT o_orderkey, CAST(ntile AS INTEGER) AS fold FROM (SELECT o_orderkey, o_orderkey % 5 AS ntile FROM orders)")
 def q_hash_split(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", (F.col("o_orderkey") % 5).cast("int").alias("fold")).filter("fold < 4")
+    return t.orders.select("o_orderkey", (F.col("o_orderkey") % 5).cast("int").alias("fold"))
 
 
 @query()
