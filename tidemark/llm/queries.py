@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, language_model, packing, quality_fm, quality_rules, sharding, simhash, substring_dedup, token_counts, tokens
+from . import cohorts, decontamination, filter_audit, language_id, language_model, packing, quality_fm, quality_rules, sharding, simhash, substring_dedup, token_counts, tokens, toxicity
+from tidemark.plans.session import ship
+
 from .common import doc_crc, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +66,25 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(documents(spark, sf_dir), tokens.default_path(), capacity=4096, end_id=1), capacity=4096)
 
 
+def op11_bitmap_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    clicks, clients = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("clicks", "clients"))
+    late = F.crc32(F.col("click_id").cast("string").cast("binary"))
+    arrival = F.when(late % 3 == 0, F.col("arrived_at") + F.make_dt_interval((late % 100).cast("int"))).otherwise(F.col("arrived_at"))
+    return cohorts.retention(clicks, clients, arrival, ["2024-02-15 00:00:00", None])
+
+
+def op12_walsh_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = doc_crc() % 5 == 0
+    out = toxicity.score(docs, toxicity.fit(docs, labels, ~held_out), held_out)
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +92,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_separator_scan_tokens, op2_quality_cascade, op3_simhash_dedup, op4_language_id, op5_debruijn_dedup, op6_byte_shards, op7_quality_fm, op8_cgk_decontamination, op9_backoff_lm, op10_sum_of_squares_packing, pipeline)}
+    numbered = (
+        op1_separator_scan_tokens, op2_quality_cascade, op3_simhash_dedup, op4_language_id, op5_debruijn_dedup, op6_byte_shards, op7_quality_fm,
+        op8_cgk_decontamination, op9_backoff_lm, op10_sum_of_squares_packing, op11_bitmap_retention, op12_walsh_filter_audit, op13_crf_toxicity,
+    )
+    return {f.__name__: f for f in (*numbered, pipeline)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -99,6 +124,46 @@ n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
 
+#: CRC-32 by a table made from its polynomial; ids are decimal text.
+_CRC_TABLE = "tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS t)"
+
+
+def _crc(text: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"
+
+
+_OP11 = f"""
+WITH {_CRC_TABLE},
+c AS (SELECT DISTINCT * FROM clicks WHERE ts IS NOT NULL AND client_id IS NOT NULL),
+h AS (SELECT c.*, CASE WHEN click_id IS NULL THEN NULL ELSE {_crc("CAST(click_id AS VARCHAR)")} END AS h FROM c, tab),
+a AS (SELECT client_id, ts, kind, value, CASE WHEN h % 3 = 0 THEN arrived_at + to_days(CAST(h % 100 AS INTEGER)) ELSE arrived_at END AS arrival FROM h),
+k AS (SELECT s.state, a.* FROM a, (VALUES (0), (1)) s(state) WHERE s.state = 1 OR arrival < TIMESTAMP '2024-02-15 00:00:00'),
+b AS (SELECT state, client_id, min(ts) AS start FROM k WHERE kind = 'signup' GROUP BY 1, 2),
+m AS (SELECT x.client_id FROM b x JOIN b y ON x.client_id = y.client_id AND x.state = 0 AND y.state = 1 WHERE CAST(x.start AS DATE) <> CAST(y.start AS DATE)),
+g AS (SELECT client_id, coalesce(max(segment), '') AS segment FROM (SELECT *, rank() OVER (PARTITION BY client_id ORDER BY updated_at DESC NULLS LAST) AS r FROM clients) WHERE r = 1 GROUP BY 1),
+r AS (SELECT state, client_id, coalesce(g.segment, '') AS segment, date_diff('day', DATE '1970-01-01', CAST(start AS DATE)) AS cohort, (epoch_us(ts) - epoch_us(start)) // 86400000000 AS period, CAST(floor(100 * coalesce(value, 0) + 0.5) AS BIGINT) AS cents
+  FROM k JOIN b USING (state, client_id) LEFT JOIN g USING (client_id) WHERE ts >= start),
+u AS (SELECT state, client_id, segment, cohort, period, sum(cents) AS cents FROM r GROUP BY ALL)
+SELECT CAST(state AS INTEGER) AS state, segment, CAST(cohort AS BIGINT) AS cohort, CAST(period AS BIGINT) AS period, count(*) AS users, CAST(sum({_crc("CAST(client_id AS VARCHAR)")}) AS BIGINT) AS users_crc32,
+  count(*) FILTER (client_id IN (SELECT client_id FROM m)) AS moved, CAST(sum(cents) AS BIGINT) AS cents FROM u, tab GROUP BY state, segment, cohort, period"""
+
+_OP12 = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+l AS (SELECT doc_id, coalesce(max(quality) = 1, false) AS good, coalesce(max(toxic) = 1, false) AS toxic FROM labels GROUP BY 1),
+e AS (SELECT text, min(doc_id) AS least FROM d GROUP BY 1),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, concat(CASE WHEN len(w) < 50 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END,
+  CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 5 * length(text) THEN 'C' ELSE '' END, CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END, CASE WHEN doc_id > least THEN 'E' ELSE '' END) AS fails
+  FROM d JOIN e USING (text) LEFT JOIN l USING (doc_id)),
+x AS (SELECT unnest(string_split('ABCDE', '')) AS c),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS c, substr(filter_order, 1, step - 1) AS before FROM o, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY 1, 2),
+r AS (SELECT part, filter_order, step, c, sum(CASE WHEN NOT (had OR hit) THEN n ELSE 0 END) AS kept, sum(CASE WHEN hit AND NOT had THEN n ELSE 0 END) AS removed, sum(CASE WHEN hit AND had THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = c THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN hit AND NOT had THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN hit AND NOT had THEN toxic ELSE 0 END) AS toxic_lost FROM (SELECT *, contains(fails, c) AS hit, len(list_intersect(string_split(before, ''), string_split(fails, ''))) > 0 AND before <> '' AND fails <> '' AS had FROM g, s) GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, c) AS BIGINT) AS shapley FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express; models, hashes of texts and searches have none."""
-    return {"op2_quality_cascade": _OP2, "op5_debruijn_dedup": _OP5}
+    return {"op2_quality_cascade": _OP2, "op5_debruijn_dedup": _OP5, "op11_bitmap_retention": _OP11, "op12_walsh_filter_audit": _OP12}
