@@ -582,26 +582,42 @@ def test_decontaminate_decides_by_row(spark):
 
 
 class PlainModel:
-    """The automaton's probabilities by recursion over dictionaries."""
+    """The automaton as dictionaries: counts, arcs and failure arcs, walked token by token."""
 
     def __init__(self, texts):
-        self.c = Counter()
+        self.c, self.arcs = Counter(), {}
         for t in texts:
             w = tokens_of(t)
             self.c.update(tuple(w[max(0, i - k) : i + 1]) for i in range(len(w)) for k in (0, 1, 2) if i >= k)
         self.n = sum(c for g, c in self.c.items() if len(g) == 1)
         self.v = sum(len(g) == 1 for g in self.c)
+        for g in self.c:
+            if len(g) > 1 and self.c[g[:-1]] >= 2:
+                self.arcs.setdefault(g[:-1], set()).add(g[-1])
 
-    def p(self, gram):
-        if len(gram) == 1:
-            return (self.c[gram] + 0.1) / (self.n + 0.1 * (self.v + 1))
-        k = language_model.PRIORS[len(gram) - 2]
-        return (self.c[gram] + k * self.p(gram[1:])) / (self.c[gram[:-1]] + k)
+    def unigram(self, w):
+        return (self.c[(w,)] + 0.1) / (self.n + 0.1 * (self.v + 1))
 
-    def row(self, t):
-        w = tokens_of(t)
-        base = sum(math.log10(self.p((x,))) for x in w)
-        return len(w), sum(self.c[(x,)] > 0 for x in w), self.n, base, sum(math.log10(self.p(tuple(w[max(0, i - 2) : i + 1]))) for i in range(len(w)))
+    def arc(self, state, w):
+        return (self.c[(*state, w)] - 0.75) / self.c[state]
+
+    def fail(self, state):
+        out = self.arcs[state]
+        return 0.75 * len(out) / self.c[state] / (1 - sum(self.p(state[1:], w) for w in out))
+
+    def p(self, state, w, failures=True):
+        if not state:
+            return self.unigram(w)
+        if w in self.arcs.get(state, ()):
+            return self.arc(state, w)
+        return (self.fail(state) if failures and state in self.arcs else 1.0) * self.p(state[1:], w, failures)
+
+    def row(self, t, failures=True):
+        w, state, log = tokens_of(t), (), 0.0
+        for x in w:
+            log += math.log10(self.p(state, x, failures))
+            state = next(s for s in ((*state, x)[-2:], (x,), ()) if not s or self.c[s] >= 2)
+        return len(w), sum(self.c[(x,)] > 0 for x in w), self.n, sum(math.log10(self.unigram(x)) for x in w), log
 
 
 def tokens_of(t):
@@ -636,7 +652,50 @@ def test_states_sum_to_one(spark):
     vocabulary = [g[0] for g in plain.c if len(g) == 1]
     unknown = ("never seen",)
     for context in [(), *((x,) for x in vocabulary if x), *((x, y) for x in vocabulary for y in vocabulary if x and y)]:
-        assert sum(plain.p((*context, w)) for w in (*vocabulary, *unknown)) == pytest.approx(1)
+        assert sum(plain.p(context, w) for w in (*vocabulary, *unknown)) == pytest.approx(1)
+
+
+def test_failure_arcs_are_paid(spark):
+    rows = [(i, " ".join(f"w{(i * k + k // 3) % 11}" for k in range(1, 40))) for i in range(40)]
+    plain = check_model(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 4 == 0)
+    assert sum(plain.row(t)[4] != pytest.approx(plain.row(t, failures=False)[4]) for _, t in rows[::4]) > 5
+
+
+def test_the_state_is_carried_left_to_right():
+    """A broken arc table or failure weight changes the score of the texts that pass it, and no other."""
+    texts = [b"a b c a b d", b"a b c a b d", b"a d x"]
+    block = language_model.Block.of(texts, np.array([False, False, True]))
+    ask = lambda rows: language_model._table(language_model._ASKED, rows)
+    replies = []
+
+    def told(rows):
+        for kind in {r[0] for r in rows}:
+            t = ask([r for r in rows if r[0] == kind])
+            run = {}
+
+            class One:  # the grouped request, answered in place
+                def groupBy(self, *_):
+                    return self
+
+                def applyInArrow(self, f, _):
+                    run["out"] = f(t)
+
+            language_model.answered(One())
+            replies.extend(run["out"].to_pylist())
+
+    told([r for k in (1, 2) for g in [language_model.Grams(block, k)] for r in language_model._ask(k, 0, g.keys, g.own, None, 1)])
+    distinct, total = next((r["distinct"], r["total"]) for r in replies if r["kind"] == 1)
+    local = language_model.Local(block, replies, total, distinct)
+    g = language_model.Grams(block, 3, local.after_state())
+    told([*language_model._ask(3, 0, g.keys, g.own, None, 1), *local.sums(0, 1, 1)])
+    told(language_model.Local(block, replies, total, distinct).sums(0, 2, 1))
+    local = language_model.Local(block, replies, total, distinct)
+    whole = language_model.traverse(local)
+    plain = PlainModel([t.decode() for t in texts[:2]])
+    assert whole == pytest.approx([plain.row(t.decode())[4] for t in texts])
+    local.fail = lambda order: np.zeros(len(local.state[order]))
+    broken = language_model.traverse(local)
+    assert whole[0] == pytest.approx(broken[0]) and whole[2] != pytest.approx(broken[2])
 
 
 def test_model_grows_with_the_corpus(spark):

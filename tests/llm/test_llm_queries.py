@@ -26,7 +26,8 @@ def crc(doc_id):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, sf_dir, name):
     c = duckdb.connect()
-    c.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    for t in ("documents", "labels", "clicks", "clients"):
+        c.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     got = run(spark, sf_dir, name)
     columns = sorted(got.columns)
     want = c.sql(queries.oracle_sql()[name])

@@ -1,27 +1,34 @@
-"""N-gram language model as a weighted backoff automaton with all n-grams of the training texts.
+"""N-gram language model as a weighted backoff automaton, built and run over distributed tables.
 
-States are contexts (none, one word, two words) that occur in training. An n-gram
-that occurs is an arc from its context; a state without an arc for the next token
-follows its failure arc to the shorter context. With c the training counts, k the
-prior of an order and p' the probability one order below,
+States are the contexts (none, one word, two words) that training holds at least twice.
+An n-gram that training holds is an arc of its context's state; a state without an arc
+for the next token follows its failure arc to the shorter context. Absolute discounting
+sets the weights: with c the training counts, D the discount and t(h) the number of arcs
+of state h,
 
-    arc of n-gram (context, w):   (c(context w) + k p'(w)) / (c(context) + k)
-    failure arc of context:       k / (c(context) + k)
+    arc (h, w):           (c(h w) - D) / c(h)
+    failure arc of h:     D t(h) / c(h) / (1 - S(h)),  S(h) = sum of P(w | h') over h's arcs
 
-so the probabilities of each state sum to one over the vocabulary and one unknown
-word. The lowest order is the add-0.1 unigram of the base score. One left-to-right
-pass carries the state: an arc's weight needs only the counts of the n-gram, of its
-context, and of the orders below, which the pass has at hand.
+where h' is h without its first word. The failure arc hands on just the mass that the
+arcs leave, so each state's probabilities sum to one over the vocabulary and one unknown
+word. The state without a word has the add-0.1 unigrams of the base score.
 
-Counts are exact and distributed; no table is sent to all workers. Texts are read
-in blocks. A block asks, order by order, for the counts of its distinct n-grams,
-with its own training counts; the bucket of a key range adds them up and answers
-in the order asked. A block holds each n-gram once, so frequent n-grams cost a bucket
-no more than one row a block, and a bucket's size follows the number of buckets.
+A text is scored in one left-to-right pass that carries the state: take the arc where
+there is one; else pay the failure arc and try again from the shorter state.
 
-N-grams are compared by 60-bit hashes: of 10^10 distinct ones about 40 share a key
-with another. The documents are read twice and must give the same rows in the same
-order each time; a block whose n-grams differ in number is an error.
+Tables are distributed; none is sent to all workers. Texts are written once, in blocks
+of tokens. A block asks for what its own states and arcs need, in three exchanges:
+
+1. training counts of its distinct words and word pairs;
+2. training counts of the triples that begin with a state, and (t, S) of the states of one word;
+3. (t, S) of the states of two words;
+
+and then traverses. The answer to a count marks one block as the owner of an n-gram, and
+owners alone add to t and S, so each arc counts once. A block sends each key once, so a
+frequent word or pair costs a bucket one entry a block, and the number of buckets follows
+the number of blocks, that is the bytes of the input.
+
+Keys are 60-bit hashes: of 10^10 distinct n-grams about 40 share a key with another.
 
 Defined cases: null text is the empty text and holds the end token alone; repeated
 rows are scored each for itself; an empty training set gives N = V = 0 and the
@@ -41,18 +48,23 @@ from pyspark.sql import functions as F
 from .common import Words, bounded, materialize, mix64, partitions, text_bytes
 
 ADD = 0.1
-#: The priors k of contexts of one and of two words.
-PRIORS = (100.0, 5.0)
-ORDERS = (1, 2, 3)
+#: Taken off the count of every arc.
+DISCOUNT = 0.75
+#: A context is a state from so many occurrences on.
+STATE = 2
 #: Text bytes of a block.
 BLOCK_BYTES = 16 << 20
+#: Blocks for each bucket of keys.
+BLOCKS_PER_BUCKET = 2
 #: The end token's hash.
 END = np.uint64(0x5851F42D4C957F2D)
 KEY_BITS = 60
+#: What is asked for: counts of n-grams of one, two and three words; the sums of states of one and of two words.
+COUNTS, SUMS = (1, 2, 3), {1: 11, 2: 12}
 
 _BLOCK = "block long, docs binary, null binary, held binary, lens binary, vocab binary, codes binary"
-_ASKED = "ord int, bucket int, block long, m long, keys binary, n binary"
-_ANSWER = "ord int, bucket int, block long, m long, n binary, distinct long, total long"
+_ASKED = "kind int, bucket int, block long, m long, keys binary, n binary, mass binary"
+_ANSWER = "kind int, bucket int, block long, m long, n binary, own binary, ratio binary, distinct long, total long"
 _SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -96,24 +108,35 @@ class Block:
         h[np.arange(len(words.hash)) + np.repeat(np.arange(len(lens)), words.count)] = words.hash
         return cls(h, lens, held)
 
-    def keys(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(order, places of the last tokens, keys) of the n-grams, order by order."""
-        key = mix64(self.h)
-        for k in ORDERS:
-            at = np.flatnonzero(self.place >= k - 1)
-            yield k, at, key[at] >> np.uint64(64 - KEY_BITS)
-            key[1:] = mix64(key[:-1] * np.uint64(0x9E3779B97F4A7C15) + self.h[1:])
+    @classmethod
+    def read(cls, row: dict) -> Block:
+        held = np.frombuffer(row["held"], np.uint8).astype(bool)
+        lens = _unpack(row["lens"], len(held)).astype(np.int64)
+        codes = _unpack(row["codes"], int(lens.sum())).astype(np.int64)
+        return cls(np.frombuffer(row["vocab"], np.uint64)[codes], lens, held)
+
+
+class Grams:
+    """The distinct n-grams of one order in a block.
+
+    ``keys`` are sorted; ``last`` is the place of some occurrence's last token; ``id``
+    gives the n-gram that ends at each place of the block, -1 where there is none.
+    """
 
+    def __init__(self, block: Block, order: int, where: np.ndarray | None = None):
+        at = np.flatnonzero(block.place >= order - 1) if where is None else where
+        key = mix64(block.h[at - order + 1])
+        for k in range(order - 2, -1, -1):
+            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + block.h[at - k])
+        self.keys, first, inverse = np.unique(key >> np.uint64(64 - KEY_BITS), return_index=True, return_inverse=True)
+        self.last = at[first]
+        self.id = np.full(len(block.h), -1, dtype=np.int64)
+        self.id[at] = inverse
+        self.own = np.bincount(inverse, weights=~block.held[block.doc[at]], minlength=len(self.keys)).astype(np.int64)
+        self.count = self.owner = np.empty(0, np.int64)
 
-def _distinct(key: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys, and how often each occurs where held is false."""
-    s = np.sort((key << np.uint64(1)) | held)
-    if not len(s):
-        return s, np.empty(0, np.int64)
-    u = s >> np.uint64(1)
-    first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
-    train = np.concatenate([[0], np.cumsum(1 - (s & np.uint64(1)).astype(np.int64))])
-    return u[first], train[np.append(first[1:], len(s))] - train[first]
+    def __len__(self) -> int:
+        return len(self.keys)
 
 
 def _bucket_edges(u: np.ndarray, n: int) -> np.ndarray:
@@ -122,121 +145,219 @@ def _bucket_edges(u: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(bucket, np.arange(n + 1, dtype=np.uint64))
 
 
-def _blocks(source: DataFrame, make, schema: str) -> DataFrame:
-    """make(block id, doc_id column, Block) for each block of texts."""
+def _ask(kind: int, block_id: int, keys: np.ndarray, n: np.ndarray, mass: np.ndarray | None, buckets: int) -> list[tuple]:
+    """A row for each bucket that any of the sorted keys falls into."""
+    edges = _bucket_edges(keys, buckets)
+    sent = lambda p, q: None if mass is None else pa.compress(np.ascontiguousarray(mass[p:q]).tobytes(), "zstd", asbytes=True)
+    return [(kind, j, block_id, int(q - p), _pack(np.diff(keys[p:q], prepend=np.uint64(0))), _pack(n[p:q]), sent(p, q)) for j, (p, q) in enumerate(zip(edges[:-1], edges[1:])) if q > p]
+
+
+def kept_blocks(source: DataFrame) -> DataFrame:
+    """The tokens of each block as one row: word numbers, most frequent first, and the words' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, limit=BLOCK_BYTES):
-            held = np.array(batch.column("held_out").to_pylist(), dtype=bool)
+            docs, held = batch.column("doc_id"), np.array(batch.column("held_out").to_pylist(), dtype=bool)
             block = Block.of(text_bytes(batch.column("text")), held)
-            yield from _table(schema, make(batch.column("_row")[0].as_py(), batch.column("doc_id"), block)).to_batches()
-
-    return source.mapInArrow(run, schema)
-
-
-def asked(source: DataFrame, n: int) -> DataFrame:
-    """A row for each block, order and bucket: the distinct keys, sorted, and their training counts."""
-
-    def make(block_id: int, docs: pa.Array, block: Block) -> list[tuple]:
-        out = []
-        for k, at, key in block.keys():
-            u, count = _distinct(key, block.held[block.doc[at]])
-            edges = _bucket_edges(u, n)
-            out += [(k, j, block_id, int(q - p), _pack(np.diff(u[p:q], prepend=np.uint64(0))), _pack(count[p:q])) for j, (p, q) in enumerate(zip(edges[:-1], edges[1:])) if q > p]
-        return out
+            vocab, at, n = np.unique(block.h, return_inverse=True, return_counts=True)
+            rank = np.empty(len(vocab), np.int64)
+            by_count = np.argsort(-n, kind="stable")
+            rank[by_count] = np.arange(len(vocab))
+            ids = np.array(docs.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            null = np.array(docs.is_null().to_numpy(zero_copy_only=False), dtype=np.uint8)
+            row = (batch.column("_row")[0].as_py(), ids.tobytes(), null.tobytes(), held.astype(np.uint8).tobytes(), _pack(block.lens), vocab[by_count].tobytes(), _pack(rank[at]))
+            yield from _table(_BLOCK, [row]).to_batches()
 
-    return _blocks(source, make, _ASKED)
+    return source.mapInArrow(run, _BLOCK)
 
 
 def answered(requests: DataFrame) -> DataFrame:
-    """For each request the training counts of its keys, in its order; one row of a bucket has its distinct n-grams and their sum."""
+    """For each request, in the order of its keys: training counts and ownership, or t / (1 - S) of states.
+
+    One row of a bucket of counts has its distinct n-grams and their sum.
+    """
 
     def run(t: pa.Table) -> pa.Table:
-        sizes = t.column("m").to_pylist()
+        t = t.sort_by([("block", "ascending")])
+        kind, sizes = t.column("kind")[0].as_py(), t.column("m").to_pylist()
         keys = np.concatenate([np.cumsum(_unpack(b, m), dtype=np.uint64) for b, m in zip(t.column("keys").to_pylist(), sizes)])
-        count = np.concatenate([_unpack(b, m) for b, m in zip(t.column("n").to_pylist(), sizes)])
-        order = np.argsort(keys)
+        n = np.concatenate([_unpack(b, m) for b, m in zip(t.column("n").to_pylist(), sizes)]).astype(np.int64)
+        order = np.argsort(keys, kind="stable")
         u = keys[order]
-        group = np.cumsum(np.concatenate([[False], u[1:] != u[:-1]]))
-        total = np.bincount(group, weights=count[order]).astype(np.int64)
-        reply = np.empty(len(keys), np.int64)
+        first = np.concatenate([[True], u[1:] != u[:-1]])
+        group = np.cumsum(first) - 1
+        total = np.bincount(group, weights=n[order]).astype(np.int64)
+        reply, own, ratio = np.empty(len(keys), np.int64), np.zeros(len(keys), bool), np.empty(len(keys))
         reply[order] = total[group]
+        whole = [(0, 0)] * len(sizes)
+        if kind in COUNTS:
+            seen = np.cumsum(n[order] > 0)
+            before = (seen - (n[order] > 0))[first][group]  # entries of earlier n-grams that training holds
+            own[order] = (n[order] > 0) & (seen - before == 1)
+            whole[0] = int((total > 0).sum()), int(total.sum())
+        else:
+            mass = np.concatenate([np.frombuffer(pa.decompress(b, 8 * m, "zstd", asbytes=True)) for b, m in zip(t.column("mass").to_pylist(), sizes)])
+            s = np.bincount(group, weights=mass[order])
+            ratio[order] = (total / np.maximum(1 - s, 1e-15))[group]
         edges = np.cumsum([0, *sizes])
-        whole = [(int((total > 0).sum()), int(total.sum()))] + [(0, 0)] * (len(sizes) - 1)
-        columns = zip(t.column("ord").to_pylist(), t.column("bucket").to_pylist(), t.column("block").to_pylist(), sizes)
-        return _table(_ANSWER, [(*c, _pack(reply[a:b]), *w) for c, a, b, w in zip(columns, edges[:-1], edges[1:], whole)])
+        columns = zip(t.column("kind").to_pylist(), t.column("bucket").to_pylist(), t.column("block").to_pylist(), sizes)
+        rows = []
+        for c, a, b, w in zip(columns, edges[:-1], edges[1:], whole):
+            out = (_pack(reply[a:b]), np.packbits(own[a:b]).tobytes(), None) if kind in COUNTS else (None, None, pa.compress(ratio[a:b].tobytes(), "zstd", asbytes=True))
+            rows.append((*c, *out, *w))
+        return _table(_ANSWER, rows)
+
+    return requests.groupBy("kind", "bucket").applyInArrow(run, _ANSWER)
+
+
+class Local:
+    """What a block knows of the automaton, from the answers that it has had so far."""
+
+    def __init__(self, block: Block, replies: list[dict], total: int = 0, distinct: int = 0):
+        self.block, self.total, self.distinct = block, total, distinct
+        self.by_kind: dict[int, list[dict]] = {}
+        for r in sorted(replies, key=lambda r: (r["kind"], r["bucket"])):
+            self.by_kind.setdefault(r["kind"], []).append(r)
+        self.one, self.two = self.counted(1), self.counted(2)
+        self.base = (self.one.count + ADD) / (total + ADD * (distinct + 1))
+        self.state = {1: self.one.count >= STATE, 2: self.two.count >= STATE}
+
+    def counted(self, order: int, where: np.ndarray | None = None) -> Grams:
+        g, rows = Grams(self.block, order, where), self.by_kind.get(order, [])
+        g.count = np.concatenate([np.empty(0, np.int64), *(_unpack(r["n"], r["m"]).astype(np.int64) for r in rows)])
+        g.owner = np.concatenate([np.empty(0, bool), *(np.unpackbits(np.frombuffer(r["own"], np.uint8), count=r["m"]).astype(bool) for r in rows)])
+        return g
+
+    def after_state(self) -> np.ndarray:
+        """The places whose two words before are a state."""
+        at = np.flatnonzero(self.block.place >= 2)
+        return at[self.state[2][self.two.id[at - 1]]] if len(at) else at
+
+    def triples(self) -> Grams:
+        return self.counted(3, self.after_state())
+
+    def arc(self, g: Grams, contexts: Grams, states: np.ndarray) -> np.ndarray:
+        """The probability of each n-gram's arc, nan where its state or the arc is missing."""
+        context = contexts.id[g.last - 1]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(states[context] & (g.count > 0), (g.count - DISCOUNT) / contexts.count[context], np.nan)
+
+    def sums(self, block_id: int, order: int, buckets: int) -> list[tuple]:
+        """Asks for (t, S) of the states of one or two words, with what this block's own arcs add."""
+        contexts, g, lower = (self.one, self.two, self.base) if order == 1 else (self.two, self.triples(), self.arc(self.two, self.one, self.state[1]))
+        mine = np.flatnonzero(g.owner)
+        context = contexts.id[g.last[mine] - 1]
+        mine, context = mine[self.state[order][context]], context[self.state[order][context]]
+        below = (self.one if order == 1 else self.two).id[g.last[mine]]
+        t = np.bincount(context, minlength=len(contexts)).astype(np.int64)
+        s = np.bincount(context, weights=lower[below], minlength=len(contexts))
+        live = self.state[order]
+        return _ask(SUMS[order], block_id, contexts.keys[live], t[live], s[live], buckets)
+
+    def fail(self, order: int) -> np.ndarray:
+        """log10 of the weight of each context's failure arc, nan where it is no state."""
+        contexts, out = (self.one, self.two)[order - 1], np.full(len(self.state[order]), np.nan)
+        ratio = np.concatenate([np.empty(0), *(np.frombuffer(pa.decompress(r["ratio"], 8 * r["m"], "zstd", asbytes=True)) for r in self.by_kind.get(SUMS[order], []))])
+        live = self.state[order]
+        with np.errstate(divide="ignore"):
+            out[live] = np.log10(DISCOUNT * ratio / contexts.count[live])
+        return out
 
-    return requests.groupBy("ord", "bucket").applyInArrow(run, _ANSWER)
 
+def traverse(local: Local) -> np.ndarray:
+    """log10 of the probability of each text: one left-to-right pass in which every text carries its state.
 
-def kept_blocks(source: DataFrame) -> DataFrame:
-    """The tokens of each block as one row: word numbers, most frequent first, and the words' hashes."""
+    All texts of the block advance together, the longest first. A state is 0, 1 or 2 words
+    of context. Where it has no arc for the token, its failure arc is paid and the shorter
+    state tried; the state without words has an arc for every token.
+    """
+    block, three = local.block, local.triples()
+    end = lambda a: np.append(a, np.nan)  # noqa: E731  id -1 is no arc
+    with np.errstate(invalid="ignore"):
+        root, arc2, arc3 = np.log10(local.base), end(np.log10(local.arc(local.two, local.one, local.state[1]))), end(np.log10(local.arc(three, local.two, local.state[2])))
+    fail1, fail2 = local.fail(1), local.fail(2)
+    id1, id2, id3 = local.one.id, local.two.id, three.id
+    is1, is2 = local.state[1], np.append(local.state[2], False)
+    by_length = np.argsort(-block.lens, kind="stable")
+    start, lens = (np.cumsum(block.lens) - block.lens)[by_length], block.lens[by_length]
+    live = np.searchsorted(-lens, -np.arange(1, (int(lens[0]) if len(lens) else 0) + 1), side="right")
+    out, state = np.zeros(len(lens)), np.zeros(len(lens), dtype=np.int8)
+    for step, m in enumerate(live.tolist()):
+        at, now = start[:m] + step, state[:m].copy()
+        cost = np.full(m, np.nan)
+        k = np.flatnonzero(now == 2)
+        if len(k):
+            cost[k] = arc3[id3[at[k]]]
+        paid = np.zeros(m)
+        k = k[np.isnan(cost[k])]
+        if len(k):
+            paid[k] = fail2[id2[at[k] - 1]]
+            now[k] = 1
+        k = np.flatnonzero(now == 1)
+        k = k[np.isnan(cost[k])]
+        if len(k):
+            cost[k] = arc2[id2[at[k]]]
+            k = k[np.isnan(cost[k])]
+            paid[k] += fail1[id1[at[k] - 1]]
+        k = np.flatnonzero(np.isnan(cost))
+        cost[k] = root[id1[at[k]]]
+        out[:m] += paid + cost
+        state[:m] = np.where(is2[id2[at]], 2, is1[id1[at]])
+    total = np.empty(len(lens))
+    total[by_length] = out
+    return total
+
+
+def _asking(blocks: DataFrame, answers: list[DataFrame], ask, schema: str) -> DataFrame:
+    """ask(block id, its row, its replies) gives a table, for each block with all it has been told."""
+    told = answers[0].drop("distinct", "total")
+    for a in answers[1:]:
+        told = told.unionByName(a.drop("distinct", "total"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        return ask(row["block"], row, right.to_pylist())
+
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
 
-    def make(block_id: int, docs: pa.Array, block: Block) -> list[tuple]:
-        vocab, at, n = np.unique(block.h, return_inverse=True, return_counts=True)
-        rank = np.empty(len(vocab), np.int64)
-        by_count = np.argsort(-n, kind="stable")
-        rank[by_count] = np.arange(len(vocab))
-        ids = np.array(docs.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-        null = np.array(docs.is_null().to_numpy(zero_copy_only=False), dtype=np.uint8)
-        return [(block_id, ids.tobytes(), null.tobytes(), block.held.astype(np.uint8).tobytes(), _pack(block.lens), vocab[by_count].tobytes(), _pack(rank[at]))]
 
-    return _blocks(source, make, _BLOCK)
+def score(docs: DataFrame, held_out: Column) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; held-out rows do not train."""
+    spark = docs.sparkSession
+    source = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    blocks = materialize(kept_blocks(source), "lm-blocks")
+    n = max(partitions(spark), -(-blocks.count() // BLOCKS_PER_BUCKET))
 
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = Block.read(row)
+                for k in (1, 2):
+                    g = Grams(block, k)
+                    yield from _table(_ASKED, _ask(k, row["block"], g.keys, g.own, None, n)).to_batches()
 
-def _gathered(key: np.ndarray, reply: np.ndarray) -> np.ndarray:
-    """The reply to each key; replies stand in the order of the sorted distinct keys."""
-    order = np.argsort(key)
-    u = key[order]
-    group = np.cumsum(np.concatenate([[False], u[1:] != u[:-1]])) if len(u) else np.empty(0, np.int64)
-    if len(reply) != (group[-1] + 1 if len(u) else 0):
-        raise RuntimeError("the documents gave other rows on the second reading")
-    out = np.empty(len(key), np.int64)
-    out[order] = reply[group]
-    return out
+    counts = materialize(answered(blocks.mapInArrow(first, _ASKED)), "lm-counts")
+    distinct, total = counts.filter("kind = 1").agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
 
+    def second(block_id: int, row: dict, replies: list[dict]) -> pa.Table:
+        local = Local(Block.read(row), replies, total, distinct)
+        g = Grams(local.block, 3, local.after_state())
+        return _table(_ASKED, [*_ask(3, block_id, g.keys, g.own, None, n), *local.sums(block_id, 1, n)])
 
-def traverse(block: Block, counts: list[np.ndarray], total: int, distinct: int, priors: tuple[float, float] = PRIORS) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of the base and of the automaton's probability of each token.
+    triples = materialize(answered(_asking(blocks, [counts], second, _ASKED)), "lm-triples")
 
-    counts[k - 1] holds at each place the training count of the n-gram of order k that ends
-    there. An arc is taken at the longest context that has one; each failure arc on the
-    way is paid. A context that training lacks is no state and costs nothing.
-    """
-    p = (counts[0] + ADD) / (total + ADD * (distinct + 1))
-    base = np.log10(p)
-    log = base.copy()
-    for k, prior in zip((2, 3), priors):
-        at = np.flatnonzero(block.place >= k - 1)
-        context = counts[k - 2][at - 1]
-        arc = (counts[k - 1][at] + prior * p[at]) / (context + prior)
-        fail = np.log10(prior / (context + prior))
-        log[at] = np.where(counts[k - 1][at] > 0, np.log10(arc), fail + log[at])
-        p[at] = arc
-    return base, log
-
-
-def score(docs: DataFrame, held_out: Column, priors: tuple[float, float] = PRIORS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; held-out rows do not train."""
-    n = 2 * partitions(docs.sparkSession)
-    source = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    answers = materialize(answered(asked(source, n)), "lm-counts")
-    distinct, total = answers.filter("ord = 1").agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    def third(block_id: int, row: dict, replies: list[dict]) -> pa.Table:
+        return _table(_ASKED, Local(Block.read(row), replies, total, distinct).sums(block_id, 2, n))
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        row, replies = left.to_pylist()[0], right.sort_by([("ord", "ascending"), ("bucket", "ascending")]).to_pylist()
-        held = np.frombuffer(row["held"], np.uint8).astype(bool)
-        lens = _unpack(row["lens"], len(held)).astype(np.int64)
-        h = np.frombuffer(row["vocab"], np.uint64)[_unpack(row["codes"], int(lens.sum())).astype(np.int64)]
-        block, counts = Block(h, lens, held), []
-        for k, at, key in block.keys():
-            count = np.zeros(len(h), np.int64)
-            count[at] = _gathered(key, np.concatenate([np.empty(0, np.uint64), *(_unpack(r["n"], r["m"]) for r in replies if r["ord"] == k)]).astype(np.int64))
-            counts.append(count)
-        base, log = traverse(block, counts, total, distinct, priors)
-        add = lambda w: np.bincount(block.doc, weights=w, minlength=len(lens))
+    sums = materialize(answered(_asking(blocks, [counts, triples.filter("kind = 3")], third, _ASKED)), "lm-sums")
+
+    def last(block_id: int, row: dict, replies: list[dict]) -> pa.Table:
+        local = Local(Block.read(row), replies, total, distinct)
+        block = local.block
+        add = lambda w: np.bincount(block.doc, weights=w, minlength=len(block.lens))
+        known, base = add(local.one.count[local.one.id] > 0).astype(np.int64), add(np.log10(local.base)[local.one.id])
         ids = pa.array(np.frombuffer(row["docs"], np.int64), mask=np.frombuffer(row["null"], np.uint8).astype(bool))
-        columns = [ids, pa.array(held), pa.array(lens), pa.array(add(counts[0] > 0).astype(np.int64)), pa.array(np.full(len(lens), total, np.int64)), pa.array(add(base)), pa.array(add(log))]
+        columns = [ids, pa.array(block.held), pa.array(block.lens), pa.array(known), pa.array(np.full(len(block.lens), total, np.int64)), pa.array(base), pa.array(traverse(local))]
         return pa.table(columns, names=_names(_SCORE))
 
-    return kept_blocks(source).groupBy("block").cogroup(answers.select("ord", "bucket", "block", "m", "n").groupBy("block")).applyInArrow(run, _SCORE)
+    return _asking(blocks, [counts, triples, sums], last, _SCORE)
