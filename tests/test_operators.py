@@ -173,25 +173,6 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     assert want.filter(F.col("end") < F.lit(last)).exceptAll(got).isEmpty()
 
 
-def test_optimal_assignment_equals_brute_force():
-    import itertools
-
-    from tidemark.operators.optimal import assign
-
-    r = random.Random(6)
-    for _ in range(60):
-        users, hours = range(r.randint(1, 5)), range(9, 9 + r.randint(1, 3))
-        scores = {u: {h: r.randint(1, 9) / 3 for h in hours if r.random() < 0.9} for u in users}
-        cap = {h: r.randint(0, 2) for h in hours}
-        best = 0.0
-        for pick in itertools.product(*[[None, *scores[u]] for u in users]):
-            if all(pick.count(h) <= cap[h] for h in hours):
-                best = max(best, sum(scores[u][h] for u, h in zip(users, pick) if h is not None))
-        got = assign(scores, cap)
-        assert all(list(got.values()).count(h) <= cap[h] for h in hours)
-        assert sum(scores[u][h] for u, h in got.items()) == pytest.approx(best)
-
-
 def test_matching_and_tags():
     from tidemark.functions import matching as M
 

@@ -6,7 +6,9 @@ import difflib
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -156,6 +158,63 @@ def alignment(a: list[str], b: list[str]) -> float:
     return (row[-1] + size) / (2 * size)
 
 
+#: Pairs whose tables of an alignment are worked out together.
+ALIGNED = 256
+
+
+def alignments(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """alignment() of two columns of word lists, nan where either is null.
+
+    Cells of one anti-diagonal depend on the two before it only, so a diagonal of all the
+    tables of a batch is one array operation. Pairs are batched by size.
+    """
+    words = pa.concat_arrays([a.flatten(), b.flatten()]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    cut = len(a.flatten())
+    out = np.full(len(a), np.nan)
+    sides = []
+    for c, flat in ((a, words[:cut]), (b, words[cut:])):
+        offsets = c.offsets.to_numpy() - c.offsets[0].as_py()
+        sides.append((flat, offsets[:-1], np.diff(offsets)))
+    live = np.flatnonzero(~(a.is_null().to_numpy(zero_copy_only=False) | b.is_null().to_numpy(zero_copy_only=False)))
+    live = live[np.argsort(np.maximum(sides[0][2], sides[1][2])[live], kind="stable")]
+    for k in range(0, len(live), ALIGNED):
+        rows = live[k : k + ALIGNED]
+        (x, n), (y, m) = ((np.full((len(rows), max(1, int(size[rows].max()))), fill, dtype=np.int64), size[rows]) for (_, _, size), fill in zip(sides, (-2, -3)))
+        for table, (flat, start, size) in zip((x, y), sides):
+            inside = np.arange(table.shape[1]) < size[rows][:, None]
+            table[inside] = flat[(start[rows][:, None] + np.arange(table.shape[1]))[inside]]
+        out[rows] = _diagonals(x, y, n, m)
+    return out
+
+
+def _diagonals(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    rows, width = len(x), x.shape[1] + 1
+    before, last = np.zeros((rows, width)), np.zeros((rows, width))
+    score = np.where((n == 0) & (m == 0), 0.0, np.nan)
+    for d in range(1, x.shape[1] + y.shape[1] + 1):
+        i = np.arange(max(0, d - y.shape[1]), min(d, x.shape[1]) + 1)
+        now = np.full((rows, width), -np.inf)
+        if i[0] == 0:
+            now[:, 0] = -d
+        if i[-1] == d:
+            now[:, d] = -d
+        k = i[(i > 0) & (i < d)]
+        same = np.where(x[:, k - 1] == y[:, d - k - 1], 1.0, -1.0)
+        now[:, k] = np.maximum(before[:, k - 1] + same, np.maximum(last[:, k - 1], last[:, k]) - 1)
+        end = np.flatnonzero(n + m == d)
+        score[end] = now[end, n[end]]
+        before, last = last, now
+    size = np.maximum(n, m)
+    return np.where(size == 0, 1.0, (score + size) / np.maximum(2 * size, 1))
+
+
+@F.arrow_udf(T.DoubleType())
+def token_alignment(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Needleman-Wunsch score of two word lists, scaled to 0..1; null where either is null."""
+    got = alignments(a, b)
+    return pa.array(np.round(got, 9), mask=np.isnan(got))
+
+
 def metric(f: Callable[..., float], *args):
     """A double pandas UDF of two string columns; null where either is null."""
 

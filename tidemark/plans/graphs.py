@@ -40,11 +40,12 @@ def q_dag_paths(t: Tables) -> DataFrame:
     return G.paths(G.parse_edges(lines(t))).select(F.array_join("path", " > ").alias("path"))
 
 
-@query(f"""SELECT count(*) AS n_edges, (SELECT count(*) FROM (SELECT src FROM {_EDGES} UNION SELECT dst FROM {_EDGES})) AS n_nodes, count(DISTINCT CASE WHEN rel = 'CONTAINS' THEN src END) AS n_components, CAST(2 AS INTEGER) AS longest FROM {_EDGES}""")
+@query(f"""WITH RECURSIVE w AS (SELECT dst, CAST(1 AS INTEGER) AS k FROM {_EDGES} UNION ALL SELECT e.dst, w.k + 1 FROM w JOIN {_EDGES} e ON w.dst = e.src)
+SELECT count(*) AS n_edges, (SELECT count(*) FROM (SELECT src FROM {_EDGES} UNION SELECT dst FROM {_EDGES})) AS n_nodes, count(DISTINCT CASE WHEN rel = 'CONTAINS' THEN src END) AS n_components, (SELECT max(k) FROM w) AS longest FROM {_EDGES}""")
 def q_dag_stats(t: Tables) -> DataFrame:
     e = G.parse_edges(lines(t))
     c = G.components(e).agg(F.count(F.lit(1)).alias("n_nodes"), F.count_distinct("component").alias("n_components"))
-    longest = G.paths(e).agg(F.max(F.size("path") - 1).alias("longest"))
+    longest = G.depths(e).agg(F.max("depth").alias("longest"))
     return e.agg(F.count(F.lit(1)).alias("n_edges")).crossJoin(c).crossJoin(longest)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import matching as M
 from tidemark.operators import graph as G
+from tidemark.operators import allocation as A
 from tidemark.operators import optimal
 from tidemark.plans.allocation import capacity, scores
 from tidemark.plans.registry import Tables, query
@@ -115,7 +116,22 @@ def q_hash_split(t: Tables) -> DataFrame:
 @query()
 def q_optimal_allocation(t: Tables) -> DataFrame:
     s = scores(t)
-    return optimal.batched_optimum(s, capacity(s), batch=200)
+    return optimal.optimal_allocation(s, capacity(s), everyone=False).assigned
+
+
+@query()
+def q_allocation_bound(t: Tables) -> DataFrame:
+    """Users and total of the optimum and of greedy, with the gap to the bound that the optimum's prices prove."""
+    s = scores(t)
+    best = optimal.optimal_allocation(s, capacity(s), everyone=False)
+    summed = lambda d, how, gap: d.agg(F.count(F.lit(1)).alias("users"), F.round(F.coalesce(F.sum("score"), F.lit(0.0)), 6).alias("total")).select(F.lit(how).alias("how"), "users", "total", gap.alias("gap"))
+    return summed(best.assigned, "optimum", F.lit(round(best.gap, 6))).unionByName(summed(A.greedy_allocation(s, capacity(s)), "greedy", F.lit(None).cast("double")))
+
+
+@query()
+def q_hybrid_allocation(t: Tables) -> DataFrame:
+    s = scores(t)
+    return optimal.hybrid_allocation(s, capacity(s), choices=2)
 
 
 @query()
