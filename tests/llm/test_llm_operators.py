@@ -548,6 +548,51 @@ def test_edited_items_are_found(spark, odd, none):
     assert decontamination.decontaminate(odd, bench).count() == len(odd_rows())
 
 
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.2])
+def test_recall_at_each_share_of_edits(share, monkeypatch):
+    """Against every window, item by item; and without the walks' keys nothing is a candidate."""
+    rng = np.random.default_rng(int(100 * share))
+    items = [(i, " ".join(f"t{rng.integers(0, 400)}" for _ in range(int(rng.integers(6, 50))))) for i in range(50)]
+    matcher = decontamination.Matcher(items, 0.8, 0.99)
+    texts, want = [], []
+    for k in range(300):
+        item = items[k % 50]
+        w = item[1].split()
+        for _ in range(int(share * len(w))):
+            p = int(rng.integers(len(w)))
+            w[p : p + int(rng.integers(2))] = [f"t{rng.integers(0, 400)}"] if rng.random() < 0.7 or len(w) < 3 else []
+        texts.append(" ".join([f"t{rng.integers(0, 400)}" for _ in range(60)] + w + [f"f{rng.integers(0, 900)}" for _ in range(60)]))
+        s = decontamination._symbols(texts[-1].split())
+        want.append({i for (i, t), (_, x, e) in zip(items, matcher.items) if decontamination.best_region(x, s)[0] <= e})
+    got = [{r[0] for r in found} for found in matcher.scan_all(texts)]
+    assert all(g <= w for g, w in zip(got, want))
+    assert sum(map(len, got)) >= (1 if share == 0 else 0.97) * sum(map(len, want)) > 250 * (share < 0.2)
+    assert got == [{r[0] for r in matcher.scan(t)} for t in texts]
+    ids = np.array([matcher.vocabulary.get(x, -1) for x in " ".join(texts).split()])
+    n = len(matcher.candidates(ids))
+    matcher.need = np.maximum(1, matcher.need // 4)
+    assert len(matcher.candidates(ids)) > n  # fewer shared keys asked for, more windows
+    matcher.marks[:] = False
+    assert not matcher.candidates(ids)
+
+
+def test_walks_meet_again_after_an_edit():
+    walks = decontamination.Walks(8, 100)
+    a = np.arange(40)
+    b = np.concatenate([a[:20], [77], a[20:]])
+    at, keys = walks.keys(a, np.arange(40))
+    at2, keys2 = walks.keys(b, np.arange(41))
+    assert len(set(keys.tolist()) & set(keys2.tolist())) > 0.8 * len(set(keys.tolist()))
+    straight = walks.keys(a, np.arange(40), range(8, 9))
+    assert straight[0].tolist() == list(range(39))
+
+
+def test_short_items_are_exact():
+    matcher = decontamination.Matcher([(1, "one two"), (2, "one"), (3, "a b c d"), (4, "one")], 0.8, 0.99)
+    got = matcher.scan_all(["zero one two", "a b c", "x a b c d", None, "two one", "one one two"])
+    assert [[(r[0], r[1]) for r in found] for found in got] == [[(1, 1), (2, 1), (4, 1)], [], [(3, 1)], [], [(2, 1), (4, 1)], [(1, 1), (2, 0), (4, 0)]]
+
+
 def test_best_region_is_exact():
     rng = np.random.default_rng(4)
 
