@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import allocation as A
+from tidemark.operators import search
 from tidemark.plans.registry import Tables, query
 
 _SCORES = """(SELECT user_id AS "user", CAST(hour(ts) AS INTEGER) AS "hour", round(avg(value), 6) AS score FROM events WHERE hour(ts) BETWEEN 9 AND 18 GROUP BY 1, 2)"""
@@ -36,6 +37,23 @@ def q_batched_allocation(t: Tables) -> DataFrame:
     return A.batched_allocation(s, cap, max(1, sum(cap.values()) // 3))
 
 
+@query()
+def q_annealed_allocation(t: Tables) -> DataFrame:
+    s = scores(t)
+    return search.anneal_allocation(s, capacity(s))
+
+
+@query()
+def q_pareto_allocation(t: Tables) -> DataFrame:
+    """The first front of a population of allocations: its objectives and the users of each hour."""
+    s = scores(t)
+    population, found = search.evolve(s, capacity(s), size=8, generations=2)
+    order = sorted(found)
+    front = [order[k] for k in search.fronts([found[i] for i in order])[0]]
+    rows = t.spark.createDataFrame([(i, round(found[i][0], 6), round(found[i][1], 6)) for i in front], "individual int, cost double, spread double")
+    return population.groupBy("individual", "hour").agg(F.count(F.lit(1)).alias("users")).join(F.broadcast(rows), "individual")
+
+
 @query()
 def q_exchange_allocation(t: Tables) -> DataFrame:
     s = scores(t)
