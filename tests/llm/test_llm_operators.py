@@ -701,11 +701,24 @@ def test_states_sum_to_one(spark):
 
 
 def test_failure_arcs_are_paid(spark):
-    rows = [(i, " ".join(f"w{(i * k + k // 3) % 11}" for k in range(1, 40))) for i in range(40)]
+    rows = [(i, " ".join(f"w{(i * k + k // 3) % 61}" for k in range(1, 40))) for i in range(40)]
     plain = check_model(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 4 == 0)
     assert sum(plain.row(t)[4] != pytest.approx(plain.row(t, failures=False)[4]) for _, t in rows[::4]) > 5
 
 
+def test_keys_are_ordered_exactly():
+    """Also where keys differ only in bits that don't fit beside the place."""
+    rng = np.random.default_rng(1)
+    for bits in (60, 64):
+        keys = rng.integers(0, 1 << 62, 5000, dtype=np.uint64) >> np.uint64(62 - bits + 2 if bits < 62 else 0)
+        keys[1::2] = keys[::2] ^ np.uint64(1)
+        keys[7::50] = keys[6]
+        assert language_model.ordered(keys, bits).tolist() == np.argsort(keys, kind="stable").tolist()
+        u, first, number = language_model.numbered(keys, bits)
+        assert u.tolist() == sorted(set(keys.tolist())) and (keys[first] == u).all() and (u[number] == keys).all()
+    assert language_model.numbered(np.empty(0, np.uint64))[0].size == 0
+
+
 def test_the_state_is_carried_left_to_right():
     """A broken arc table or failure weight changes the score of the texts that pass it, and no other."""
     texts = [b"a b c a b d", b"a b c a b d", b"a d x"]
@@ -728,11 +741,11 @@ def test_the_state_is_carried_left_to_right():
             language_model.answered(One())
             replies.extend(run["out"].to_pylist())
 
-    told([r for k in (1, 2) for g in [language_model.Grams(block, k)] for r in language_model._ask(k, 0, g.keys, g.own, None, 1)])
+    told([r for k in (1, 2) for g in [language_model.Grams(block, k)] for r in language_model._ask(k, 0, g.keys, g.own(), None, 1)])
     distinct, total = next((r["distinct"], r["total"]) for r in replies if r["kind"] == 1)
     local = language_model.Local(block, replies, total, distinct)
     g = language_model.Grams(block, 3, local.after_state())
-    told([*language_model._ask(3, 0, g.keys, g.own, None, 1), *local.sums(0, 1, 1)])
+    told([*language_model._ask(3, 0, g.keys, g.own(), None, 1), *local.sums(0, 1, 1)])
     told(language_model.Local(block, replies, total, distinct).sums(0, 2, 1))
     local = language_model.Local(block, replies, total, distinct)
     whole = language_model.traverse(local)

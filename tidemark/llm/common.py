@@ -21,6 +21,7 @@ WHITE = " \t\n\x0b\x0c\r"
 #: Text bytes that a Python worker handles at one time.
 BATCH_BYTES = 8 << 20
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[str] = []
 
 
@@ -69,7 +70,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    held = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")  # what this write has shuffled goes when it is done, not when the driver collects garbage
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, held)
     return spark.read.schema(df.schema).parquet(path)
 
 

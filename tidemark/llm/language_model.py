@@ -53,7 +53,7 @@ DISCOUNT = 0.75
 #: A context is a state from so many occurrences on.
 STATE = 2
 #: Text bytes of a block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
 #: Blocks for each bucket of keys.
 BLOCKS_PER_BUCKET = 2
 #: The end token's hash.
@@ -64,7 +64,7 @@ COUNTS, SUMS = (1, 2, 3), {1: 11, 2: 12}
 
 _BLOCK = "block long, docs binary, null binary, held binary, lens binary, vocab binary, codes binary"
 _ASKED = "kind int, bucket int, block long, m long, keys binary, n binary, mass binary"
-_ANSWER = "kind int, bucket int, block long, m long, n binary, own binary, ratio binary, distinct long, total long"
+_ANSWER = "kind int, bucket int, block long, m long, n binary, more binary, distinct long, total long"
 _SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -82,6 +82,30 @@ def _unpack(b: bytes, m: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def ordered(keys: np.ndarray, bits: int = KEY_BITS) -> np.ndarray:
+    """Places of the keys in ascending order, equal ones by place.
+
+    The leading bits of a key and its place share a 64-bit number, which sorts many times
+    faster than places do; keys that differ only below those bits are rare and sorted anew.
+    """
+    low = max(1, (len(keys) - 1).bit_length())
+    packed = (keys >> np.uint64(max(0, bits + low - 64))) << np.uint64(low) | np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    order = (packed & np.uint64((1 << low) - 1)).astype(np.int64)
+    sorted_ = keys[order]
+    return np.argsort(keys, kind="stable") if (sorted_[1:] < sorted_[:-1]).any() else order
+
+
+def numbered(keys: np.ndarray, bits: int = KEY_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, sorted; a place of each; and for each place the number of its key."""
+    order = ordered(keys, bits)
+    key = keys[order]
+    first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.empty(0, bool)
+    number = np.empty(len(key), np.int64)
+    number[order] = np.cumsum(first) - 1
+    return key[first], order[first], number
+
+
 def _names(schema: str) -> list[str]:
     return [f.split()[0] for f in schema.split(", ")]
 
@@ -95,10 +119,11 @@ def _table(schema: str, rows: list[tuple]) -> pa.Table:
 class Block:
     """The tokens of some texts: each text's words, then one end token."""
 
-    def __init__(self, h: np.ndarray, lens: np.ndarray, held: np.ndarray):
-        self.h, self.lens, self.held = h, lens, held
+    def __init__(self, vocab: np.ndarray, codes: np.ndarray, lens: np.ndarray, held: np.ndarray):
+        """codes are each token's number in vocab, the hashes of the distinct tokens."""
+        self.vocab, self.codes, self.h, self.lens, self.held = vocab, codes, vocab[codes], lens, held
         self.doc = np.repeat(np.arange(len(lens)), lens)
-        self.place = np.arange(len(h)) - np.repeat(np.cumsum(lens) - lens, lens)
+        self.place = np.arange(len(codes)) - np.repeat(np.cumsum(lens) - lens, lens)
 
     @classmethod
     def of(cls, texts: list[bytes], held: np.ndarray) -> Block:
@@ -106,14 +131,17 @@ class Block:
         lens = words.count + 1
         h = np.full(int(lens.sum()), END, dtype=np.uint64)
         h[np.arange(len(words.hash)) + np.repeat(np.arange(len(lens)), words.count)] = words.hash
-        return cls(h, lens, held)
+        vocab, _, at = numbered(h, 64)
+        by_count = np.argsort(-np.bincount(at, minlength=len(vocab)), kind="stable")  # frequent tokens have small numbers
+        rank = np.empty(len(vocab), np.int64)
+        rank[by_count] = np.arange(len(vocab))
+        return cls(vocab[by_count], rank[at], lens, held)
 
     @classmethod
     def read(cls, row: dict) -> Block:
         held = np.frombuffer(row["held"], np.uint8).astype(bool)
         lens = _unpack(row["lens"], len(held)).astype(np.int64)
-        codes = _unpack(row["codes"], int(lens.sum())).astype(np.int64)
-        return cls(np.frombuffer(row["vocab"], np.uint64)[codes], lens, held)
+        return cls(np.frombuffer(row["vocab"], np.uint64), _unpack(row["codes"], int(lens.sum())).astype(np.int64), lens, held)
 
 
 class Grams:
@@ -125,16 +153,29 @@ class Grams:
 
     def __init__(self, block: Block, order: int, where: np.ndarray | None = None):
         at = np.flatnonzero(block.place >= order - 1) if where is None else where
-        key = mix64(block.h[at - order + 1])
-        for k in range(order - 2, -1, -1):
-            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + block.h[at - k])
-        self.keys, first, inverse = np.unique(key >> np.uint64(64 - KEY_BITS), return_index=True, return_inverse=True)
-        self.last = at[first]
-        self.id = np.full(len(block.h), -1, dtype=np.int64)
-        self.id[at] = inverse
-        self.own = np.bincount(inverse, weights=~block.held[block.doc[at]], minlength=len(self.keys)).astype(np.int64)
+        if order == 1:  # the block has its distinct tokens already
+            key = mix64(block.vocab) >> np.uint64(64 - KEY_BITS)
+            by_key = np.argsort(key)
+            rank = np.empty(len(key), np.int64)
+            rank[by_key] = np.arange(len(key))
+            self.keys, self.id, self.last = key[by_key], rank[block.codes], np.empty(0, np.int64)
+        else:
+            key = mix64(block.h[at - order + 1])
+            for k in range(order - 2, -1, -1):
+                key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + block.h[at - k])
+            key >>= np.uint64(64 - KEY_BITS)
+            self.keys, first, number = numbered(key)
+            self.last = at[first]
+            self.id = np.full(len(block.codes), -1, dtype=np.int64)
+            self.id[at] = number
+        self.block, self.at = block, at
         self.count = self.owner = np.empty(0, np.int64)
 
+    def own(self) -> np.ndarray:
+        """How often the block's training texts hold each n-gram."""
+        taught = self.at[~self.block.held[self.block.doc[self.at]]]
+        return np.bincount(self.id[taught], minlength=len(self.keys))
+
     def __len__(self) -> int:
         return len(self.keys)
 
@@ -148,31 +189,42 @@ def _bucket_edges(u: np.ndarray, n: int) -> np.ndarray:
 def _ask(kind: int, block_id: int, keys: np.ndarray, n: np.ndarray, mass: np.ndarray | None, buckets: int) -> list[tuple]:
     """A row for each bucket that any of the sorted keys falls into."""
     edges = _bucket_edges(keys, buckets)
-    sent = lambda p, q: None if mass is None else pa.compress(np.ascontiguousarray(mass[p:q]).tobytes(), "zstd", asbytes=True)
+    sent = lambda p, q: None if mass is None else _pack(mass[p:q])
     return [(kind, j, block_id, int(q - p), _pack(np.diff(keys[p:q], prepend=np.uint64(0))), _pack(n[p:q]), sent(p, q)) for j, (p, q) in enumerate(zip(edges[:-1], edges[1:])) if q > p]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of about BLOCK_BYTES of text; a longer text stands alone."""
+    held, size = [], 0
+    for batch in bounded(batches, limit=BLOCK_BYTES):
+        n = batch.column("text").nbytes
+        if held and size + n > BLOCK_BYTES:
+            yield held
+            held, size = [], 0
+        held.append(batch)
+        size += n
+    if held:
+        yield held
+
+
 def kept_blocks(source: DataFrame) -> DataFrame:
     """The tokens of each block as one row: word numbers, most frequent first, and the words' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, limit=BLOCK_BYTES):
-            docs, held = batch.column("doc_id"), np.array(batch.column("held_out").to_pylist(), dtype=bool)
-            block = Block.of(text_bytes(batch.column("text")), held)
-            vocab, at, n = np.unique(block.h, return_inverse=True, return_counts=True)
-            rank = np.empty(len(vocab), np.int64)
-            by_count = np.argsort(-n, kind="stable")
-            rank[by_count] = np.arange(len(vocab))
+        for parts in _gathered(batches):
+            t = pa.Table.from_batches(parts)
+            docs, held = t.column("doc_id").combine_chunks(), np.array(t.column("held_out").to_pylist(), dtype=bool)
+            block = Block.of(text_bytes(t.column("text")), held)
             ids = np.array(docs.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
             null = np.array(docs.is_null().to_numpy(zero_copy_only=False), dtype=np.uint8)
-            row = (batch.column("_row")[0].as_py(), ids.tobytes(), null.tobytes(), held.astype(np.uint8).tobytes(), _pack(block.lens), vocab[by_count].tobytes(), _pack(rank[at]))
+            row = (t.column("_row")[0].as_py(), ids.tobytes(), null.tobytes(), held.astype(np.uint8).tobytes(), _pack(block.lens), block.vocab.tobytes(), _pack(block.codes))
             yield from _table(_BLOCK, [row]).to_batches()
 
     return source.mapInArrow(run, _BLOCK)
 
 
 def answered(requests: DataFrame) -> DataFrame:
-    """For each request, in the order of its keys: training counts and ownership, or t / (1 - S) of states.
+    """For each request, in the order of its keys: training counts and ownership, or the two sums of states.
 
     One row of a bucket of counts has its distinct n-grams and their sum.
     """
@@ -180,32 +232,30 @@ def answered(requests: DataFrame) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("block", "ascending")])
         kind, sizes = t.column("kind")[0].as_py(), t.column("m").to_pylist()
+        column = lambda name: np.concatenate([_unpack(b, m) for b, m in zip(t.column(name).to_pylist(), sizes)]).astype(np.int64)
         keys = np.concatenate([np.cumsum(_unpack(b, m), dtype=np.uint64) for b, m in zip(t.column("keys").to_pylist(), sizes)])
-        n = np.concatenate([_unpack(b, m) for b, m in zip(t.column("n").to_pylist(), sizes)]).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
+        n = column("n")
+        order = ordered(keys)
         u = keys[order]
         first = np.concatenate([[True], u[1:] != u[:-1]])
         group = np.cumsum(first) - 1
-        total = np.bincount(group, weights=n[order]).astype(np.int64)
-        reply, own, ratio = np.empty(len(keys), np.int64), np.zeros(len(keys), bool), np.empty(len(keys))
+        folded = lambda x: np.bincount(group, weights=x[order]).astype(np.int64)
+        total, edges, whole = folded(n), np.cumsum([0, *sizes]), [(0, 0)] * len(sizes)
+        reply = np.empty(len(keys), np.int64)
         reply[order] = total[group]
-        whole = [(0, 0)] * len(sizes)
         if kind in COUNTS:
             seen = np.cumsum(n[order] > 0)
             before = (seen - (n[order] > 0))[first][group]  # entries of earlier n-grams that training holds
+            own = np.zeros(len(keys), bool)
             own[order] = (n[order] > 0) & (seen - before == 1)
             whole[0] = int((total > 0).sum()), int(total.sum())
+            second = [np.packbits(own[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:])]
         else:
-            mass = np.concatenate([np.frombuffer(pa.decompress(b, 8 * m, "zstd", asbytes=True)) for b, m in zip(t.column("mass").to_pylist(), sizes)])
-            s = np.bincount(group, weights=mass[order])
-            ratio[order] = (total / np.maximum(1 - s, 1e-15))[group]
-        edges = np.cumsum([0, *sizes])
+            mass = np.empty(len(keys), np.int64)
+            mass[order] = folded(column("mass"))[group]
+            second = [_pack(mass[a:b]) for a, b in zip(edges[:-1], edges[1:])]
         columns = zip(t.column("kind").to_pylist(), t.column("bucket").to_pylist(), t.column("block").to_pylist(), sizes)
-        rows = []
-        for c, a, b, w in zip(columns, edges[:-1], edges[1:], whole):
-            out = (_pack(reply[a:b]), np.packbits(own[a:b]).tobytes(), None) if kind in COUNTS else (None, None, pa.compress(ratio[a:b].tobytes(), "zstd", asbytes=True))
-            rows.append((*c, *out, *w))
-        return _table(_ANSWER, rows)
+        return _table(_ANSWER, [(*c, _pack(reply[a:b]), x, *w) for c, a, b, x, w in zip(columns, edges[:-1], edges[1:], second, whole)])
 
     return requests.groupBy("kind", "bucket").applyInArrow(run, _ANSWER)
 
@@ -225,7 +275,7 @@ class Local:
     def counted(self, order: int, where: np.ndarray | None = None) -> Grams:
         g, rows = Grams(self.block, order, where), self.by_kind.get(order, [])
         g.count = np.concatenate([np.empty(0, np.int64), *(_unpack(r["n"], r["m"]).astype(np.int64) for r in rows)])
-        g.owner = np.concatenate([np.empty(0, bool), *(np.unpackbits(np.frombuffer(r["own"], np.uint8), count=r["m"]).astype(bool) for r in rows)])
+        g.owner = np.concatenate([np.empty(0, bool), *(np.unpackbits(np.frombuffer(r["more"], np.uint8), count=r["m"]).astype(bool) for r in rows)])
         return g
 
     def after_state(self) -> np.ndarray:
@@ -243,24 +293,34 @@ class Local:
             return np.where(states[context] & (g.count > 0), (g.count - DISCOUNT) / contexts.count[context], np.nan)
 
     def sums(self, block_id: int, order: int, buckets: int) -> list[tuple]:
-        """Asks for (t, S) of the states of one or two words, with what this block's own arcs add."""
-        contexts, g, lower = (self.one, self.two, self.base) if order == 1 else (self.two, self.triples(), self.arc(self.two, self.one, self.state[1]))
+        """Asks for the sums of the states of one or two words, with what this block's own arcs add.
+
+        They are t, the number of arcs, and the sum of the counts of the arcs' n-grams without
+        their first words: S is linear in the two.
+        """
+        contexts, g, below = (self.one, self.two, self.one) if order == 1 else (self.two, self.triples(), self.two)
         mine = np.flatnonzero(g.owner)
         context = contexts.id[g.last[mine] - 1]
         mine, context = mine[self.state[order][context]], context[self.state[order][context]]
-        below = (self.one if order == 1 else self.two).id[g.last[mine]]
         t = np.bincount(context, minlength=len(contexts)).astype(np.int64)
-        s = np.bincount(context, weights=lower[below], minlength=len(contexts))
+        mass = np.bincount(context, weights=below.count[below.id[g.last[mine]]], minlength=len(contexts)).astype(np.int64)
         live = self.state[order]
-        return _ask(SUMS[order], block_id, contexts.keys[live], t[live], s[live], buckets)
+        return _ask(SUMS[order], block_id, contexts.keys[live], t[live], mass[live], buckets)
 
     def fail(self, order: int) -> np.ndarray:
         """log10 of the weight of each context's failure arc, nan where it is no state."""
         contexts, out = (self.one, self.two)[order - 1], np.full(len(self.state[order]), np.nan)
-        ratio = np.concatenate([np.empty(0), *(np.frombuffer(pa.decompress(r["ratio"], 8 * r["m"], "zstd", asbytes=True)) for r in self.by_kind.get(SUMS[order], []))])
+        rows = self.by_kind.get(SUMS[order], [])
+        t, mass = (np.concatenate([np.empty(0), *(_unpack(r[name], r["m"]).astype(np.float64) for r in rows)]) for name in ("n", "more"))
         live = self.state[order]
+        if order == 1:
+            s = (mass + ADD * t) / (self.total + ADD * (self.distinct + 1))
+        else:  # all arcs of u v lead to words that follow v
+            shorter = np.zeros(len(contexts))
+            shorter[self.two.id[self.two.last]] = self.one.count[self.one.id[self.two.last]]
+            s = (mass - DISCOUNT * t) / shorter[live]
         with np.errstate(divide="ignore"):
-            out[live] = np.log10(DISCOUNT * ratio / contexts.count[live])
+            out[live] = np.log10(DISCOUNT * t / contexts.count[live] / np.maximum(1 - s, 1e-15))
         return out
 
 
@@ -334,7 +394,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
                 block = Block.read(row)
                 for k in (1, 2):
                     g = Grams(block, k)
-                    yield from _table(_ASKED, _ask(k, row["block"], g.keys, g.own, None, n)).to_batches()
+                    yield from _table(_ASKED, _ask(k, row["block"], g.keys, g.own(), None, n)).to_batches()
 
     counts = materialize(answered(blocks.mapInArrow(first, _ASKED)), "lm-counts")
     distinct, total = counts.filter("kind = 1").agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
@@ -342,7 +402,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     def second(block_id: int, row: dict, replies: list[dict]) -> pa.Table:
         local = Local(Block.read(row), replies, total, distinct)
         g = Grams(local.block, 3, local.after_state())
-        return _table(_ASKED, [*_ask(3, block_id, g.keys, g.own, None, n), *local.sums(block_id, 1, n)])
+        return _table(_ASKED, [*_ask(3, block_id, g.keys, g.own(), None, n), *local.sums(block_id, 1, n)])
 
     triples = materialize(answered(_asking(blocks, [counts], second, _ASKED)), "lm-triples")
 
