@@ -222,14 +222,15 @@ def test_database_reads_are_split_and_filtered(spark):
     url, driver = "jdbc:derby:memory:tidemark;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
     rows = [(k, f"{'2025' if k % 2 else '2024'}{k:04d}", f"p{k}", "N" if k % 3 else "Y", "APPR" if k % 5 else "WAIT", "Y", f"clue {k}" if k % 7 else None, "PR"[k % 2]) for k in range(200)]
     df = spark.createDataFrame(rows, "n int, cmpgn_pgm_num string, pgm_nm string, del_yn string, aprv_op_rslt_cd string, exps_yn string, rmk string, item_dmn string")
-    df.write.jdbc(url, "programs", mode="overwrite", properties={**driver, "createTableColumnTypes": "cmpgn_pgm_num varchar(20), pgm_nm varchar(20), del_yn varchar(1), aprv_op_rslt_cd varchar(8), exps_yn varchar(1), rmk varchar(20), item_dmn varchar(1)"})
+    df = df.toDF(*[c.upper() for c in df.columns])  # names that need no quotes in the database
+    df.write.jdbc(url, "programs", mode="overwrite", properties={**driver, "createTableColumnTypes": "CMPGN_PGM_NUM varchar(20), PGM_NM varchar(20), DEL_YN varchar(1), APRV_OP_RSLT_CD varchar(8), EXPS_YN varchar(1), ITEM_DMN varchar(1)"})
     got = catalog.programs(spark, url, "programs", "2025", split="n", parts=4, **driver)
     assert got.columns[0] == "n" and got.rdd.getNumPartitions() == 4
     want = {r[0] for r in rows if r[1].startswith("2025") and r[3] == "N" and r[4] == "APPR" and r[6]}
     assert {r.n for r in got.collect()} == want
     assert catalog.items(spark, url, "programs", **driver).count() == catalog.organisations(spark, url, "programs", **driver).count() == 100
     narrow = catalog.read_database(spark, url, "programs", **driver).filter("n > 190").select("pgm_nm")
-    assert re.search(r"PushedFilters: \[.*GreaterThan\(n,190\)|PushedFilters: \[.*\*?GreaterThan", plan_of(narrow)) and narrow.count() == 9
+    assert re.search(r"PushedFilters: \[.*GreaterThan\(N,190\)", plan_of(narrow)) and narrow.count() == 9
 
 
 # table functions

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Which programs count, and the domain of organisations.
 PROGRAM_FILTER = "del_yn = 'N' and aprv_op_rslt_cd = 'APPR' and exps_yn = 'Y' and cmpgn_pgm_num like '{year}%' and rmk is not null"
 ORGANISATION = "R"
+_OVERWRITE = "spark.sql.sources.partitionOverwriteMode"
 
 
 def save_partitioned(df: DataFrame, table: str, by: list[str]) -> None:
@@ -15,7 +16,12 @@ def save_partitioned(df: DataFrame, table: str, by: list[str]) -> None:
     spark = df.sparkSession
     ordered = df.select(*[c for c in df.columns if c not in by], *by)
     if spark.catalog.tableExists(table):
-        ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
+        held = spark.conf.get(_OVERWRITE)
+        spark.conf.set(_OVERWRITE, "dynamic")  # insertInto takes no option for it
+        try:
+            ordered.write.mode("overwrite").insertInto(table)
+        finally:
+            spark.conf.set(_OVERWRITE, held)
     else:
         ordered.repartition(*by).write.format("parquet").partitionBy(*by).saveAsTable(table)
 
