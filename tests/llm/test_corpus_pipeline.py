@@ -1,6 +1,11 @@
 """The pipeline's stages on a small corpus."""
 
+from collections import Counter
+
 import corpus_pipeline
+import pytest
+from pyspark.sql import functions as F
+from test_llm_operators import FIELDS, odd_rows
 from tidemark.llm.common import materialize
 
 
@@ -17,6 +22,32 @@ def test_stages_keep_columns_and_take_effect(spark, sf_dir):
     assert out.select("doc_id").distinct().count() == counts[4]
 
 
+@pytest.mark.parametrize("number", range(5))
+def test_stages_on_odd_rows(spark, sf_dir, number):
+    """Nulls, empty and long texts, repeated rows, further columns, and an empty table."""
+    name, stage = corpus_pipeline.STAGES[number]
+    docs = spark.createDataFrame(odd_rows(), FIELDS).withColumns({c: F.lit(7) for c in ("score", "root", "k", "near_key", "cuts", "piece", "rid", "y")})
+    rows = stage(spark, docs, sf_dir).collect()
+    none = stage(spark, docs.limit(0), sf_dir)
+    assert none.count() == 0
+    if name == "best_fit_packing":
+        assert Counter(r.doc_id for r in rows if r.piece == 0) == Counter(r[0] for r in odd_rows())
+        return
+    assert none.columns == docs.columns and all(len(r) == len(docs.columns) and r.score == 7 for r in rows)
+    kept = [(r.doc_id, r.text) for r in rows]
+    had = Counter((d, t) for d, t, *_ in odd_rows())
+    if name == "simhash_near_dedup":
+        assert (1, had and [t for d, t, *_ in odd_rows() if d == 1][0]) in kept and (2, odd_rows()[1][1]) not in kept
+        assert sum(t is None or not t.split() for _, t in kept) == 1
+    if name == "substring_dedup":
+        assert Counter(d for d, _ in kept) == Counter(d for d, *_ in odd_rows())
+        assert sum(t is None for _, t in kept) == sum(t is None for _, t, *_ in odd_rows())
+    if name == "benchmark_decontamination":
+        assert Counter(kept) == had
+    if name == "quality_classifier":
+        assert not Counter(kept) - had and len({n for _, n in Counter(k for k in kept if k == odd_rows()[1][:2]).items()} - {2}) == 0
+
+
 def test_run_gives_the_last_stage(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)

@@ -86,6 +86,14 @@ def test_separator_scan_stitches_blocks(spark, tmp_path, block):
     assert sorted((r.file, r.nth, r.n_tokens, r.complete) for r in got.collect()) == sorted(want)
 
 
+def test_token_files_refuse_what_they_cannot_hold(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some words here")], "doc_id long, text string")
+    ids = tokens.tokenizer(tokens.default_path()).encode("some words here").tolist()
+    for end, width in ((ids[1], 2), (49407, 1)):
+        with pytest.raises(Exception, match="holds the end token|does not fit"):
+            token_counts.write_token_files(docs, f"file://{tmp_path}/t{width}", tokens.default_path(), end_id=end, width=width).count()
+
+
 def test_tokenizer_equals_the_library():
     from tokenizers import Tokenizer
 
@@ -143,6 +151,14 @@ def test_rule_order_never_changes_the_verdict(odd):
     assert Counter(a) == Counter(b)
 
 
+def test_the_sample_is_bounded(spark):
+    docs = spark.range(20_000).select(F.col("id").cast("string").alias("text"), F.lit(1).alias("other"))
+    got = quality_rules.sample_of(docs, rows=100)
+    assert got.columns == ["text"] and got.count() == 100
+    assert quality_rules.sample_of(docs.limit(30), rows=100).count() == 30
+    assert "other" not in got._jdf.queryExecution().optimizedPlan().toString().split("Range")[0].replace("AS other", "")
+
+
 def test_rules_are_ordered_by_what_is_left():
     rules = [quality_rules.Rule(n, None) for n in "abcd"]
     rejects = [[True, True, False, False]] * 6 + [[False, True, False, True]] * 2 + [[False, False, True, False]] * 3
@@ -339,6 +355,17 @@ def test_masks_hold_all_languages_of_an_ngram(spark, sf_dir):
             assert score == pytest.approx(share[lang] / sum(share.values()), abs=0.01)
 
 
+def test_the_table_grows_with_the_corpus(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(lang, " ".join("".join(rng.choice(list(letters), 6)) for _ in range(400))) for lang, letters in (("aa", "abcdefghijk"), ("bb", "ijklmnopqrs")) for _ in range(20)]
+    train = spark.createDataFrame(rows, "lang string, text string")
+    model = language_id.fit(train, 12)
+    assert model.bits > 12 and model.fill.max() <= language_id.MOST_FILL < language_id.filled(train, 12).fill.max()
+    monkeypatch.setattr(language_id, "MOST_BITS", 12)
+    with pytest.raises(ValueError, match="fills"):
+        language_id.fit(train, 12)
+
+
 def test_letters_decide_und(spark):
     model = language_id.fit(spark.createDataFrame([("some words here", "en")], "text string, lang string"))
     assert model.predict(["\u00bd \u00b2 \u2167", "12 _ !", "\u65e5", "some", None])[0] == ["und", "und", "en", "en", "und"]

@@ -7,7 +7,8 @@ import duckdb
 import numpy as np
 import pytest
 from test_llm_operators import check_packing, dedup, fingerprint, measures, PlainModel
-from tidemark.llm import decontamination, queries, tokens
+from tidemark.llm import decontamination, language_id, quality_fm, queries, tokens
+from tidemark.llm.common import doc_crc
 
 
 @pytest.fixture(scope="module")
@@ -65,6 +66,25 @@ def test_op4(spark, sf_dir, docs):
     rows = run(spark, sf_dir, "op4_language_id").join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     assert {r.doc_id: r.held_out for r in rows} == {d: crc(d) % 5 == 0 for d, _ in docs}
     assert np.mean([r.lang == r.lang_pred for r in rows if r.held_out]) > 0.95
+    # the whole table against exact sets of n-grams, without a Bloom table
+    seen, sizes, want = {}, Counter(), {}
+    lang = {r.doc_id: r.lang for r in rows}
+
+    def grams(t):
+        w = b"".join(b" " + x for x in (t or "").lower().encode().translate(language_id._TO_SPACE).split()) + b" "
+        return [w[i : i + 4] for i in range(len(w) - 3) if b" " not in w[i + 1 : i + 3]]
+
+    for d, t in docs:
+        if crc(d) % 5 and t is not None and lang[d] is not None:
+            seen.setdefault(lang[d], set()).update(grams(t))
+            sizes[lang[d]] += 1
+    for d, t in docs:
+        if not t or not any(map(str.isalpha, t)):
+            want[d] = "und"
+            continue
+        hits = {x: sum(g in seen[x] for g in grams(t)) for x in sorted(seen)}
+        want[d] = max(hits, key=lambda x: (hits[x], [-ord(c) for c in x])) if any(hits.values()) else max(sizes, key=sizes.get)
+    assert np.mean([want[r.doc_id] == r.lang_pred for r in rows]) > 0.99
 
 
 def test_op5(spark, sf_dir, docs):
@@ -88,6 +108,17 @@ def test_op7(spark, sf_dir, docs):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     assert {r.doc_id: r.held_out for r in rows} == {d: crc(d) % 4 == 2 for d, _ in docs}
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
+    # the same machine, its polynomial summed term by term
+    frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    machine = quality_fm.fit(quality_fm.labelled_sample(frame, spark.read.parquet(f"{sf_dir}/labels.parquet"), doc_crc() % 4 != 2))
+    text = dict(docs)
+    for r in rows:
+        f = quality_fm.featurize([text[r.doc_id]], {})
+        i, x = f.index, f.value.astype(float)
+        z = machine.w0 + float(machine.w[i] @ x)
+        gram = (machine.v[i].astype(float) @ machine.v[i].astype(float).T) * np.outer(x, x)
+        z += np.triu(gram, 1).sum()
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(machine.scale * z + machine.shift))), abs=1e-4)
     held = [(r.score, labels[r.doc_id]) for r in rows if r.held_out and labels.get(r.doc_id) is not None]
     good, bad = [s for s, y in held if y == 1], [s for s, y in held if y == 0]
     assert np.mean([[(a > b) + 0.5 * (a == b) for a in good] for b in bad]) > 0.9

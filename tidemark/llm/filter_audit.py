@@ -53,7 +53,7 @@ def masks(docs: DataFrame, labels: DataFrame) -> DataFrame:
     same = F.col("doc_id") > F.col("least")
     marked = rows.join(least, "sha", "left").withColumn("mask", F.col("bits") + F.when(same, 1 << 4).otherwise(0)).select("doc_id", "part", "mask")
     known = materialize(labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*[F.coalesce(F.max(c) == 1, F.lit(False)).alias(name) for c, name in (("quality", "good"), ("toxic", "toxic"))]), "audit-labels")
-    return materialize(marked, "audit-masks").join(known, "doc_id", "left").select("part", "mask", *[F.coalesce(c, F.lit(False)).alias(c) for c in LABELS[1:]])
+    return materialize(marked, "audit-masks").join(known.hint("merge"), "doc_id", "left").select("part", "mask", *[F.coalesce(c, F.lit(False)).alias(c) for c in LABELS[1:]])
 
 
 def parity_sums(rows: DataFrame) -> DataFrame:

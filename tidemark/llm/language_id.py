@@ -5,9 +5,10 @@ language, and the AND over an n-gram's cells is the set of all languages whose
 training texts contain it. Per language the hits are counted over a text, corrected
 for that language's false-positive rate, and the largest share decides.
 
-The table has a fixed number of cells, whatever the corpus, and is filled by a
-distributed OR: no n-gram list is gathered. A fuller table has more false positives,
-which the correction takes out. All training rows count.
+The table is filled by a distributed OR: no n-gram list is gathered. It grows with the
+corpus: while the n-grams of some language set more than MOST_FILL of its bits, the table
+is made four times as large and filled again, up to MOST_BITS, beyond which it is an
+error. So the false positives that the correction takes out stay few. All training rows count.
 
 Defined cases: null text, or a text without a letter, gives ``und`` and score 0;
 a text whose n-grams are all unknown gets the language of most training rows and score 0;
@@ -28,8 +29,10 @@ from .common import bounded, mix64
 
 GRAM = 4
 HASHES = 3
-#: The Bloom table has 2 to this many cells: 16 MB for 64 languages.
-CELL_BITS = 21
+#: The Bloom table has 2 to this many cells at first, and at most: 16 and 256 MB for 64 languages.
+CELL_BITS, MOST_BITS = 21, 25
+#: The share of a language's bits from which on the table is too small.
+MOST_FILL = 0.2
 #: ASCII bytes that are no letters become spaces; bytes of other scripts stay.
 _TO_SPACE = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 
@@ -70,7 +73,8 @@ class Model:
     def __init__(self, langs: list[str], usual: int, table: np.ndarray):
         self.langs, self.usual, self.table = langs, usual, table
         self.bits = table.shape[1].bit_length() - 1
-        self.false = np.array([float(((table[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) ** HASHES for i in range(len(langs))])
+        self.fill = np.array([float(((table[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) for i in range(len(langs))])
+        self.false = self.fill**HASHES
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         codes, starts = grams([t or "" for t in texts])
@@ -100,7 +104,18 @@ class Model:
 
 
 def fit(train: DataFrame, cell_bits: int = CELL_BITS) -> Model:
-    """Fills the table with the n-grams of all rows of train (text, lang)."""
+    """The model of all rows of train (text, lang), with a table that is large enough for them."""
+    while True:
+        model = filled(train, cell_bits)
+        if not (model.fill > MOST_FILL).any():
+            return model
+        if cell_bits >= MOST_BITS:
+            raise ValueError(f"a language fills {model.fill.max():.2f} of a table of 2^{cell_bits} cells")
+        cell_bits = min(MOST_BITS, cell_bits + 2)
+
+
+def filled(train: DataFrame, cell_bits: int) -> Model:
+    """Fills a table of 2^cell_bits cells with the n-grams of all rows of train."""
     rows = train.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
     # one row a language; both collects are bounded by the languages and the cells
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}

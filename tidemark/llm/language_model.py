@@ -196,7 +196,7 @@ def _ask(kind: int, block_id: int, keys: np.ndarray, n: np.ndarray, mass: np.nda
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
     """Batches in lists of about BLOCK_BYTES of text; a longer text stands alone."""
     held, size = [], 0
-    for batch in bounded(batches, limit=BLOCK_BYTES):
+    for batch in bounded(batches, limit=BLOCK_BYTES // 8):  # small pieces fill a block well
         n = batch.column("text").nbytes
         if held and size + n > BLOCK_BYTES:
             yield held

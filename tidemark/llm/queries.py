@@ -132,6 +132,17 @@ def _crc(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"
 
 
+#: The bytes of a text are the pairs of digits of its hexadecimal form.
+_BYTES_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(text), '..'), lambda h: CAST(concat('0x', h) AS BIGINT))), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"
+
+_OP6 = f"""
+WITH {_CRC_TABLE},
+d AS (SELECT doc_id, coalesce(text, '') AS text, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size FROM documents),
+c AS (SELECT doc_id, size, CAST({_BYTES_CRC} AS BIGINT) AS text_crc32 FROM d, tab),
+e AS (SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32) AS last, sum(size) OVER () AS whole FROM c),
+s AS (SELECT *, CAST(least((2 * last - size) * 16 // (2 * whole), 15) AS INTEGER) AS shard FROM e)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s"""
+
 _OP11 = f"""
 WITH {_CRC_TABLE},
 c AS (SELECT DISTINCT * FROM clicks WHERE ts IS NOT NULL AND client_id IS NOT NULL),
@@ -166,4 +177,4 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express; models, hashes of texts and searches have none."""
-    return {"op2_quality_cascade": _OP2, "op5_debruijn_dedup": _OP5, "op11_bitmap_retention": _OP11, "op12_walsh_filter_audit": _OP12}
+    return {"op2_quality_cascade": _OP2, "op5_debruijn_dedup": _OP5, "op6_byte_shards": _OP6, "op11_bitmap_retention": _OP11, "op12_walsh_filter_audit": _OP12}

@@ -242,7 +242,7 @@ def links(distinct: DataFrame, radius: int, masks: list[tuple[int, ...]], words:
     keyed = distinct.select(*columns, F.explode(keys).alias("key"))
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     if sparse:
-        dealt = keyed.join(counts.filter("n > 1"), "key")
+        dealt = keyed.join(materialize(counts.filter("n > 1"), "shared-keys"), "key")  # written, so that Spark can split a hot key
     else:  # few keys are so large that they are cut into tiles; written, so that Spark knows how few
         dealt = keyed.join(materialize(counts.filter(F.col("n") > TILE), "large-keys"), "key", "left")
     dealt = dealt.withColumn("tiles", F.expr(f"cast(1 + coalesce(n - 1, 0) div {TILE} as int)"))

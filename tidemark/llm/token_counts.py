@@ -58,7 +58,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             for batch in bounded(batches):
                 ids = batch.column("doc_id")
                 flat = b"".join(tok.encode_bytes(t or "") + end_id.to_bytes(4, "little") for t in batch.column("text").to_pylist())
-                out.write(np.frombuffer(flat, dtype="<u4").astype(f"<u{width}").tobytes())
+                tokens = np.frombuffer(flat, dtype="<u4")
+                if len(tokens) and int(tokens.max()) >= 1 << (8 * width):
+                    raise ValueError(f"token {tokens.max()} does not fit into {width} bytes")
+                if int((tokens == end_id).sum()) != len(ids):
+                    raise ValueError(f"a text holds the end token {end_id}")
+                out.write(tokens.astype(f"<u{width}").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids)), pa.array(np.arange(nth, nth + len(ids))), ids], ["file", "nth", "doc_id"])
                 nth += len(ids)
         store.move(held, f"{root}/{name}")
