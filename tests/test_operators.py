@@ -417,3 +417,11 @@ def test_chunk_html():
     long = page.replace("name x<", "name " + "z" * 300 + "<")
     assert "".join(X.chunk_html(long, 100)).count("z") == 300
     assert X.chunk_html("</b><p>" * 100, 50)[0].startswith("</b>")
+
+
+def test_the_whole_share_takes_all_rows(spark):
+    from tidemark.operators import samples
+
+    assert "ffffffff" < samples.below(1.0) and samples.below(0.5) == "80000000"
+    d = spark.range(500).withColumn("k", F.lit("a"))
+    assert samples.hash_sample(d, "id", 1.0, 3).count() == samples.hash_sample_by(d, "id", "k", {"a": 1.0}, 3).count() == 500

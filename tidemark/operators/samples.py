@@ -12,8 +12,8 @@ def hash_part(key: Column, seed: int) -> Column:
 
 
 def below(share: float) -> str:
-    """The hex digits that a share of all hash_part() values lies below."""
-    return f"{min(int(share * (1 << 32)), (1 << 32) - 1):08x}"
+    """The hex digits that a share of all hash_part() values lies below; of the whole share, a letter above them all."""
+    return f"{int(share * (1 << 32)):08x}" if share < 1 else "g"
 
 
 def hash_sample(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
