@@ -34,30 +34,29 @@ def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return placed.join(F.broadcast(bases), "_part").withColumn(name, F.col("_base") + F.row_number().over(inside)).drop("_part", "_base")
 
 
-def _first_full(chosen: DataFrame, capacity: dict[int, int], n: int) -> int | None:
-    """The least rank at which some hour reaches its capacity, found by counting in ever finer rank buckets."""
-    low, width, left = 1, n, dict(capacity)
+def _first_full(chosen: DataFrame, capacity: dict[int, int], low: int, high: int) -> tuple[int | None, dict[int, int]]:
+    """The least rank from low to high at which some hour reaches its capacity, and the users of each hour up to there.
+
+    Found by counting in ever finer rank buckets; None where no hour is filled.
+    """
+    width, seen = high - low + 1, dict.fromkeys(capacity, 0)
     while True:
         step = max(1, -(-width // BUCKETS))
-        part = chosen.filter(F.col("rank").between(low, low + width - 1) & F.col("hour").isin(list(left)))
-        got: dict[int, list[tuple[int, int]]] = {}
+        part = chosen.filter(F.col("rank").between(low, low + width - 1))
+        got: dict[int, dict[int, int]] = {}
         for r in part.groupBy("hour", F.expr(f"(rank - {low}) div {step}").alias("b")).count().collect():
-            got.setdefault(r["hour"], []).append((r["b"], r["count"]))
-        full: dict[int, tuple[int, int]] = {}
-        for hour, counts in got.items():
-            seen = 0
-            for b, k in sorted(counts):
-                if seen + k >= left[hour]:
-                    full[hour] = b, seen
-                    break
-                seen += k
-        if not full:
-            return None
-        first = min(b for b, _ in full.values())
-        if step == 1:
-            return low + first
-        left = {h: left[h] - seen for h, (b, seen) in full.items() if b == first}
-        low, width = low + first * step, step
+            got.setdefault(r["b"], {})[r["hour"]] = r["count"]
+        for b in sorted(got):
+            full = any(seen[h] + n >= capacity[h] for h, n in got[b].items())
+            if full and step > 1:
+                low, width = low + b * step, step
+                break
+            for h, n in got[b].items():
+                seen[h] += n
+            if full:
+                return low + b, seen
+        else:
+            return None, seen
 
 
 def greedy_allocation(scores: DataFrame, capacity: dict[int, int]) -> DataFrame:
@@ -67,31 +66,35 @@ def greedy_allocation(scores: DataFrame, capacity: dict[int, int]) -> DataFrame:
     user ascending, hour ascending. Equal to the serial loop, in at most
     len(capacity) + 1 phases: all users up to the first rank that fills an hour are
     final, and only the full hours change what the others choose.
+
+    A user is one row with the options in order, written once. A phase only counts what
+    that row gives with the hours still open; the result is one pass over the rows in
+    which each user's phase tells the open hours.
     """
-    spark = scores.sparkSession
     room = {h: c for h, c in capacity.items() if c > 0}
-    options = scores.filter(F.col("score").isNotNull() & F.col("hour").isin(list(room))).select("user", "hour", "score")
+    known = scores.filter(F.col("score").isNotNull())
     # the order comes from all hours, those without room included
-    best = scores.filter(F.col("score").isNotNull()).groupBy("user").agg(F.max("score").alias("best"))
-    ranked = global_rank(best, [F.desc("best"), F.asc("user")], "rank").select("user", "rank")
-    active = cut_lineage(options.join(ranked, "user"))
-    n = ranked.count()
-    done: DataFrame | None = None
-    while room and n:
-        pick = F.max(F.struct("score", (-F.col("hour")).alias("h"))).alias("p")
-        chosen = cut_lineage(active.filter(F.col("hour").isin(list(room))).groupBy("user", "rank").agg(pick).select("user", "rank", (-F.col("p.h")).alias("hour"), F.col("p.score").alias("score")))
-        stop = _first_full(chosen, room, n)
-        final = chosen if stop is None else chosen.filter(F.col("rank") <= stop)
-        done = final if done is None else done.unionByName(final)
+    entry = F.when(F.col("hour").isin(list(room)), F.struct((-F.col("score")).alias("cost"), F.col("hour").alias("hour"), F.col("score").alias("score")))
+    users = known.groupBy("user").agg(F.max("score").alias("best"), F.array_sort(F.collect_list(entry)).alias("o"))
+    base = cut_lineage(global_rank(users, [F.desc("best"), F.asc("user")], "rank").select("user", "rank", "o"))
+    n, low = base.count(), 1
+    first = lambda hours: F.get(F.filter("o", lambda x: x["hour"].isin(hours)), F.lit(0))
+    phases: list[tuple[int, list[int]]] = []
+    while room and low <= n:
+        hours = sorted(room)
+        chosen = base.filter(F.col("rank") >= low).select("rank", first(hours)["hour"].alias("hour")).filter("hour is not null")
+        stop, used = _first_full(chosen, room, low, n)
+        phases.append((n if stop is None else stop, hours))
         if stop is None:
             break
-        for r in final.groupBy("hour").count().collect():
-            room[r["hour"]] -= r["count"]
-        room = {h: c for h, c in room.items() if c > 0}
-        active = active.filter(F.col("rank") > stop)
-    if done is None:
-        return spark.createDataFrame([], scores.select("user", "hour", "score").schema)
-    return done.select("user", "hour", "score")
+        room = {h: c - used[h] for h, c in room.items() if c > used[h]}
+        low = stop + 1
+    if not phases:
+        return scores.sparkSession.createDataFrame([], scores.select("user", "hour", "score").schema)
+    pick = F.lit(None)
+    for stop, hours in reversed(phases):
+        pick = F.when(F.col("rank") <= stop, first(hours)).otherwise(pick)
+    return base.select("user", pick.alias("p")).filter("p is not null").select("user", "p.hour", "p.score")
 
 
 def batched_allocation(scores: DataFrame, capacity: dict[int, int], batch: int) -> DataFrame:

@@ -30,3 +30,19 @@ def hash_sample_by(df: DataFrame, key: str, label: str, shares: dict[str, float]
 def suffix(column: Column, n: int = 1) -> Column:
     """The last n characters, by which tables are dealt into shards."""
     return F.right(column.cast("string"), F.lit(n))
+
+
+def unprocessed_sample(df: DataFrame, done: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n rows, at most, whose key done does not have: those with the least hashes of seed and key."""
+    left = df.join(done.select(key).distinct(), key, "left_anti")
+    return left.orderBy(hash_part(F.col(key), seed), key).limit(n)
+
+
+def seeded_split(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
+    """df with ``part``: 'train' for about that share of the keys, else 'test'; rows of one key stay together."""
+    return df.withColumn("part", F.when(hash_part(F.col(key), seed) < below(share), "train").otherwise("test"))
+
+
+def fold_of(key: Column, folds: int, seed: int) -> Column:
+    """A fold from 0, from the hash of seed and key."""
+    return (F.conv(hash_part(key, seed), 16, 10).cast("long") % folds).cast("int")

@@ -11,7 +11,7 @@ from tidemark.plans.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "q_response_fold"
-_MODULES = ["response", "relational", "metrics", "allocation", "messages", "similarity", "graphs", "learning", "storage", "events_stream", "results", "further", "advanced"]
+_MODULES = ["response", "relational", "metrics", "allocation", "messages", "similarity", "graphs", "learning", "storage", "events_stream", "results", "further", "advanced", "records"]
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
