@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.pages import capture
 from tidemark.operators import samples
-from tidemark.operators.matching import best_aliases, items_of
+from tidemark.operators.matching import best_aliases, items_of, one_to_one_pairs
 from tidemark.plans import registry
+from tidemark.sources import files
 
 
 def test_page_capture(spark):
@@ -94,3 +95,29 @@ def test_seeded_samples(spark):
     assert split.groupBy("k").agg(F.count_distinct("part").alias("n")).filter("n > 1").isEmpty()
     assert split.filter("part = 'train'").count() / 4000 == pytest.approx(0.25, abs=0.04)
     assert {r.f for r in df.select(samples.fold_of(F.col("k"), 4, 1).alias("f")).distinct().collect()} == {0, 1, 2, 3}
+
+
+def test_pairs_equal_the_serial_greedy(spark):
+    r = random.Random(5)
+    rows = [(f"a{r.randint(0, 20)}", f"b{r.randint(0, 20)}", r.randint(0, 10) / 10) for _ in range(150)] + [(None, "b1", 1.0), ("a1", None, 1.0), ("a1", "b1", None)]
+    got = sorted(map(tuple, one_to_one_pairs(spark.createDataFrame(rows, "x string, y string, s double"), "x", "y", "s", 0.4).collect()))
+    best, used, want = {}, set(), []
+    for x, y, s in rows:
+        if x and y and s is not None and s >= 0.4:
+            best[x, y] = max(best.get((x, y), 0), s)
+    for (x, y), s in sorted(best.items(), key=lambda k: (-k[1], k[0])):
+        if not {("x", x), ("y", y)} & used:
+            used |= {("x", x), ("y", y)}
+            want.append((x, y, s))
+    assert got == sorted(want) and len(want) > 10
+    assert one_to_one_pairs(spark.createDataFrame([], "x string, y string, s double"), "x", "y", "s").count() == 0
+
+
+def test_exports(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", 2.0), (2, None, 3.0)], "id int, name string, price double")
+    files.export_json(df, f"file://{tmp_path}/j", base={"kind": F.lit("x")})
+    lines = sorted(x for f in tmp_path.glob("j/part-*") for x in f.read_text().splitlines())
+    assert lines == ['{"id":1,"name":"a","kind":"x"}', '{"id":2,"name":null,"kind":"x"}']
+    rows = spark.createDataFrame([(1, 5), (2, None), (3, 9), (4, 9)], "id int, at int")
+    assert [x.id for x in files.latest(rows, "at", 3, tie="id").collect()] == [4, 3, 1]
+    assert [x.id for x in files.latest(rows, "at", 3, F.col("id") < 3).collect()] == [1, 2]

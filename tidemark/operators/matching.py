@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.allocation import cut_lineage
+
 # How close to the best length ratio and score a contained alias must come, and a merely similar one.
 LENGTH_SHARE, CONTAINED_SHARE, SIMILAR_SHARE = 0.7, 0.9, 0.85
 MANY, FEW = 5, 3
@@ -49,3 +51,25 @@ def items_of(matches: DataFrame, items: DataFrame, reached: DataFrame, entity: s
     kept = named.withColumn("_some", F.max("_direct").over(Window.partitionBy(entity, alias))).filter("_direct or not _some").drop("_some")
     first = F.row_number().over(Window.partitionBy(entity, "item_nm", "item_id").orderBy(F.desc("score"), alias))
     return kept.withColumn("_n", first).filter("_n = 1").drop("_n", "_name", "_direct")
+
+
+def one_to_one_pairs(scored: DataFrame, left: str, right: str, score: str = "score", least: float = 0.5, max_rounds: int = 1000) -> DataFrame:
+    """Greedy one-to-one pairs by falling score, ties by left, then right; each value is used once.
+
+    A pair that is the best one left for both of its sides is what the serial greedy takes
+    before it looks at anything else of theirs. So a round takes all such pairs at once and
+    drops their sides' other rows; rounds go on until no row is left.
+    """
+    live = cut_lineage(scored.filter((F.col(score) >= least) & F.col(left).isNotNull() & F.col(right).isNotNull()).groupBy(left, right).agg(F.max(score).alias(score)))
+    done = live.limit(0)
+    for _ in range(max_rounds):
+        key = F.struct((-F.col(score)).alias("s"), F.col(left).alias("a"), F.col(right).alias("b"))
+        best = lambda c: live.groupBy(c).agg(F.min(key).alias(f"_{c}"))
+        # a pair that both sides name is among the left sides' best and among the right sides' best
+        mutual = best(left).select(F.col(f"_{left}").alias("k")).join(best(right).select(F.col(f"_{right}").alias("k")), "k").select(F.col("k.a").alias(left), F.col("k.b").alias(right), (-F.col("k.s")).alias(score))
+        taken = cut_lineage(mutual)
+        if taken.isEmpty():
+            return done
+        done = done.unionByName(taken)
+        live = cut_lineage(live.join(taken.select(left), left, "left_anti").join(taken.select(right), right, "left_anti"))
+    raise RuntimeError(f"pairs are left after {max_rounds} rounds")

@@ -13,8 +13,9 @@ from tidemark.functions.pages import capture
 from tidemark.operators import samples
 from tidemark.operators.allocation import global_rank
 from tidemark.operators.blocking import candidates
-from tidemark.operators.matching import best_aliases, items_of
+from tidemark.operators.matching import best_aliases, items_of, one_to_one_pairs
 from tidemark.plans.registry import Tables, query
+from tidemark.sources.files import latest
 
 # pages
 
@@ -71,6 +72,18 @@ def q_product_items(t: Tables) -> DataFrame:
     return items_of(best_aliases(scored, 0.4), _aliases(t), reached)
 
 
+@query()
+def q_greedy_pairs(t: Tables) -> DataFrame:
+    """Entities and aliases paired one to one by falling score, over all of them."""
+    return one_to_one_pairs(_scored(t), "entity", "alias", least=0.3)
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE event_type = 'error' AND value > 10 ORDER BY ts DESC NULLS LAST, event_id DESC LIMIT 25")
+def q_latest_errors(t: Tables) -> DataFrame:
+    """The latest errors above a value, as a document store would find them."""
+    return latest(t.events, "ts", 25, (F.col("event_type") == "error") & (F.col("value") > 10), "event_id").select("event_id", "user_id", "value")
+
+
 # samples and splits
 
 _HASH = "substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 8)"

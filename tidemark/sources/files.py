@@ -77,6 +77,20 @@ def export_csv(df: DataFrame, path: str, drop: tuple[str, ...] = ("price",), bas
     df.drop(*drop).write.mode("overwrite").option("header", True).csv(path)
 
 
+def export_json(df: DataFrame, path: str, drop: tuple[str, ...] = ("price",), base: dict[str, Column] | None = None) -> None:
+    """Records as JSON lines, nulls included; drops the named columns and adds missing base columns."""
+    for name, default in (base or {}).items():
+        if name not in df.columns:
+            df = df.withColumn(name, default)
+    df.drop(*drop).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def latest(df: DataFrame, at: str, n: int, where: Column | None = None, tie: str | None = None) -> DataFrame:
+    """The n latest records that meet a condition, the latest first; rows without a time come last."""
+    kept = df if where is None else df.filter(where)
+    return kept.orderBy(F.desc_nulls_last(at), *([F.desc(tie)] if tie else [])).limit(n)
+
+
 def append_results(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).csv(path)
 
