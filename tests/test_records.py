@@ -121,3 +121,10 @@ def test_exports(spark, tmp_path):
     rows = spark.createDataFrame([(1, 5), (2, None), (3, 9), (4, 9)], "id int, at int")
     assert [x.id for x in files.latest(rows, "at", 3, tie="id").collect()] == [4, 3, 1]
     assert [x.id for x in files.latest(rows, "at", 3, F.col("id") < 3).collect()] == [1, 2]
+
+
+def test_sampled_pipelines_score_all_rows(spark, sf_dir):
+    rows = registry.queries()["q_sampled_pipelines"](spark, sf_dir).collect()
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    assert {(r.user_id, r.send_hour) for r in rows} == {(r.user_id, r.h) for r in events.select("user_id", F.hour("ts").alias("h")).distinct().collect()}
+    assert all(0 <= r.prob_click <= 1 and 0 <= r.prob_gap <= 1 and r.propensity_score == pytest.approx(r.prob_click * r.prob_gap, abs=1e-3) for r in rows)

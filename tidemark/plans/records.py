@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from tidemark.functions import similarity as S
 from tidemark.functions import text as X
 from tidemark.functions.pages import capture
+from tidemark.operators import pipelines as P
 from tidemark.operators import samples
-from tidemark.operators.allocation import global_rank
+from tidemark.operators.allocation import cut_lineage, global_rank
 from tidemark.operators.blocking import candidates
 from tidemark.operators.matching import best_aliases, items_of, one_to_one_pairs
+from tidemark.plans.learning import rows
 from tidemark.plans.registry import Tables, query
 from tidemark.sources.files import latest
 
@@ -84,6 +86,44 @@ def q_latest_errors(t: Tables) -> DataFrame:
     return latest(t.events, "ts", 25, (F.col("event_type") == "error") & (F.col("value") > 10), "event_id").select("event_id", "user_id", "value")
 
 
+_HOURS = "(SELECT user_id, event_type AS m, list_sort(list_distinct(list(hour(ts)))) AS hs, count(*) AS n FROM events WHERE event_type IN ('view', 'click', 'purchase') AND user_id IS NOT NULL GROUP BY 1, 2)"
+
+
+@query(f"""WITH s AS {_HOURS}, g AS (SELECT user_id FROM s GROUP BY 1 HAVING count(*) = 3 AND sum(n) >= 40),
+p AS (SELECT a.user_id, len(list_intersect(a.hs, b.hs)) * 1.0 / len(list_distinct(list_concat(a.hs, b.hs))) AS j FROM s a JOIN s b ON a.user_id = b.user_id AND a.m < b.m)
+SELECT user_id, round(avg(j), 6)::DOUBLE AS agreement, CASE WHEN avg(j) >= 0.7 THEN 'A' WHEN avg(j) >= 0.5 THEN 'B' ELSE 'C' END AS grade FROM p JOIN g USING (user_id) GROUP BY 1 HAVING avg(j) >= 0.4""")
+def q_consensus_truth(t: Tables) -> DataFrame:
+    """Records on which all three sources gave an answer, of enough length, and agree on average; with a grade.
+
+    A record's three answers meet in one row of one aggregation, so there is no self-join.
+    """
+    kinds = ("view", "click", "purchase")
+    e = t.events.filter(F.col("event_type").isin(*kinds) & F.col("user_id").isNotNull()).withColumn("h", F.hour("ts"))
+    sets = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), *[F.collect_set(F.when(F.col("event_type") == k, F.col("h"))).alias(k) for k in kinds])
+    whole = sets.filter((F.col("n") >= 40) & (F.size("view") > 0) & (F.size("click") > 0) & (F.size("purchase") > 0))
+    pairs = [S.jaccard(F.col(a), F.col(b)) for i, a in enumerate(kinds) for b in kinds[i + 1 :]]
+    mean = whole.select("user_id", (sum(pairs[1:], pairs[0]) / len(pairs)).alias("j")).filter("j >= 0.4")
+    return mean.select("user_id", F.round("j", 6).alias("agreement"), F.when(F.col("j") >= 0.7, "A").when(F.col("j") >= 0.5, "B").otherwise("C").alias("grade"))
+
+
+@query()
+def q_sampled_pipelines(t: Tables) -> DataFrame:
+    """Two feature pipelines fitted on seeded samples, the second on what the first gives, then applied to all rows.
+
+    The click model's features and probability are inputs of the gap model; both probabilities come out.
+    """
+    df = rows(t).withColumn("fast", (F.col("utility") > 50).cast("int"))
+    sample = lambda d, seed: samples.hash_sample(d, "user_id", 0.5, seed)
+    inputs = df.select("last_cd", "traffic_amt", "event_cnt")
+    first = P.feature_pipeline(inputs, scale=False).fit(sample(df, 1))
+    clicked = first.transform(df)
+    click = P.score(P.classifier("gbt", "label", iterations=3, depth=2).fit(first.transform(sample(df, 1))), clicked, "prob_click")
+    again = cut_lineage(click.select("user_id", "send_hour", "fast", "last_cd", "traffic_amt", "event_cnt", "prob_click").withColumn("prob_click_score", F.col("prob_click").cast("float")))
+    second = P.feature_pipeline(again.select("last_cd", "traffic_amt", "event_cnt", "prob_click_score"), scale=False).fit(sample(again, 2))
+    gap = P.score(P.classifier("gbt", "fast", iterations=3, depth=2).fit(second.transform(sample(again, 2))), second.transform(again), "prob_gap")
+    return gap.select("user_id", "send_hour", F.round("prob_click", 4).alias("prob_click"), F.round("prob_gap", 4).alias("prob_gap"), F.round(F.col("prob_click") * F.col("prob_gap"), 4).alias("propensity_score"))
+
+
 # samples and splits
 
 _HASH = "substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 8)"
