@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.pages import capture
-from tidemark.operators import samples
+from tidemark.operators import pipelines, samples
 from tidemark.operators.matching import best_aliases, items_of, one_to_one_pairs
 from tidemark.plans import registry
 from tidemark.sources import files
@@ -128,3 +128,25 @@ def test_sampled_pipelines_score_all_rows(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     assert {(r.user_id, r.send_hour) for r in rows} == {(r.user_id, r.h) for r in events.select("user_id", F.hour("ts").alias("h")).distinct().collect()}
     assert all(0 <= r.prob_click <= 1 and 0 <= r.prob_gap <= 1 and r.propensity_score == pytest.approx(r.prob_click * r.prob_gap, abs=1e-3) for r in rows)
+
+
+def test_columns_are_normalized(spark):
+    df = spark.createDataFrame([(1, 2)], "`A ` int, Bc int")
+    assert files.normalized(df, {"d": F.lit(3), "a": F.lit(9)}).first().asDict() == {"a": 1, "bc": 2, "d": 3}
+    with pytest.raises(ValueError, match="case"):
+        files.normalized(spark.createDataFrame([(1, 2)], "a int, ` A` int"))
+
+
+def test_results_paths_and_models(spark, tmp_path):
+    assert files.versioned_path("/data/", "model", "202401", "202403") == "/data/model_202401_202403"
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    for _ in range(2):  # the file is made, then appended to
+        files.append_results(df, f"file://{tmp_path}/r")
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/r").count() == 4
+    data = spark.createDataFrame([(float(i % 5), ["u", "v"][i % 2], i % 2) for i in range(40)], "x_amt float, k_cd string, y int")
+    model = pipelines.feature_pipeline(data.select("x_amt", "k_cd"), scale=False).fit(data)
+    path = f"file://{tmp_path}/model"
+    pipelines.save_model(model, path)
+    pipelines.save_model(model, path)  # overwrites
+    want = [r.features for r in model.transform(data).select("features").collect()]
+    assert [r.features for r in pipelines.load_model(path).transform(data).select("features").collect()] == want

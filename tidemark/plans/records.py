@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import similarity as S
 from tidemark.functions import text as X
 from tidemark.functions.pages import capture
+from tidemark.operators import aliases as A
 from tidemark.operators import pipelines as P
 from tidemark.operators import samples
 from tidemark.operators.allocation import cut_lineage, global_rank
@@ -17,7 +18,7 @@ from tidemark.operators.blocking import candidates
 from tidemark.operators.matching import best_aliases, items_of, one_to_one_pairs
 from tidemark.plans.learning import rows
 from tidemark.plans.registry import Tables, query
-from tidemark.sources.files import latest
+from tidemark.sources.files import latest, normalized
 
 # pages
 
@@ -124,6 +125,38 @@ def q_sampled_pipelines(t: Tables) -> DataFrame:
     return gap.select("user_id", "send_hour", F.round("prob_click", 4).alias("prob_click"), F.round("prob_gap", 4).alias("prob_gap"), F.round(F.col("prob_click") * F.col("prob_gap"), 4).alias("propensity_score"))
 
 
+_RULE = "(SELECT DISTINCT name, brand, size % 2 = 0 AS two_way FROM items WHERE name IS NOT NULL AND brand IS NOT NULL AND size IS NOT NULL)"
+_SPLIT = f"(SELECT unnest([name, upper(name)]) AS alias_1, brand AS alias_2, 'S' AS case_1, 'I' AS case_2, two_way FROM {_RULE})"
+
+
+@query(f"SELECT DISTINCT alias_1, alias_2, case_1, case_2 FROM (SELECT alias_1, alias_2, case_1, case_2 FROM {_SPLIT} UNION ALL SELECT alias_2, alias_1, case_2, case_1 FROM {_SPLIT} WHERE two_way)")
+def q_alias_rules(t: Tables) -> DataFrame:
+    """Rules from all items: alternatives are split, missing case marks filled, and rules of direction B swapped with their marks."""
+    i = t.items.filter("name is not null and brand is not null and size is not null")
+    rules = i.select(
+        F.concat_ws("&&", F.col("name"), F.upper("name")).alias("alias_1"), F.col("brand").alias("alias_2"),
+        F.lit(None).cast("string").alias("case_1"), F.lit("I").alias("case_2"), F.when(F.col("size") % 2 == 0, "B").otherwise("U").alias("direction"),
+    )
+    return A.both_ways(A.explode_rules(rules.distinct())).select("alias_1", "alias_2", "case_1", "case_2").distinct()
+
+
+@query("SELECT user_id, count(*) AS n_rows, count(DISTINCT (event_type, hour(ts))) AS n_records, string_agg(DISTINCT event_type || ':' || CAST(hour(ts) AS VARCHAR), ',' ORDER BY event_type || ':' || CAST(hour(ts) AS VARCHAR)) AS records FROM events WHERE user_id IS NOT NULL GROUP BY 1")
+def q_dedup_records(t: Tables) -> DataFrame:
+    """Each user's list of records without its repeats."""
+    record = F.struct("event_type", F.hour("ts").alias("h"))
+    g = t.events.filter("user_id is not null").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_rows"), F.collect_set(record).alias("r"))
+    named = F.array_sort(F.transform("r", lambda x: F.concat_ws(":", x["event_type"], x["h"].cast("string"))))
+    return g.select("user_id", "n_rows", F.size("r").cast("long").alias("n_records"), F.array_join(named, ",").alias("records"))
+
+
+@query("SELECT vendor_id, name, 'N' AS del_yn, coalesce(CAST(nation_id AS VARCHAR), 'none') AS nation FROM vendors")
+def q_normalized_columns(t: Tables) -> DataFrame:
+    """Columns in other cases and with blanks, lower-cased, with a default column added."""
+    odd = t.vendors.select(F.col("vendor_id").alias("VENDOR_ID "), F.col("name").alias("Name"), F.col("nation_id").alias("Nation_ID"))
+    df = normalized(odd, {"del_yn": F.lit("N"), "name": F.lit("never")})
+    return df.select("vendor_id", "name", "del_yn", F.coalesce(F.col("nation_id").cast("string"), F.lit("none")).alias("nation"))
+
+
 # samples and splits
 
 _HASH = "substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 8)"

@@ -37,6 +37,15 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return df.select(pick(("message_id", "msg_id", "id")).alias("message_id"), pick(("message", "msg", "text", "mms_phrs")).alias("message"))
 
 
+def normalized(df: DataFrame, defaults: dict[str, Column] | None = None) -> DataFrame:
+    """df with trimmed lower-case column names, and with the default columns that it lacks. Names that then clash raise."""
+    names = [c.strip().lower() for c in df.columns]
+    if len(set(names)) < len(names):
+        raise ValueError(f"columns that differ only in case or blanks: {sorted(n for n in names if names.count(n) > 1)}")
+    out = df.toDF(*names)
+    return out.withColumns({n: c for n, c in (defaults or {}).items() if n not in names})
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, where: str | None = None, **options) -> DataFrame:
     """A database table; the filter is pushed down."""
     df = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
