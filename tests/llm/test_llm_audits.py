@@ -120,7 +120,7 @@ def audit_by_loop(rows, labels):
     for d, t, _, part, _ in rows:
         same = any(x[0] is not None and d is not None and x[0] < d and (x[1] or "") == (t or "") for x in rows)
         failed = "".join(c for c, f in zip("ABCDE", [*fails(t), same]) if f)
-        good, toxic = (any(x == d and y[k] == 1 for x, *y in labels) for k in (0, 1))
+        good, toxic = (any(x is not None and x == d and y[k] == 1 for x, *y in labels) for k in (0, 1))
         for order in permutations("ABCDE"):
             gone = False
             for step, c in enumerate(order, 1):
