@@ -28,11 +28,11 @@ def plain(v):
 def test_oracle(spark, duck, sf_dir, name):
     df = registry.queries()[name](spark, sf_dir)
     names = sorted(df.columns)
-    mine = sorted(tuple(map(plain, r)) for r in df.select(*names).collect())
+    mine = sorted((tuple(map(plain, r)) for r in df.select(*names).collect()), key=repr)
     theirs = duck.sql(registry.oracle_sql()[name])
     assert sorted(theirs.columns) == names
     rows = theirs.select(*[f'"{n}"' for n in names]).fetchall()
-    assert mine == sorted(tuple(map(plain, r)) for r in rows)
+    assert mine == sorted((tuple(map(plain, r)) for r in rows), key=repr)
 
 
 def test_entry_runs(spark):
