@@ -1,6 +1,7 @@
 """Page records, the product match cascade, hashed terms and seeded samples against plain loops."""
 
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,3 +151,12 @@ def test_results_paths_and_models(spark, tmp_path):
     pipelines.save_model(model, path)  # overwrites
     want = [r.features for r in model.transform(data).select("features").collect()]
     assert [r.features for r in pipelines.load_model(path).transform(data).select("features").collect()] == want
+
+
+def test_consensus_sums_in_the_order_of_names(spark, tmp_path):
+    """A mean of exactly 0.4, which rounds up for one user and down for the other, and the other way in another order."""
+    kinds = {"c": "click", "p": "purchase", "v": "view"}
+    shared = {1: ["cpv", *["pv"] * 4, "v"], 2: ["cpv", *["pv"] * 4, *["c"] * 5]}
+    rows = [(u, kinds[k], datetime(2024, 1, d, h)) for u, hours in shared.items() for h, ks in enumerate(hours) for k in ks for d in range(1, 6)]
+    spark.createDataFrame(rows, "user_id long, event_type string, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in registry.queries()["q_consensus_truth"](spark, str(tmp_path)).collect()] == [(1, 0.4, "C")]
