@@ -160,3 +160,10 @@ def test_consensus_sums_in_the_order_of_names(spark, tmp_path):
     rows = [(u, kinds[k], datetime(2024, 1, d, h)) for u, hours in shared.items() for h, ks in enumerate(hours) for k in ks for d in range(1, 6)]
     spark.createDataFrame(rows, "user_id long, event_type string, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
     assert [tuple(r) for r in registry.queries()["q_consensus_truth"](spark, str(tmp_path)).collect()] == [(1, 0.4, "C")]
+
+
+@pytest.mark.parametrize("first,last,months", [("2023-01-31", "2023-02-28", 1), ("2023-01-29", "2023-02-28", 1), ("2023-01-30", "2023-02-27", 0), ("2024-01-30", "2024-02-28", 0), ("2023-02-28", "2023-03-30", 1), ("2022-12-15", "2023-03-14", 2)])
+def test_last_day_completes_a_month(spark, tmp_path, first, last, months):
+    rows = [(1, datetime.fromisoformat(x)) for x in (first, last)]
+    spark.createDataFrame(rows, "client_id long, sold_at timestamp").write.parquet(f"{tmp_path}/sales.parquet")
+    assert [tuple(r) for r in registry.queries()["q_months_between"](spark, str(tmp_path)).collect()] == [(1, months)]

@@ -269,10 +269,13 @@ def q_hashing_tf_buckets(t: Tables) -> DataFrame:
 @query("""SELECT client_id, CAST(datediff('month', first, last) - CASE WHEN day(last) < day(first) AND NOT (last = last_day(last)) THEN 1 ELSE 0 END AS BIGINT) AS whole_months FROM
 (SELECT client_id, min(CAST(sold_at AS DATE)) AS first, max(CAST(sold_at AS DATE)) AS last FROM sales WHERE client_id IS NOT NULL AND sold_at IS NOT NULL GROUP BY 1)""")
 def q_months_between(t: Tables) -> DataFrame:
-    """Whole months between a client's first and last sale; two last days of months are whole months apart."""
+    """Whole months between a client's first and last sale; the last day of a month completes one whatever the first day was."""
     s = t.sales.filter("client_id is not null and sold_at is not null").withColumn("d", F.to_date("sold_at"))
     g = s.groupBy("client_id").agg(F.min("d").alias("first"), F.max("d").alias("last"))
-    return g.select("client_id", F.floor(F.months_between("last", "first")).alias("whole_months"))
+    # months_between takes a month's last day for a whole month only where the first day is one too
+    months = 12 * (F.year("last") - F.year("first")) + F.month("last") - F.month("first")
+    short = (F.day("last") < F.day("first")) & (F.col("last") != F.last_day("last"))
+    return g.select("client_id", (months - short.cast("int")).cast("long").alias("whole_months"))
 
 
 @query("SELECT coalesce(CAST(conv_id AS VARCHAR), 'row') || '-' || CAST(turn AS VARCHAR) AS message_id, count(*) OVER (PARTITION BY conv_id) AS n_turns FROM conversations WHERE trim(coalesce(text, '')) <> ''")
