@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemark.functions import similarity as S
@@ -183,6 +184,55 @@ def test_sessions_restart_from_the_checkpoint(spark, tmp_path):
     assert got == want and len(want) > 20
 
 
+class HeldState:
+    """A handle, its list state and the timer's values, which count what is written."""
+
+    def __init__(self):
+        self.rows, self.timers, self.writes, self.watermark = [], set(), 0, 0
+
+    def getListState(self, name, schema):
+        return self
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows, self.writes = list(rows), self.writes + 1
+
+    def clear(self):
+        self.put([])
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sessions_read_a_users_state_once_a_batch(seed):
+    """Many sessions of one user in few batches: the state is written twice a batch at most, and no session stays behind."""
+    r, held, out = random.Random(seed), HeldState(), []
+    sessions = stateful.Sessions(1000)
+    sessions.init(held)
+    times = sorted(r.randint(0, 2_000_000) for _ in range(1500))
+    for k in range(0, 1500, 300):
+        part = r.sample(times[k : k + 300], 300)
+        assert list(sessions.handleInputRows((1,), iter([Row(user_id=1, ts=None, ms=ms, value=1.0) for ms in part]), held)) == []
+        held.watermark = max(times[: k + 300]) - 500 if k < 1200 else 3_000_000
+        while due := [t for t in held.timers if t <= held.watermark]:
+            held.timers.remove(min(due))
+            out += [tuple(x) for x in sessions.handleExpiredTimer((1,), held, held)]
+    want = stateful.merge_sessions([(ms, ms, 1, 1.0) for ms in times], 1000)
+    assert sorted(x[1:] for x in out) == want and len(want) > 300 and held.rows == []
+    assert held.writes <= 10
+
+
 def test_sessions_merge_in_any_order():
     assert stateful.merge_sessions([(50, 60, 1, 1.0), (0, 10, 2, 2.0), (55, 58, 1, 0.5), (15, 40, 1, 1.0)], 10) == [(0, 40, 3, 3.0), (50, 60, 2, 1.5)][:0] + [(0, 40, 3, 3.0), (50, 60, 2, 1.5)]
 
