@@ -425,3 +425,31 @@ def test_the_whole_share_takes_all_rows(spark):
     assert "ffffffff" < samples.below(1.0) and samples.below(0.5) == "80000000"
     d = spark.range(500).withColumn("k", F.lit("a"))
     assert samples.hash_sample(d, "id", 1.0, 3).count() == samples.hash_sample_by(d, "id", "k", {"a": 1.0}, 3).count() == 500
+
+
+def test_nearest_rows_shuffle_no_pairs(spark, monkeypatch):
+    """Several blocks, copies that tie, rows without a shared word: as by all pairs; what leaves the blocks is a few rows a query, not one a pair."""
+    from tidemark.operators import nearest as N
+
+    monkeypatch.setattr(N, "ROW_BLOCK", 60)
+    monkeypatch.setattr(N, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(N, "PAIRS", 200)
+    r = random.Random(4)
+    texts = [sorted(r.sample("abcdefghijklmnop", r.randint(1, 6))) for _ in range(150)] + [["a", "b", "c"]] * 40 + [["z"], ["y"]] * 5
+    rows = [(i, w, [float(r.randint(1, 3)) if i < 150 else 1.0 for _ in w]) for i, w in enumerate(texts)]
+    rows = [(i, w, x, sum(v * v for v in x) ** 0.5) for i, w, x in rows]
+    df = spark.createDataFrame(rows, "id long, words array<string>, x array<double>, size double")
+    queries = df.filter("id % 4 = 0")
+    got = N.nearest(df, queries, len(rows), queries.count(), 3).collect()
+    assert len(got) <= 3 * 4 * queries.count() < len(rows) * queries.count() / 10
+    for q, w, x, size in rows[::4]:
+        mine = dict(zip(w, x))
+        every = [(-round(sum(mine.get(a, 0.0) * b for a, b in zip(dw, dx)) / (size * ds), 9), d) for d, dw, dx, ds in rows if d != q and set(dw) & set(w)]
+        assert sorted((-g.rank_sim, g.d) for g in got if g.q == q)[:3] == [(pytest.approx(s), d) for s, d in sorted(every)[:3]]
+
+
+def test_tfidf_top_makes_no_row_a_pair(spark, sf_dir):
+    from tidemark.plans import registry
+
+    plan = registry.queries()["q_tfidf_topk"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "Join" not in plan
