@@ -453,3 +453,18 @@ def test_tfidf_top_makes_no_row_a_pair(spark, sf_dir):
 
     plan = registry.queries()["q_tfidf_topk"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "CoGroup" in plan and "Join" not in plan
+
+
+def test_section_lines_name_the_text_once(spark):
+    """The split text and the header's place are each worked out once, so the plan stays small and no pattern stands in it twice."""
+    shown = spark.createDataFrame([("## DAG",)], "t string").select(graph.section_lines(F.col("t")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("split(") == 1
+    assert all(shown.count(f"(?i){h}") == 1 for h in graph.SECTION_HEADERS)
+
+
+@pytest.mark.parametrize("lines", [["2. 추출된 DAG ## dag", "## DAG", "(a:b)"], ["추출된DAG", "x", "### 2. 추출된 DAG", "(b:c)"], ["##  dag", "", "", "", "```", "(x)", "```"], ["## DAG", "", "```", "(x)"]])
+def test_section_lines_of_two_headers(spark, lines):
+    """The best header of any line decides, also where a line has two; an open fence ends with the text, a late one is text."""
+    want = {"2. 추출된 DAG ## dag": ["## DAG", "(a:b)"], "추출된DAG": ["(b:c)"], "##  dag": ["```", "(x)", "```"], "## DAG": ["(x)"]}[lines[0]]
+    got = spark.createDataFrame([("\n".join(lines),)], "t string").select(graph.section_lines(F.col("t")).alias("x")).first().x
+    assert got == want

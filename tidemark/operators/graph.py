@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +26,9 @@ SECTION_HEADERS = (
 SECTION_END = r"^#{2,3}\s*[3-9]\."
 
 
-def _first(lines: Column, pattern: str) -> Column:
-    """Position of the first line with the pattern; 0 if none has it."""
-    return F.array_position(F.transform(lines, lambda x: x.rlike(pattern)), True)
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is worked out once a row however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _until(lines: Column, at: Column) -> Column:
@@ -34,6 +36,14 @@ def _until(lines: Column, at: Column) -> Column:
     return F.when(at > 0, F.slice(lines, 1, at - 1)).otherwise(lines)
 
 
+def _header_rank(line: Column) -> Column:
+    """The place in SECTION_HEADERS of the first header that the line has; null if it has none."""
+    rank = F.lit(None).cast("int")
+    for k in reversed(range(len(SECTION_HEADERS))):
+        rank = F.when(line.rlike(f"(?i){SECTION_HEADERS[k]}"), k).otherwise(rank)
+    return F.when(line.rlike("(?i)DAG"), rank)
+
+
 def section_lines(text: Column) -> Column:
     """The lines of a text's graph section in their order, trimmed, blank ones left out.
 
@@ -42,14 +52,24 @@ def section_lines(text: Column) -> Column:
     header from 3 on does, or the end. Without a header all edge, node and comment
     lines count. Null text gives null.
     """
+
+    def fenced(rest: Column) -> Column:
+        inner = F.slice(rest, F.array_position(rest, "```") + 1, F.size(rest) + 1)
+        return _let(inner, lambda x: _until(x, F.array_position(x, "```")))
+
+    def body(rest: Column) -> Column:
+        fence = F.get(F.filter(F.slice(rest, 1, 3), lambda x: x != ""), F.lit(0)) == "```"
+        end = F.array_position(F.transform(rest, lambda x: x.rlike(SECTION_END)), True)
+        return F.when(fence, fenced(rest)).otherwise(_let(end, lambda at: _until(rest, at)))
+
+    def section(lines: Column, head: Column) -> Column:
+        loose = F.filter(lines, lambda x: x.rlike(EDGE) | x.rlike(NODE) | x.startswith("#"))
+        return F.when(head > 0, _let(F.slice(lines, head + 1, F.size(lines) + 1), body)).otherwise(loose)
+
+    first = lambda ranks: F.coalesce(F.array_position(ranks, F.array_min(ranks)), F.lit(0))
+    headed = lambda lines: _let(_let(F.transform(lines, _header_rank), first), lambda head: section(lines, head))
     lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
-    head = F.coalesce(*[F.nullif(_first(lines, f"(?i){h}"), F.lit(0)) for h in SECTION_HEADERS], F.lit(0))
-    rest = F.slice(lines, head + 1, F.size(lines) + 1)
-    fenced = F.get(F.filter(F.slice(rest, 1, 3), lambda x: x != ""), F.lit(0)) == "```"
-    inner = F.slice(rest, F.array_position(rest, "```") + 1, F.size(rest) + 1)
-    body = F.when(fenced, _until(inner, F.array_position(inner, "```"))).otherwise(_until(rest, _first(rest, SECTION_END)))
-    loose = F.filter(lines, lambda x: x.rlike(EDGE) | x.rlike(NODE) | x.startswith("#"))
-    return F.when(text.isNotNull(), F.filter(F.when(head > 0, body).otherwise(loose), lambda x: x != ""))
+    return F.when(text.isNotNull(), F.filter(_let(lines, headed), lambda x: x != ""))
 
 
 def depths(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
