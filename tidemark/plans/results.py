@@ -68,11 +68,16 @@ def q_ontology_edges(t: Tables) -> DataFrame:
     return rel.join(a, "source", "left").join(b, "target", "left").select(node("source", "st").alias("src"), F.lit("IN").alias("rel"), node("target", "tt").alias("dst"))
 
 
+def _spread(part: DataFrame) -> DataFrame:
+    """The parts over all cores: their file is small, and would be few tasks, for the work that each row makes."""
+    return part.select("p_partkey", "p_name", "p_brand").repartition(part.sparkSession.sparkContext.defaultParallelism)
+
+
 @query("SELECT p_partkey, '(' || p_name || ':has)' AS line FROM part")
 def q_dag_section(t: Tables) -> DataFrame:
     """The lines of an answer's graph section."""
     answer = F.concat(F.lit("intro\n### DAG\n\n("), "p_name", F.lit(":has)\n"))
-    return t.part.select("p_partkey", F.explode(G.section_lines(answer)).alias("line"))
+    return _spread(t.part).select("p_partkey", F.explode(G.section_lines(answer)).alias("line"))
 
 
 @query("""SELECT p_partkey, CAST(k AS INTEGER) AS line_no, CASE k WHEN 0 THEN '(' || p_name || ':has) -[IS]-> (' || p_brand || ':of)' ELSE '(' || p_brand || ':alone)' END AS line FROM part, range(0, 2) r(k)""")
@@ -84,7 +89,7 @@ def q_dag_headers(t: Tables) -> DataFrame:
     edge = F.concat(F.lit("("), "p_name", F.lit(":has) -[IS]-> ("), "p_brand", F.lit(":of)\n\n ("), "p_brand", F.lit(":alone)"))
     after = F.when(F.contains(head, F.lit("no header")), "\nend").otherwise("\n### 3. (a:b)\n(c:d)")
     answer = F.concat(F.lit("thought\n"), head, fence, edge, fence, after)
-    return t.part.select("p_partkey", F.posexplode(G.section_lines(answer)).alias("line_no", "line"))
+    return _spread(t.part).select("p_partkey", F.posexplode(G.section_lines(answer)).alias("line_no", "line"))
 
 
 _PAIRS = "(SELECT user_id AS k, event_type AS e, CAST(hour(ts) AS INTEGER) AS a FROM events WHERE day(ts) {} 15 GROUP BY ALL)"
