@@ -227,6 +227,42 @@ def test_connected_components(spark, tmp_path):
     assert len({(top(k), c) for k, c in got.items()}) == len({top(k) for k in up}) == len(set(got.values()))
 
 
+def test_component_rounds_shrink(spark, monkeypatch):
+    """Edges inside a component vanish as it contracts; paths, stars, loops, double edges and null ends come out right."""
+    r = random.Random(5)
+    some = [(2 * r.randint(0, 999), 2 * r.randint(0, 199) + 1) for _ in range(4000)]
+    path = [(10_000 + k, 10_001 + k) for k in range(120)]
+    star = [(20_999, 20_000 + k) for k in range(50)]
+    odd = [(30_000, 30_000), (30_001, None), (None, 30_002), (None, None), (30_004, 30_003), (30_003, 30_004)]
+    written = []
+    real = graph.materialize
+
+    def counted(df, name):
+        out = real(df, name)
+        if name == "components-edges":
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "materialize", counted)
+    pairs = some + path + star + odd
+    rows = graph.components(spark.createDataFrame(pairs, "src long, dst long")).collect()
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = (b if a is None else a), (a if b is None else b)
+        if a is not None:
+            low, high = sorted((top(a), top(b)))
+            up[high] = low
+    assert len(rows) == len({x.node for x in rows}) == len(up)
+    assert {x.node: x.component for x in rows} == {x: top(x) for x in up}
+    assert written[-1] == 0 and sum(written) < 2 * len(pairs)
+
+
 @pytest.mark.parametrize("name,rows", [("q_partition_merge", 1), ("q_month_sequence", 3)])
 def test_all_orders_take_part(spark, sf_dir, name, rows):
     from tidemark.plans import registry

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.allocation import cut_lineage
+from tidemark.plans.scratch import drop_files, materialize
 
 # Fixed value: the form of an edge line.
 EDGE = r"^\(([^()]+)\)\s*-\[([^\]]+)\]->\s*\(([^()]+)\)$"
@@ -141,21 +142,56 @@ def paths(edges: DataFrame, max_depth: int = 20) -> DataFrame:
     raise RuntimeError(f"paths of more than {max_depth} edges; raise max_depth")
 
 
+def _first_around(edges: DataFrame, seed: int) -> DataFrame:
+    """(node, to): the first node among each node and its neighbours, by the nodes themselves if seed is 0, else by their hashes with it.
+
+    After an order by hashes, the nodes that go to one and the same are named by the least of them.
+    """
+    both = edges.select(F.col("u").alias("node"), F.col("v").alias("near")).unionByName(edges.select(F.col("v").alias("node"), F.col("u").alias("near")))
+    if not seed:
+        return both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("to"))
+    place = lambda c: F.struct(F.xxhash64(F.lit(seed), c).alias("h"), F.col(c).alias("n"))
+    to = both.groupBy("node").agg(F.min(place("near")).alias("near")).select("node", F.least(place("node"), "near")["n"].alias("to"))
+    to = materialize(to, "components-first")
+    names = to.groupBy("to").agg(F.min("node").alias("name"))
+    return names.join(to, "to").select("node", F.col("name").alias("to"))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component): weak components by hooking to the least neighbour and jumping to its label."""
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
-    both = cut_lineage(both)
-    label = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).withColumnRenamed("a", "node")
-    for _ in range(max_rounds):
-        near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("c").alias("m"))
-        joined = label.join(near, label["node"] == near["a"], "left").select("node", "c", F.least("c", F.coalesce("m", "c")).alias("new"))
-        hop = joined.select(F.col("node").alias("new"), F.col("new").alias("jump"))
-        after = cut_lineage(joined.join(hop, "new", "left").select("node", "c", F.least("new", F.coalesce("jump", "new")).alias("new")))
-        changed = not after.filter(F.col("new") != F.col("c")).isEmpty()
-        label = after.select("node", F.col("new").alias("c"))
-        if not changed:
-            return label.withColumnRenamed("c", "component")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    """(node, component): weak components, named by their least node.
+
+    Each round every node goes over to the first node around it and the edges follow, so
+    that edges inside a node vanish and equal ones become one; what is left is the graph
+    of a part of the nodes. The order is that of the nodes while a round leaves less than
+    half of them, else one by hashes, which shortens paths in any order of nodes. At the
+    end the rounds' moves are joined from the last to the first.
+    """
+    now = edges.select(F.coalesce("src", "dst").alias("u"), F.coalesce("dst", "src").alias("v")).filter("u is not null")
+    moves: list[DataFrame] = []
+    seed, before, written = 0, None, None
+    for k in range(max_rounds):
+        move = materialize(_first_around(now, seed), "components-moves")
+        moves.append(move)
+        n = move.count()
+        seed = 0 if before is None or 2 * n <= before else k
+        before = n
+        # the key sides of these joins are written first, so that Spark can split the edges of a node with many
+        u = move.select(F.col("node").alias("u"), F.col("to").alias("a"))
+        v = move.select(F.col("node").alias("v"), F.col("to").alias("b"))
+        moved = now.join(u, "u").join(v, "v").filter("a <> b")
+        after = materialize(moved.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "components-edges")
+        if written is not None:
+            drop_files(edges.sparkSession, written)
+        now = written = after
+        if now.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    label = moves.pop()
+    while moves:
+        top = label.select(F.col("node").alias("to"), F.col("to").alias("c"))
+        label = moves.pop().join(top, "to", "left").select("node", F.coalesce("c", "to").alias("to"))
+    return label.withColumnRenamed("to", "component")
 
 
 def sorted_lines(edges: DataFrame, key: str) -> DataFrame:
