@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -401,6 +402,38 @@ def test_substring_dedup_odd_rows(odd, none):
     assert {r.text for r in out.filter("doc_id = 10").collect()} == {"tail words that differ here"} or out.filter("doc_id = 10").first().text != BASE
 
 
+def run_rows(seed: int) -> list[tuple]:
+    """Texts with runs of 1 to 20 words over and over, of many lengths and phases, between words of their own and shared passages."""
+    r = random.Random(seed)
+    shared = [[f"s{k}_{r.randint(0, 40)}" for _ in range(80)] for k in range(3)]
+    cycles = [[f"c{k}_{j if j % 3 else 0}" for j in range(k)] for k in (1, 2, 2, 3, 5, 7, 12, 16, 17, 20)]
+    rows = []
+    for d in range(60):
+        words = []
+        for _ in range(r.randint(1, 4)):
+            c, n, a = r.choice(cycles), r.choice((20, 48, 49, 50, 51, 52, 64, 90, 150)), r.randint(0, 19)
+            words += [c[(a + j) % len(c)] for j in range(n)]
+            words += r.choice(([], [f"own{d}_{j}" for j in range(r.randint(1, 60))], shared[r.randint(0, 2)][r.randint(0, 20) :]))
+        rows.append((d, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_substring_dedup_runs_of_few_words(spark, seed):
+    rows = run_rows(seed)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in substring_dedup.dedup_report(d).collect()) == dedup(rows)
+
+
+def test_rows_of_a_run_do_not_grow_with_it(spark):
+    count = {}
+    for n in (500, 4000):
+        rows = [(d, " ".join([f"own{d}_{j}" for j in range(60)] + ["a", "b"] * (n // 2) + [f"end{d}_{j}" for j in range(60)])) for d in range(20)]
+        found = substring_dedup.occurrences(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "0L as rid", "text"))
+        count[n] = found.count()
+    assert count[500] == count[4000] < 20 * 60
+
+
 def test_substring_dedup_branching_passages(spark):
     """Passages cut, joined and edited at random, with few words, so that k-mers repeat and branch."""
     rng = np.random.default_rng(5)

@@ -19,6 +19,9 @@ smaller doc_id.
 * Windows that stick out of a path, and those at branching nodes, may repeat in
   documents other than the source. Those outside of spans are compared one by one, by
   64-bit hashes of the window, per node.
+* A window with a period of PERIOD words or less equals every window of its run that lies
+  whole periods further on. Such windows have no anchors: a run of any length gives a row for
+  each of its distinct windows, compared by 64-bit hashes, and an edge reaches over it.
 
 Equality is that of 64-bit hashes throughout: of edges and nodes, of windows per node.
 
@@ -43,9 +46,12 @@ from .common import Words, bounded, drop_files, free_name, materialize, mix64, t
 
 WINDOW = 50
 ANCHOR = 16
+#: Longest period of a window that is a run's; no more than ANCHOR, so that the least k-mer of such a window comes again in it.
+PERIOD = 16
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: back and stop: where the edge in begins and the edge out ends; first and last: the windows that the anchor stands for;
 #: final: whether the edge out ends with the document; out: hash of the edge out; around: of both edges; head: of a first anchor's edge in.
+#: Rows with nth -1 are periodic windows: node is the window's hash, and windows that equal it cover the words from pos to stop.
 OCCURRENCES = "doc_id long, rid long, nth int, pos int, back int, stop int, first int, last int, final int, node long, out long, around long, head long"
 
 
@@ -68,16 +74,49 @@ class Runs:
         return mix64((self.sums[stop] - self.sums[start]) * Runs._down[start])
 
 
-def anchors(runs: Runs, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of a text's anchors, their hashes, and the first and last window that each stands for."""
+def periods(w: np.ndarray, h: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """The least period of each window if it is PERIOD at most, else 0; h are the hashes of the k-mers, pos the places of the least ones."""
+    out = np.zeros(len(w) - WINDOW + 1, np.int64)
+    step = np.arange(1, PERIOD + 1)
+    at = pos[:, None] + step
+    again = (at < len(h)) & (h[np.minimum(at, len(h) - 1)] == h[pos][:, None])
+    for p in step[again.any(axis=0)].tolist():
+        same = np.concatenate([[0], np.cumsum(w[p:] == w[:-p])])
+        whole = same[WINDOW - p :] - same[: len(same) - WINDOW + p] == WINDOW - p
+        out[whole & (out == 0)] = p
+    return out
+
+
+def periodic(period: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, stop): the distinct windows of each run of windows of one period, and where the last window that equals it ends."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], period, [0]])))
+    start, stop = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        if p := int(period[a]):
+            at = np.arange(a, min(b, a + p))
+            start.append(at)
+            stop.append(at + (b - 1 - at) // p * p + WINDOW)
+    return np.concatenate(start), np.concatenate(stop)
+
+
+def anchors(runs: Runs, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of a text's anchors, their hashes, the first and last window that each stands for, and the windows' periods."""
+    n = len(w)
     at = np.arange(n - ANCHOR + 1)
     h = runs.hash(at, at + ANCHOR)
     width = WINDOW - ANCHOR + 1
     view = sliding_window_view(h, width)
     pick = np.concatenate([view[a : a + 4096].argmin(axis=1) for a in range(0, len(view), 4096)]) + np.arange(len(view))
     first = np.flatnonzero(np.concatenate([[True], pick[1:] != pick[:-1]]))
+    period = periods(w, h, pick[first])
+    if period.any():
+        other = np.flatnonzero(period == 0)
+        new = np.flatnonzero(np.diff(pick[other], prepend=-1))
+        first, last = other[new], other[np.append(new[1:], len(other)) - 1] if len(new) else other
+    else:
+        last = np.append(first[1:], len(view)) - 1
     pos = pick[first]
-    return pos, h[pos], first, np.concatenate([first[1:], [len(view)]]) - 1
+    return pos, h[pos], first, last, period
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -93,7 +132,7 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """Every anchor of every text, with its place and the edges on its two sides."""
+    """Every anchor of every text, with its place and the edges on its two sides, and the distinct windows of its periodic runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
@@ -103,8 +142,14 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 if len(w) < WINDOW:
                     continue
                 runs = Runs(w)
-                pos, node, first, last = anchors(runs, len(w))
+                pos, node, first, last, period = anchors(runs, w)
+                start, end = periodic(period) if period.any() else ((), ())
+                if k := len(start):
+                    none, zero = np.zeros(k, np.int64), np.zeros(k, np.uint64)
+                    parts.append((np.full(k, doc_ids[i]), np.full(k, rids[i]), none - 1, start, none, end, none, none, none, runs.hash(start, start + WINDOW), zero, zero, zero))
                 m = len(pos)
+                if not m:
+                    continue
                 back = np.concatenate([[0], pos[:-1]])
                 stop = np.concatenate([pos[1:] + ANCHOR, [len(w)]])
                 edge = runs.hash(np.append(0, pos), np.append(pos[0] + ANCHOR, stop))
@@ -232,12 +277,17 @@ def window_hashes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, rid, cuts): for every document that loses words, ranges [s, t) that cover all of them."""
-    occ = materialize(occurrences(docs), "anchors")
+    found = materialize(occurrences(docs), "anchors")
+    in_runs = found.filter("nth < 0").select(F.col("node").alias("h"), "doc_id", "rid", F.col("pos").alias("s"), F.col("stop").alias("t"))
+    again = in_runs.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
+    in_runs = in_runs.join(materialize(again, "repeated-runs"), "h").filter(F.col("doc_id") > F.col("least")).select("doc_id", "rid", "s", "t")
+    in_runs = materialize(in_runs, "runs")
+    occ = found.filter("nth >= 0")
     nodes = occ.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("around").alias("a"), F.max("around").alias("z"))
     # the key sides of these joins are written first: with an exchange on either side Spark can split a hot key's rows
     nodes = materialize(nodes.filter("least < most").select("node", "least", F.expr("a = z").alias("plain")), "repeated-nodes")
     repeated = materialize(occ.join(nodes, "node"), "repeated-anchors")
-    drop_files(docs.sparkSession, occ)
+    drop_files(docs.sparkSession, found)
     paths = path_pieces(repeated, materialize(compact(repeated), "paths"))
     paths = materialize(paths, "path-pieces")
     branching = repeated.filter("not plain")
@@ -250,7 +300,7 @@ def removals(docs: DataFrame) -> DataFrame:
     hashes = materialize(window_hashes(docs.filter("text is not null"), wanted), "window-hashes")
     least = hashes.groupBy("h", "node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
     single = hashes.join(materialize(least, "repeated-windows"), ["h", "node"]).filter(F.col("doc_id") > F.col("least")).select("doc_id", "rid", F.col("at").alias("s"), (F.col("at") + WINDOW).alias("t"))
-    return spans.unionByName(single).groupBy("doc_id", "rid").agg(F.collect_set(F.struct("s", "t")).alias("cuts"))
+    return spans.unionByName(single).unionByName(in_runs).groupBy("doc_id", "rid").agg(F.collect_set(F.struct("s", "t")).alias("cuts"))
 
 
 def gone_words(n: int, cuts: list[dict] | None) -> np.ndarray:
